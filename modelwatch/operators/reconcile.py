@@ -8,6 +8,7 @@ every as-of date is a running total over those cells, not another pass over the
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from modelwatch.functions.columns import (
     day_of,
     fractional_days,
-    midnight,
     percent,
     plus_days,
     ratio,
@@ -29,13 +29,36 @@ VANTAGE_DAYS = (7, 21, 45, 70, 90, 120)
 OBSERVATION_DAYS = 90
 
 
-def _timestamp(day: Column, like: DataFrame, column: str) -> Column:
-    """Midnight of `day` in the type of `column`, so the scan filter needs no cast."""
-    return day.cast(like.schema[column].dataType)
+def event_days(predictions: DataFrame, time: str = "event_time") -> tuple[date | None, date | None]:
+    """First and last event day: one row, fetched so that the filters become literals.
+
+    As literals they reach the file scan and prune date folders; as several subqueries over
+    the same table they would be merged into one struct and reach neither.
+    """
+    row = predictions.agg(day_of(F.min(time)).alias("first"), day_of(F.max(time)).alias("last")).first()
+    return row["first"], row["last"]
+
+
+def _midnight(day: date | None, like: DataFrame, column: str) -> Column:
+    """Midnight of `day` in the type of `column`, so that comparing needs no cast of the column."""
+    return F.lit(None if day is None else day.isoformat()).cast(like.schema[column].dataType)
 
 
-def first_day(predictions: DataFrame, time: str = "event_time") -> DataFrame:
-    return predictions.agg(day_of(F.min(time)).alias("first_day"))
+def _shift(day: date | None, days: int) -> date | None:
+    return None if day is None else day + timedelta(days=days)
+
+
+def in_days(
+    predictions: DataFrame, time: str, start: date | None, end: date | None, folder: str = "event_date"
+) -> DataFrame:
+    """Rows of [start, end); a table kept in date folders also skips the other folders."""
+    rows = predictions.filter(
+        (F.col(time) >= _midnight(start, predictions, time))
+        & (F.col(time) < _midnight(end, predictions, time))
+    )
+    if folder in predictions.columns:
+        rows = rows.filter((F.col(folder) >= F.lit(start)) & (F.col(folder) < F.lit(end)))
+    return rows
 
 
 def _quality(weight: Column, revealed: Column, positive: Column, label: Column) -> dict[str, Column]:
@@ -77,18 +100,16 @@ def cohort_by_vantage(
 ) -> DataFrame:
     """One cohort, [start_day, end_day) after the first day, judged from several later dates."""
     points = sorted(days_after)
-    first = first_day(predictions, time)
-    start = first.select(_timestamp(F.date_add("first_day", start_day), predictions, time)).scalar()
-    end_date = first.select(F.date_add("first_day", end_day)).scalar()
-    end = first.select(_timestamp(F.date_add("first_day", end_day), predictions, time)).scalar()
-    label_end = first.select(_timestamp(F.date_add("first_day", end_day), labels, "available_at")).scalar()
+    first, _ = event_days(predictions, time)
+    start, end = _shift(first, start_day), _shift(first, end_day)
 
-    cohort = predictions.filter((F.col(time) >= start) & (F.col(time) < end)).select(key, "prediction")
+    cohort = in_days(predictions, time, start, end).select(key, "prediction")
     joined = cohort.join(labels.select(key, "label", "available_at"), key, how)
     # Position of the first vantage point at which the label is known; null = after all.
-    known = F.when(F.col("available_at") <= plus_days(label_end, points[0]), F.lit(0))
-    for i, d in enumerate(points[1:], start=1):
-        known = known.when(F.col("available_at") <= plus_days(label_end, d), F.lit(i))
+    known = F.lit(None).cast("int")
+    for i, d in reversed(list(enumerate(points))):
+        at = _midnight(_shift(end, d), labels, "available_at")
+        known = F.when(F.col("available_at") <= at, F.lit(i)).otherwise(known)
     cells = joined.groupBy(
         known.alias("known_from"), (F.col("prediction") == positive).alias("positive"), "label"
     ).agg(F.count("*").alias("cnt"))
@@ -99,7 +120,7 @@ def cohort_by_vantage(
     counted = expanded.groupBy(F.col("v.d").alias("days_after_week")).agg(
         *[c.alias(n) for n, c in _quality(F.col("cnt"), revealed, F.col("positive"), F.col("label")).items()]
     )
-    as_of = F.date_add(end_date, F.col("days_after_week")).alias("as_of")
+    as_of = F.date_add(F.lit(end).cast("date"), F.col("days_after_week")).alias("as_of")
     return _finish(counted, ["days_after_week", as_of], places).orderBy("days_after_week")
 
 
@@ -114,8 +135,8 @@ def weekly_cohorts(
     places: int = 3,
 ) -> DataFrame:
     """Every prediction week as known at one date, `days_after` the last event day."""
-    last = predictions.agg(F.date_add(day_of(F.max(time)), days_after).alias("d"))
-    as_of = last.select(_timestamp(F.col("d"), labels, "available_at")).scalar()
+    _, last = event_days(predictions, time)
+    as_of = _midnight(_shift(last, days_after), labels, "available_at")
     slim = predictions.select(
         key, week_of(time).alias("prediction_week"), (F.col("prediction") == positive).alias("positive")
     )
@@ -139,9 +160,8 @@ def mature_quality(
     places: int = 3,
 ) -> DataFrame:
     """Prevalence, precision and recall with every label known, before and after the boundary."""
-    boundary = first_day(predictions, time).select(
-        _timestamp(F.date_add("first_day", quiet_days), predictions, time)
-    ).scalar()
+    first, _ = event_days(predictions, time)
+    boundary = _midnight(_shift(first, quiet_days), predictions, time)
     slim = predictions.select(
         key, period_of(F.col(time), boundary).alias("period"), (F.col("prediction") == positive).alias("positive")
     )

@@ -55,7 +55,7 @@ def _derived_columns(spark, sf_dir):
         fx.band("k", [0, 18, 36, 60, 72], ["0-18", "18-36", "36-60", "60-72"]).alias("k_band"),
         fx.decide("duration_ms", F.lit(50.0), "slow", "fast").alias("speed"),
         F.coalesce("insert_ms", F.lit(0.0)).alias("insert_or_zero"),
-        F.round(fx.ratio("duration_ms", F.col("k")), 6).alias("per_k"),
+        F.round(fx.ratio("duration_ms", F.col("k")), 9).alias("per_k"),
         fx.status_class("status_code").alias("status_class"),
         fx.nan_to_null("duration_ms").alias("duration_ms"),
     )
@@ -121,7 +121,7 @@ ORACLES = {
                     WHEN k <= 60 THEN '36-60' WHEN k <= 72 THEN '60-72' END AS k_band,
                CASE WHEN duration_ms >= 50 THEN 'slow' ELSE 'fast' END AS speed,
                coalesce(insert_ms, 0.0) AS insert_or_zero,
-               round(duration_ms / nullif(k, 0), 6) AS per_k,
+               round(duration_ms / nullif(k, 0), 9) AS per_k,
                CAST(status_code // 100 AS INTEGER) AS status_class, duration_ms
         FROM request_log r JOIN ev e ON e.event_id = r.request_id""",
     "traffic_scan": f"""WITH {PREDICTIONS}
