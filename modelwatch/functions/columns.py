@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -35,6 +36,11 @@ def number_or_null(c: Column | str) -> Column:
     return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
 
 
+def number_sql(text: str) -> str:
+    """`number_or_null` of a SQL text expression, as SQL."""
+    return f"CASE WHEN {text} RLIKE {sql_literal(NUMBER_PATTERN)} THEN try_cast(trim({text}) AS DOUBLE) END"
+
+
 def number_or_zero(c: Column | str) -> Column:
     return F.coalesce(number_or_null(c), F.lit(0.0))
 
@@ -122,38 +128,52 @@ def status_class(status: Column | str) -> Column:
     return F.floor(as_col(status) / 100).cast("int")
 
 
-def right_closed_bin(c: Column | str, inner_edges: Sequence[float]) -> Column:
-    """Index of the interval (e[i-1], e[i]] holding the value; the outer bins are open-ended.
+def sql_name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    return str(value)
+
+
+# Long generated expressions are written as SQL text: one parse on the JVM side instead of
+# a bridge call per operator, and the same compiled code.
+
+
+def right_closed_bin(value: str, inner_edges: Sequence[float]) -> str:
+    """SQL: index of the interval (e[i-1], e[i]] holding the value; the outer bins are open-ended.
 
-    The edges are literals, so this is a plain comparison chain inside codegen.
+    `value` is SQL text. The edges are literals, so this is a comparison chain in codegen.
     """
-    c = as_col(c)
     if not inner_edges:
-        return F.lit(0)
-    chain = F.when(c <= F.lit(float(inner_edges[0])), F.lit(0))
-    for i, edge in enumerate(inner_edges[1:], start=1):
-        chain = chain.when(c <= F.lit(float(edge)), F.lit(i))
-    return chain.otherwise(F.lit(len(inner_edges)))
+        return "0"
+    whens = " ".join(f"WHEN {value} <= {sql_literal(float(e))} THEN {i}" for i, e in enumerate(inner_edges))
+    return f"CASE {whens} ELSE {len(inner_edges)} END"
+
 
+def level_index(value: str, levels: Sequence, missing: int, other: int) -> str:
+    """SQL: position in a fixed domain; null and unknown levels get their own codes."""
+    whens = " ".join(f"WHEN {value} = {sql_literal(level)} THEN {i}" for i, level in enumerate(levels))
+    return f"CASE WHEN {value} IS NULL THEN {missing} {whens} ELSE {other} END"
 
-def band(c: Column | str, edges: Sequence[float], labels: Sequence[str]) -> Column:
+
+def band(column: str, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Right-closed bands, the lowest edge included; values outside are null."""
-    c = as_col(c)
     if len(labels) != len(edges) - 1:
         raise ValueError("one label per band is needed")
-    chain = F.when(c < F.lit(edges[0]), F.lit(None).cast("string"))
-    for edge, label in zip(edges[1:], labels):
-        chain = chain.when(c <= F.lit(edge), F.lit(label))
-    return chain
-
-
-def level_index(c: Column | str, levels: Sequence, missing: int, other: int) -> Column:
-    """Position in a fixed domain; null and unknown levels get their own codes."""
-    c = as_col(c)
-    chain = F.when(c.isNull(), F.lit(missing))
-    for i, level in enumerate(levels):
-        chain = chain.when(c == F.lit(level), F.lit(i))
-    return chain.otherwise(F.lit(other))
+    c = sql_name(column)
+    whens = " ".join(
+        f"WHEN {c} <= {sql_literal(edge)} THEN {sql_literal(label)}" for edge, label in zip(edges[1:], labels)
+    )
+    return F.expr(f"CASE WHEN {c} < {sql_literal(edges[0])} THEN NULL {whens} END")
 
 
 def unpivot_columns(columns: Mapping[str, Column | str], name: str, value: str) -> Column:

@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.functions.columns import number_or_null
+from modelwatch.functions.columns import number_sql, sql_literal, sql_name
 from modelwatch.schemas import CATEGORICAL_VALUES
 
 ERRORS = "errors"
+UNREADABLE = "_record"
 ZONE_PATTERN = r"(Z|[+-]\d{2}:?\d{2})$"
 
 
@@ -68,42 +69,64 @@ def parse_records(df: DataFrame, raw: str, contract: Contract, keep: Sequence[st
     The text is parsed once into a variant, which keeps "absent" and "null" apart and knows
     the JSON type of every value.
     """
-    parsed = df.select(*keep, F.col(raw).alias("_raw"), F.try_parse_json(F.col(raw)).alias("_v"))
-    columns, bad = [], []
-    for rule in contract.fields:
-        node = F.try_variant_get("_v", f"$.{rule.name}", "variant")
-        json_type = F.schema_of_variant(node)
-        absent = node.isNull()
-        is_null = F.coalesce(json_type == "VOID", F.lit(False))
-        text = F.try_variant_get("_v", f"$.{rule.name}", "string")
-        value = _typed(rule, text, json_type)
-        columns.append(value.alias(rule.name))
-        wrong = (
-            (absent & F.lit(not rule.optional))
-            | (is_null & F.lit(not rule.nullable))
-            | (~absent & ~is_null & value.isNull())
-        )
-        bad.append(F.when(wrong, F.lit(rule.name)))
-    broken = F.col("_v").isNull()
-    malformed = F.when(broken, F.array(F.lit("_record"))).otherwise(F.array_compact(F.array(*bad)))
-    return parsed.select(*keep, "_raw", *columns, malformed.alias("_malformed"))
+    kept = [sql_name(k) for k in keep]
+    parsed = df.selectExpr(*kept, f"{sql_name(raw)} AS _raw", f"try_parse_json({sql_name(raw)}) AS _v")
+    paths = [sql_literal(f"$.{rule.name}") for rule in contract.fields]
+    nodes = parsed.selectExpr(
+        *kept,
+        "_raw",
+        "_v IS NULL AS _broken",
+        *[f"schema_of_variant(try_variant_get(_v, {p}, 'variant')) AS _t{i}" for i, p in enumerate(paths)],
+        *[f"try_variant_get(_v, {p}, 'string') AS _x{i}" for i, p in enumerate(paths)],
+    )
+    # A generator of one row: a filter on the result is not pushed below it, which would
+    # repeat the parsing for every field the filter looks at.
+    values = ", ".join(
+        f"{_typed(rule, f'_x{i}', f'_t{i}')} AS {sql_name(rule.name)}" for i, rule in enumerate(contract.fields)
+    )
+    typed = nodes.selectExpr(
+        *nodes.columns, f"inline(array(struct({values})))"
+    )
+    bad = []
+    for i, rule in enumerate(contract.fields):
+        # No type: the key is absent. Type VOID: an explicit null.
+        wrong = [f"(_t{i} <> 'VOID' AND {sql_name(rule.name)} IS NULL)"]
+        if not rule.optional:
+            wrong.append(f"_t{i} IS NULL")
+        if not rule.nullable:
+            wrong.append(f"_t{i} = 'VOID'")
+        bad.append(_named(wrong, rule.name))
+    return typed.selectExpr(
+        *kept,
+        "_raw",
+        *[sql_name(rule.name) for rule in contract.fields],
+        f"CASE WHEN _broken THEN array('{UNREADABLE}') ELSE {_names(bad)} END AS _malformed",
+    )
+
 
+def _names(found: Sequence[str]) -> str:
+    """SQL: the distinct names without the nulls. No lambda, so it stays in compiled code."""
+    return f"array_except(array({', '.join(found)}), array(CAST(NULL AS STRING)))"
 
-def _typed(rule: FieldRule, text: Column, json_type: Column) -> Column:
-    is_text = json_type == "STRING"
-    is_number = json_type.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+
+def _named(conditions: Sequence[str], name: str) -> str:
+    """SQL: the name if any condition holds, else null."""
+    return f"CASE WHEN coalesce({' OR '.join(conditions)}, false) THEN {sql_literal(name)} END"
+
+
+def _typed(rule: FieldRule, text: str, json_type: str) -> str:
+    is_number = f"{json_type} RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'"
     if rule.kind == "string":
-        return F.when(is_text, text)
+        return f"CASE WHEN {json_type} = 'STRING' THEN {text} END"
     if rule.kind == "time":
-        return F.when(is_text & text.rlike(ZONE_PATTERN), F.try_to_timestamp(text))
-    number = F.when(is_text | is_number, number_or_null(text))
+        zoned = f"{json_type} = 'STRING' AND {text} RLIKE {sql_literal(ZONE_PATTERN)}"
+        return f"CASE WHEN {zoned} THEN try_to_timestamp({text}) END"
+    number = f"CASE WHEN {json_type} = 'STRING' OR {is_number} THEN {number_sql(text)} END"
     if rule.kind == "float":
         return number
     # Whole numbers only; members of an enumeration must be numbers, not text.
-    accepted = number == F.floor(number)
-    if rule.domain:
-        accepted = accepted & is_number
-    return F.when(accepted, number.cast("int"))
+    accepted = f"({number}) = floor({number})" + (f" AND {is_number}" if rule.domain else "")
+    return f"CASE WHEN {accepted} THEN CAST({number} AS INT) END"
 
 
 def validate(df: DataFrame, contract: Contract, now: Column | None = None, slack_minutes: int = 10) -> DataFrame:
@@ -113,32 +136,37 @@ def validate(df: DataFrame, contract: Contract, now: Column | None = None, slack
     that a re-run judges the records alike.
     """
     moment = now if now is not None else F.current_timestamp()
-    latest = moment + F.make_dt_interval(mins=F.lit(slack_minutes))
     found = []
     for rule in contract.fields:
+        c = sql_name(rule.name)
         if rule.name not in df.columns:
             if not rule.optional:
-                found.append(F.lit(rule.name))
+                found.append(sql_literal(rule.name))
             continue
-        c = F.col(rule.name)
-        bad = F.lit(False) if rule.nullable or rule.optional else c.isNull()
+        bad = ["false"] if rule.nullable or rule.optional else [f"{c} IS NULL"]
         if rule.domain:
-            bad = bad | ~c.isin(*rule.domain)
+            bad.append(f"{c} NOT IN ({', '.join(sql_literal(v) for v in rule.domain)})")
         if rule.minimum is not None:
+            bad.append(f"{c} < {sql_literal(rule.minimum)}")
+        if rule.kind == "float":
             # NaN compares above every number, so it is named explicitly.
-            nan = F.isnan(c) if rule.kind == "float" else F.lit(False)
-            bad = bad | (c < F.lit(rule.minimum)) | nan
+            bad.append(f"isnan({c})")
         if rule.kind == "time":
-            bad = bad | (c > latest)
-        found.append(F.when(F.coalesce(bad, F.lit(False)), F.lit(rule.name)))
-    for cross in contract.cross:
-        found.append(F.when(F.coalesce(F.expr(cross.broken_when), F.lit(False)), F.lit(cross.name)))
-    errors = F.array_compact(F.array(*found))
+            bad.append(f"{c} > _latest")
+        found.append(_named(bad, rule.name))
+    found += [_named([f"({cross.broken_when})"], cross.name) for cross in contract.cross]
+    errors = _names(found)
     if "_malformed" in df.columns:
-        errors = F.concat(F.col("_malformed"), errors)
         # An unreadable record is reported as such, not as all its fields.
-        errors = F.when(F.array_contains("_malformed", "_record"), F.col("_malformed")).otherwise(errors)
-    return df.withColumn(ERRORS, F.array_distinct(errors))
+        errors = (
+            f"CASE WHEN array_contains(_malformed, '{UNREADABLE}') THEN _malformed "
+            f"ELSE array_distinct(concat(_malformed, {errors})) END"
+        )
+    return (
+        df.withColumn("_latest", moment + F.make_dt_interval(mins=F.lit(slack_minutes)))
+        .withColumn(ERRORS, F.expr(errors))
+        .drop("_latest")
+    )
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

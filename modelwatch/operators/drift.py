@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modelwatch.functions.columns import level_index, nan_to_null, ratio, right_closed_bin
+from modelwatch.functions.columns import level_index, nan_to_null, ratio, right_closed_bin, sql_name
 from modelwatch.operators.ordering import exact_percentiles
 
 N_BINS = 10
@@ -56,15 +56,19 @@ def fit_bin_edges(df: DataFrame, features: Sequence[str], n_bins: int = N_BINS)
     return cut.select("feature", "n", F.array_distinct(F.array(*names)).alias("edges"))
 
 
-def bin_columns(numeric: Mapping[str, Sequence[float]], categorical: Mapping[str, Sequence]) -> dict[str, Column]:
-    """Feature -> bin number expression. `numeric` maps to inner edges, `categorical` to levels."""
-    bins: dict[str, Column] = {}
+def bin_generator(numeric: Mapping[str, Sequence[float]], categorical: Mapping[str, Sequence]) -> Column:
+    """Generator of (feature_id, bin) rows, one per feature, in order of the mappings.
+
+    `numeric` maps features to inner edges, `categorical` to levels.
+    """
+    bins = []
     for f, edges in numeric.items():
-        v = F.col(f).cast("double")
-        bins[f] = F.when(v.isNull() | F.isnan(v), F.lit(MISSING)).otherwise(right_closed_bin(v, edges))
+        v = f"CAST({sql_name(f)} AS DOUBLE)"
+        bins.append(f"CASE WHEN {v} IS NULL OR isnan({v}) THEN {MISSING} ELSE {right_closed_bin(v, edges)} END")
     for f, levels in categorical.items():
-        bins[f] = level_index(f, levels, MISSING, OTHER)
-    return bins
+        bins.append(level_index(sql_name(f), levels, MISSING, OTHER))
+    rows = ", ".join(f"struct({i} AS feature_id, {b} AS bin)" for i, b in enumerate(bins))
+    return F.expr(f"inline(array({rows}))")
 
 
 def bin_counts(
@@ -74,12 +78,8 @@ def bin_counts(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Rows per (by, feature_id, bin): one scan, one shuffle of already combined counts."""
-    pairs = [
-        F.struct(F.lit(i).alias("feature_id"), b.alias("bin"))
-        for i, b in enumerate(bin_columns(numeric, categorical).values())
-    ]
     return (
-        df.select(*by, F.inline(F.array(*pairs)))
+        df.select(*by, bin_generator(numeric, categorical))
         .groupBy(*by, "feature_id", "bin")
         .agg(F.count("*").alias("cnt"))
     )

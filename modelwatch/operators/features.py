@@ -14,7 +14,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.functions.columns import NUMBER_PATTERN, ratio
+from modelwatch.functions.columns import number_sql, ratio
 from modelwatch.schemas import FeatureSet
 
 FEATURES = "features"
@@ -22,16 +22,11 @@ LABEL = "label"
 WEIGHT = "class_weight"
 
 
-def _number_or_zero_sql(column: str) -> str:
-    """The text-to-number rule of `functions.columns.number_or_zero`, as a SQL expression."""
-    pattern = NUMBER_PATTERN.replace("\\", "\\\\")
-    text = f"CAST(`{column}` AS STRING)"
-    return f"coalesce(CASE WHEN {text} RLIKE '{pattern}' THEN try_cast(trim({text}) AS DOUBLE) END, 0D)"
-
-
 def clean_stage(columns: Sequence[str], prefix: str = "clean_") -> SQLTransformer:
     """Text or null to number, missing to 0."""
-    exprs = ", ".join(f"{_number_or_zero_sql(c)} AS `{prefix}{c}`" for c in columns)
+    exprs = ", ".join(
+        f"coalesce({number_sql(f'CAST(`{c}` AS STRING)')}, 0D) AS `{prefix}{c}`" for c in columns
+    )
     return SQLTransformer(statement=f"SELECT *, {exprs} FROM __THIS__")
 
 

@@ -7,13 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelwatch.functions.columns import percent, ratio, round_half_up, unpivot_columns
+from modelwatch.functions.columns import percent, round_half_up, sql_literal, unpivot_columns
 from modelwatch.operators.ordering import DIRECT_ROWS, exact_percentiles
 from modelwatch.schemas import LATENCY_BUCKETS
 
 PERCENTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
 PHASES = {"routing": "routing_ms", "predict": "predict_ms", "insert": "insert_ms", "total": "duration_ms"}
 INFINITE = "+Inf"
+# Duration in seconds, as SQL over the request log.
+SECONDS = "duration_ms / 1000D"
 
 
 def successful(log: DataFrame, path: str = "/predict", status: int = 200) -> DataFrame:
@@ -95,38 +97,26 @@ def bucket_label(bound: float) -> str:
     return str(float(bound))
 
 
-def bucket_counts(seconds: Column, bounds: Sequence[float]) -> list[Column]:
-    """Cumulative bucket counts as aggregates: mergeable, fixed-size state."""
-    return [
-        *[F.count_if(seconds <= F.lit(float(b))).alias(f"_le{i}") for i, b in enumerate(bounds)],
-        F.count(seconds).alias(f"_le{len(bounds)}"),
-    ]
+def bucket_counts(seconds: str, bounds: Sequence[float]) -> list[Column]:
+    """Cumulative bucket counts of a SQL expression as aggregates: mergeable, fixed-size state."""
+    counts = [f"count_if({seconds} <= {sql_literal(float(b))}) AS _le{i}" for i, b in enumerate(bounds)]
+    return [F.expr(c) for c in [*counts, f"count({seconds}) AS _le{len(bounds)}"]]
 
 
 def bucket_rows(aggregated: DataFrame, by: Sequence[str], bounds: Sequence[float]) -> DataFrame:
     """Unfold the aggregates into (by, le_ord, le, cum) rows, `+Inf` last."""
     labels = [*[bucket_label(b) for b in bounds], INFINITE]
-    return aggregated.select(
-        *by,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("le_ord"), F.lit(label).alias("le"), F.col(f"_le{i}").alias("cum"))
-                    for i, label in enumerate(labels)
-                ]
-            )
-        ),
-    )
+    rows = ", ".join(f"{i}, '{label}', _le{i}" for i, label in enumerate(labels))
+    return aggregated.selectExpr(*by, f"stack({len(labels)}, {rows}) AS (le_ord, le, cum)")
 
 
 def latency_histogram(
     log: DataFrame,
     by: Sequence[str] = ("path",),
-    duration: Column | None = None,
+    seconds: str = SECONDS,
     bounds: Sequence[float] = LATENCY_BUCKETS,
 ) -> DataFrame:
     """Cumulative `le` buckets of request duration in seconds, per group."""
-    seconds = duration if duration is not None else F.col("duration_ms") / F.lit(1000.0)
     return bucket_rows(log.groupBy(*by).agg(*bucket_counts(seconds, bounds)), by, bounds)
 
 
@@ -146,40 +136,35 @@ def histogram_quantile(
     The first bucket starts at zero; a rank in the open-ended bucket gives the last
     finite bound; a group without observations gives null. One column per quantile.
     """
-    n = len(bounds)
-    wide = histogram.groupBy(*by).agg(
-        *[F.max(F.when(F.col("le_ord") == i, F.col("cum"))).alias(f"_c{i}") for i in range(n + 1)]
-    )
-    total = F.col(f"_c{n}")
+    ends = [float(b) for b in bounds]
+    starts = [0.0, *ends[:-1]]
+    # Per group the cumulative counts in bucket order: a fixed number of small rows.
+    counts = F.expr("transform(array_sort(collect_list(struct(le_ord, cum))), x -> x.cum)")
     columns = []
     for name, q in quantiles.items():
-        rank = F.lit(float(q)) * total
-        value = F.when(total == 0, F.lit(None).cast("double"))
-        for i, bound in enumerate(bounds):
-            start = float(bounds[i - 1]) if i else 0.0
-            before = F.col(f"_c{i - 1}") if i else F.lit(0)
-            inside = F.lit(start) + F.lit(float(bound) - start) * ratio(
-                rank - before, F.col(f"_c{i}") - before
-            )
-            value = value.when(F.col(f"_c{i}") >= rank, inside)
-        columns.append(value.otherwise(F.lit(float(bounds[-1]))).alias(name))
-    return wide.select(*by, *columns)
+        rank = f"({float(q)!r}D * _c[{len(ends)}])"
+        whens = []
+        for i, (start, end) in enumerate(zip(starts, ends)):
+            before = f"_c[{i - 1}]" if i else "0"
+            inside = f"{start!r}D + {end - start!r}D * (({rank} - {before}) / nullif(_c[{i}] - {before}, 0))"
+            whens.append(f"WHEN _c[{i}] >= {rank} THEN {inside}")
+        columns.append(f"CASE WHEN _c[{len(ends)}] = 0 THEN NULL {' '.join(whens)} ELSE {ends[-1]!r}D END AS `{name}`")
+    return histogram.groupBy(*by).agg(counts.alias("_c")).selectExpr(*by, *columns)
 
 
 def quantile_error(
     log: DataFrame,
     path: str = "/predict",
-    duration: Column | None = None,
+    seconds: str = SECONDS,
     bounds: Sequence[float] = LATENCY_BUCKETS,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Exact against estimated percentiles of successful requests: (quantile, exact, estimated, error)."""
-    seconds = duration if duration is not None else F.col("duration_ms") / F.lit(1000.0)
-    base = successful(log, path).select("path", seconds.alias("_seconds"))
+    base = successful(log, path).select("path", F.expr(seconds).alias("_seconds"))
     names = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
     exact = exact_percentiles(base, "_seconds", names, direct_rows=direct_rows)
     estimated = histogram_quantile(
-        latency_histogram(base, ["path"], F.col("_seconds"), bounds),
+        latency_histogram(base, ["path"], "_seconds", bounds),
         {f"{k}_est": q for k, q in names.items()},
         ["path"],
         bounds,

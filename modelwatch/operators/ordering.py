@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelwatch.functions.columns import sql_name
 from modelwatch.session import broadcast_if_small, materialise
 
 BLOCK = "_block"
@@ -65,19 +66,18 @@ def running_totals(
     )
 
 
-def _ranks(n: Column, fraction: float, kind: str) -> tuple[Column, Column, Column]:
-    """1-based lower rank, upper rank and interpolation weight of a fraction of n rows."""
+def _ranks(fraction: float, kind: str) -> tuple[str, str, str]:
+    """SQL of the 1-based lower rank, upper rank and interpolation weight of a fraction of n rows."""
     if kind == "disc":
-        rank = F.greatest(F.ceil(F.lit(float(fraction)) * n), F.lit(1)).cast("bigint")
-        return rank, rank, F.lit(0.0)
-    position = (n - F.lit(1)).cast("double") * F.lit(float(fraction))
-    lower = F.floor(position).cast("bigint")
-    return lower + 1, F.least(lower + 2, n), position - lower
+        rank = f"greatest(ceil({float(fraction)!r}D * n), 1L)"
+        return rank, rank, "0D"
+    position = f"(CAST(n - 1 AS DOUBLE) * {float(fraction)!r}D)"
+    return f"floor({position}) + 1", f"least(floor({position}) + 2, n)", f"({position} - floor({position}))"
 
 
-def _interpolate(lo: Column, hi: Column, t: Column) -> Column:
+def _interpolate(lo: str, hi: str, t: str) -> str:
     # Taken from the nearer end, so that t = 0 and t = 1 give the sample values themselves.
-    return F.when(t < 0.5, lo + (hi - lo) * t).otherwise(hi - (hi - lo) * (F.lit(1.0) - t))
+    return f"CASE WHEN {t} < 0.5D THEN {lo} + ({hi} - {lo}) * {t} ELSE {hi} - ({hi} - {lo}) * (1D - {t}) END"
 
 
 def exact_percentiles(
@@ -146,13 +146,16 @@ def _bracketed(
         )
     )
     # A group too small for the margin to cover a neighbouring rank keeps all its values.
-    whole = F.col("n") < F.lit(4 * accuracy)
+    whole = f"n < {4 * accuracy}"
     brackets = []
     for i, q in enumerate(qs):
-        lo = F.when(whole | F.lit(q - margin <= 0), F.col("_min")).otherwise(F.col("_cuts")[i])
-        hi = F.when(whole | F.lit(q + margin >= 1), F.col("_max")).otherwise(F.col("_cuts")[len(qs) + i])
-        brackets += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
-    bounds = sketch.select(*[F.col(b).alias(f"_s_{b}") for b in by], "n", *brackets)
+        lo = "true" if q - margin <= 0 else whole
+        hi = "true" if q + margin >= 1 else whole
+        brackets += [
+            f"CASE WHEN {lo} THEN _min ELSE _cuts[{i}] END AS _lo{i}",
+            f"CASE WHEN {hi} THEN _max ELSE _cuts[{len(qs) + i}] END AS _hi{i}",
+        ]
+    bounds = sketch.selectExpr(*[f"{sql_name(b)} AS `_s_{b}`" for b in by], "n", *brackets)
     bounds = broadcast_if_small(bounds)
 
     if by:
@@ -162,18 +165,12 @@ def _bracketed(
         joined = base.join(bounds, same)
     else:
         joined = base.crossJoin(bounds)
-    per_fraction = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("_i"),
-                F.when(F.col("_v") >= F.col(f"_lo{i}"), F.col("_v")).alias("_x"),
-                (F.col("_v") <= F.col(f"_hi{i}")).alias("_keep"),
-            )
-            for i in range(len(qs))
-        ]
+    per_fraction = ", ".join(
+        f"struct({i} AS _i, CASE WHEN _v >= _lo{i} THEN _v END AS _x, _v <= _hi{i} AS _keep)"
+        for i in range(len(qs))
     )
     counts = (
-        joined.select(*by, "n", F.inline(per_fraction))
+        joined.select(*by, "n", F.expr(f"inline(array({per_fraction}))"))
         .filter("_keep")
         .groupBy(*by, "_i", "n", "_x")
         .agg(F.count("*").alias("_cnt"))
@@ -188,17 +185,15 @@ def _pick(ranked: DataFrame, wanted: Mapping[str, tuple], by: list[str], kind: s
     """Read the values at the wanted ranks off the running totals, in one aggregate."""
     aggregates, results = [], []
     for name, (q, i) in wanted.items():
-        lower, upper, weight = _ranks(F.col("n"), q, kind)
-        mine = F.lit(True) if i is None else F.col("_i") == i
+        lower, upper, weight = _ranks(q, kind)
+        mine = "true" if i is None else f"_i = {i}"
         for label, rank in (("lo", lower), ("hi", upper)):
-            holds = (
-                mine & (F.col("cum__cnt") >= rank) & (F.col("cum__cnt") - F.col("_cnt") < rank)
-            )
             # Exactly one row holds the rank; a null value there means a missed bracket.
-            aggregates.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{label}_{name}"))
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+            holds = f"{mine} AND cum__cnt >= {rank} AND cum__cnt - _cnt < {rank}"
+            aggregates.append(F.expr(f"max(CASE WHEN {holds} THEN _v END) AS `_{label}_{name}`"))
+        lo, hi = f"`_lo_{name}`", f"`_hi_{name}`"
         value = lo if kind == "disc" else _interpolate(lo, hi, weight)
-        missed = F.raise_error(F.lit(f"percentile {name} fell outside its bracket")).cast("double")
-        results.append(F.when(lo.isNull() | hi.isNull(), missed).otherwise(value).alias(name))
+        missed = f"CAST(raise_error('percentile {name} fell outside its bracket') AS DOUBLE)"
+        results.append(f"CASE WHEN {lo} IS NULL OR {hi} IS NULL THEN {missed} ELSE {value} END AS `{name}`")
     grouped = ranked.groupBy(*by).agg(F.max("n").alias("n"), *aggregates)
-    return grouped.filter(F.col("n").isNotNull()).select(*by, "n", *results)
+    return grouped.filter(F.col("n").isNotNull()).selectExpr(*[sql_name(b) for b in by], "n", *results)

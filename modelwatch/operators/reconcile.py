@@ -20,6 +20,7 @@ from modelwatch.functions.columns import (
     plus_days,
     ratio,
     round_half_up,
+    sql_literal,
     week_of,
 )
 from modelwatch.operators.alerts import QUIET_DAYS, period_of
@@ -41,7 +42,11 @@ def event_days(predictions: DataFrame, time: str = "event_time") -> tuple[date |
 
 def _midnight(day: date | None, like: DataFrame, column: str) -> Column:
     """Midnight of `day` in the type of `column`, so that comparing needs no cast of the column."""
-    return F.lit(None if day is None else day.isoformat()).cast(like.schema[column].dataType)
+    return F.lit(_iso(day)).cast(like.schema[column].dataType)
+
+
+def _iso(day: date | None) -> str | None:
+    return None if day is None else day.isoformat()
 
 
 def _shift(day: date | None, days: int) -> date | None:
@@ -106,10 +111,15 @@ def cohort_by_vantage(
     cohort = in_days(predictions, time, start, end).select(key, "prediction")
     joined = cohort.join(labels.select(key, "label", "available_at"), key, how)
     # Position of the first vantage point at which the label is known; null = after all.
-    known = F.lit(None).cast("int")
-    for i, d in reversed(list(enumerate(points))):
-        at = _midnight(_shift(end, d), labels, "available_at")
-        known = F.when(F.col("available_at") <= at, F.lit(i)).otherwise(known)
+    kind = labels.schema["available_at"].dataType.simpleString()
+    known = F.expr(
+        "CASE "
+        + " ".join(
+            f"WHEN available_at <= CAST({sql_literal(_iso(_shift(end, d)))} AS {kind}) THEN {i}"
+            for i, d in enumerate(points)
+        )
+        + " END"
+    )
     cells = joined.groupBy(
         known.alias("known_from"), (F.col("prediction") == positive).alias("positive"), "label"
     ).agg(F.count("*").alias("cnt"))

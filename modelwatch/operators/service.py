@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from modelwatch.functions.columns import day_of, ratio, status_class
 from modelwatch.operators.latency import (
+    SECONDS,
     bucket_counts,
     bucket_rows,
     histogram_quantile,
@@ -66,15 +67,14 @@ def latency_over_time(
     path: str = "/predict",
     time: str = "created_at",
     bounds: Sequence[float] = LATENCY_BUCKETS,
-    duration: Column | None = None,
+    duration: str = SECONDS,
 ) -> DataFrame:
     """Estimated latency quantiles per interval for one path, from bucket counts only."""
-    sec = duration if duration is not None else F.col("duration_ms") / F.lit(1000.0)
     by = ["bucket"]
     aggregated = (
         log.filter(F.col("path") == path)
         .groupBy(time_bucket(time, seconds).alias("bucket"))
-        .agg(*bucket_counts(sec, bounds))
+        .agg(*bucket_counts(duration, bounds))
     )
     return histogram_quantile(bucket_rows(aggregated, by, bounds), quantiles, by, bounds)
 

@@ -6,7 +6,7 @@ SQL twins are in `suite.common`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelwatch.functions.columns import decide, plus_days
@@ -17,12 +17,17 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SHIFT_DAY = 20
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+def with_k(raw: DataFrame) -> DataFrame:
+    """Replace the JSON text by its one number.
+
+    As a generated row, so that a filter using k is not pushed below it and parses again.
+    """
+    k = F.expr("inline(array(struct(CAST(get_json_object(props, '$.k') AS INT) AS k)))")
+    return raw.select(*[c for c in raw.columns if c != "props"], k)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("k", _k()).drop("props")
+    return with_k(table(spark, sf_dir, "events"))
 
 
 def as_predictions(ev: DataFrame) -> DataFrame:

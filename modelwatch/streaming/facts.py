@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from modelwatch.operators.contract import Contract
-from modelwatch.operators.drift import DriftReference, bin_columns
+from modelwatch.operators.drift import DriftReference, bin_generator
 from modelwatch.operators.scoring import score_requests
 from modelwatch.streaming.telemetry import with_event_time
 
@@ -37,12 +37,10 @@ def daily_bin_stream(
     traffic: DataFrame, reference: DriftReference, delay: str, time: str = "event_time"
 ) -> DataFrame:
     """(day, feature_id, bin, cnt) per closed day: the input of `drift.rolling_psi`."""
-    bins = bin_columns(reference.numeric, reference.categorical)
-    pairs = [F.struct(F.lit(i).alias("feature_id"), b.alias("bin")) for i, b in enumerate(bins.values())]
     return (
         with_event_time(traffic, time)
         .withWatermark(time, delay)
-        .select(time, F.inline(F.array(*pairs)))
+        .select(time, bin_generator(reference.numeric, reference.categorical))
         .groupBy(F.window(time, "1 day"), "feature_id", "bin")
         .agg(F.count("*").alias("cnt"))
         .select(F.to_date(F.col("window.start")).alias("day"), "feature_id", "bin", "cnt")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.columns import ratio, status_class
-from modelwatch.operators.latency import bucket_counts, bucket_rows
+from modelwatch.operators.latency import SECONDS, bucket_counts, bucket_rows
 from modelwatch.schemas import LATENCY_BUCKETS
 
 
@@ -26,16 +26,15 @@ def windowed_histogram(
     window: str,
     delay: str,
     time: str = "created_at",
-    seconds=None,
+    seconds: str = SECONDS,
     bounds: Sequence[float] = LATENCY_BUCKETS,
 ) -> DataFrame:
     """(bucket, path, le_ord, le, cum) per closed window."""
-    sec = seconds if seconds is not None else F.col("duration_ms") / F.lit(1000.0)
     counted = (
         with_event_time(log, time)
         .withWatermark(time, delay)
         .groupBy(F.window(time, window), "path")
-        .agg(*bucket_counts(sec, bounds))
+        .agg(*bucket_counts(seconds, bounds))
         .withColumn("bucket", F.col("window.start").cast("timestamp_ntz"))
     )
     return bucket_rows(counted, ["bucket", "path"], bounds)

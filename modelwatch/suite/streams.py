@@ -12,6 +12,7 @@ from modelwatch.sources.derived import (
     as_outcome_labels,
     as_predictions,
     as_request_log,
+    with_k,
 )
 from modelwatch.streaming.facts import (
     append_to,
@@ -35,8 +36,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _stream(spark, sf_dir, "events")
-    return raw.withColumn("k", F.get_json_object("props", "$.k").cast("int")).drop("props")
+    return with_k(_stream(spark, sf_dir, "events"))
 
 
 def _written(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ def test_right_closed_bins_match_cut(spark):
     sample = np.round(rng.normal(size=500), 1)
     edges = [-1.0, -0.3, 0.0, 0.5, 1.2]
     df = spark.createDataFrame([(float(v),) for v in sample], "v double")
-    got = values(df.select(fx.right_closed_bin("v", edges).alias("b")), "b")
+    got = values(df.select(F.expr(fx.right_closed_bin("v", edges)).alias("b")), "b")
     want = pd.cut(pd.Series(sample), [-np.inf, *edges, np.inf], labels=False)
     assert got == want.tolist()
 
