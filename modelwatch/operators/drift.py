@@ -271,8 +271,7 @@ def _shares(df: DataFrame, numeric: dict, categorical: dict) -> DataFrame:
     )
     cnt = F.coalesce(F.try_element_at("counts", F.col("bin")), F.lit(0).cast("bigint"))
     return (
-        F.broadcast(layout)
-        .join(counted, "feature_id", "left")
+        layout.join(F.broadcast(counted), "feature_id", "left")  # one row per feature
         .filter("scored")
         .select("feature", "bin", cnt.alias("cnt"), "numeric", "n_all", "n_known")
         .select(

@@ -28,17 +28,19 @@ def tie_groups(scored: DataFrame, score: str = "score", truth: str = "y") -> Dat
     )
 
 
-def _curve(scored: DataFrame, score: str, truth: str) -> DataFrame:
-    blocks = order_blocks(tie_groups(scored, score, truth), [], "score", descending=True)
-    return running_totals(blocks, [], "score", ["n", "pos"], descending=True)
+def rank_scores(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
+    """Tie groups in score ranges, highest first: computed once, read by every measure below."""
+    return order_blocks(tie_groups(scored, score, truth), [], "score", descending=True)
 
 
-def pr_curve(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
+def _running(ranked: DataFrame) -> DataFrame:
+    return running_totals(ranked, [], "score", ["n", "pos"], descending=True)
+
+
+def curve_of(ranked: DataFrame) -> DataFrame:
     """(threshold, n_flagged, n_hits, precision, recall) for every distinct score."""
-    curve = _curve(scored, score, truth)
-    # Every positive is counted at the lowest threshold: one row.
-    total = curve.agg(F.max("cum_pos").alias("_positives"))
-    return curve.crossJoin(F.broadcast(total)).select(
+    total = ranked.agg(F.sum("pos").alias("_positives"))  # one row
+    return _running(ranked).crossJoin(F.broadcast(total)).select(
         F.col("score").alias("threshold"),
         F.col("cum_n").alias("n_flagged"),
         F.col("cum_pos").alias("n_hits"),
@@ -47,23 +49,28 @@ def pr_curve(scored: DataFrame, score: str = "score", truth: str = "y") -> DataF
     )
 
 
-def evaluate(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
+def pr_curve(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
+    return curve_of(rank_scores(scored, score, truth))
+
+
+def summary_of(ranked: DataFrame) -> DataFrame:
     """One row (pr_auc, prevalence, n_sample); pr_auc is step-wise average precision.
 
     The recall gained at a threshold is its own positives over all positives, so the sum
     needs the running totals only for the precision. Without positives it is 0.
     """
-    curve = _curve(scored, score, truth)
-    return curve.agg(
-        F.coalesce(
-            F.sum(F.col("pos") * ratio("cum_pos", "cum_n")) / F.nullif(F.sum("pos").cast("double"), F.lit(0.0)),
-            F.lit(0.0),
-        ).alias("pr_auc"),
+    gained = F.sum(F.col("pos") * ratio("cum_pos", "cum_n"))
+    return _running(ranked).agg(
+        F.coalesce(ratio(gained, F.sum("pos")), F.lit(0.0)).alias("pr_auc"),
         ratio(F.sum("pos"), F.sum("n")).alias("prevalence"),
         F.sum("n").alias("n_sample"),
     )
 
 
+def evaluate(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
+    return summary_of(rank_scores(scored, score, truth))
+
+
 def operating_points(curve: DataFrame, floors: Sequence[float]) -> DataFrame:
     """For each precision floor the lowest threshold that meets it; unmet floors are absent.
 
@@ -88,16 +95,20 @@ def operating_points(curve: DataFrame, floors: Sequence[float]) -> DataFrame:
     )
 
 
-def find_threshold(
-    scored: DataFrame, min_precision: float = MIN_PRECISION, score: str = "score", truth: str = "y"
-) -> tuple[float, float, float]:
+def threshold_of(ranked: DataFrame, min_precision: float = MIN_PRECISION) -> tuple[float, float, float]:
     """(precision, recall, threshold) at the lowest threshold meeting the floor; error if none."""
-    row = operating_points(pr_curve(scored, score, truth), [min_precision]).first()
+    row = operating_points(curve_of(ranked), [min_precision]).first()
     if row is None:
         raise ValueError(f"no threshold reaches min_precision={min_precision}")
     return row["precision"], row["recall"], row["threshold"]
 
 
+def find_threshold(
+    scored: DataFrame, min_precision: float = MIN_PRECISION, score: str = "score", truth: str = "y"
+) -> tuple[float, float, float]:
+    return threshold_of(rank_scores(scored, score, truth), min_precision)
+
+
 def precision_recall_at(
     scored: DataFrame, threshold: float, score: str = "score", truth: str = "y"
 ) -> DataFrame:
@@ -119,13 +130,16 @@ def floor_cost(
     scored: DataFrame, high: float, low: float, score: str = "score", truth: str = "y"
 ) -> DataFrame:
     """What lowering the precision floor buys: share flagged and precision of the extra rows."""
-    curve = pr_curve(scored, score, truth)
-    points = operating_points(curve, [high, low])
-    n_rows = curve.agg(F.max("n_flagged").alias("_n"))
-    at = {f"_{k}_{c}": F.max(F.when(F.col("min_precision") == v, F.col(c))).alias(f"_{k}_{c}")
-          for k, v in (("high", float(high)), ("low", float(low))) for c in ("n_flagged", "n_hits")}
+    ranked = rank_scores(scored, score, truth)
+    points = operating_points(curve_of(ranked), [high, low])
+    n_rows = ranked.agg(F.sum("n").alias("_n"))  # one row
+    wanted = [
+        F.max(F.when(F.col("min_precision") == float(floor), F.col(c))).alias(f"_{name}_{c}")
+        for name, floor in (("high", high), ("low", low))
+        for c in ("n_flagged", "n_hits")
+    ]
     return (
-        points.agg(*at.values())
+        points.agg(*wanted)
         .crossJoin(F.broadcast(n_rows))
         .select(
             ratio("_high_n_flagged", "_n").alias("share_flagged_high"),
@@ -172,7 +186,7 @@ def bootstrap_average_precision(
     lie above its range, and then draws inside its own range. So no drawn row is ever
     shuffled or joined: what leaves a task is one partial sum per iteration.
     """
-    blocks = order_blocks(tie_groups(scored, score, truth), [], "score", descending=True)
+    blocks = rank_scores(scored, score, truth)
     totals = (
         blocks.groupBy(BLOCK)
         .agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))

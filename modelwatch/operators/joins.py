@@ -7,16 +7,38 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.operators.checks import CheckFailed, require_no_nulls, require_unique
+from modelwatch.operators.checks import CheckFailed, require_no_nulls
+
+
+def key_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row: most rows per key on either side, and keys without a partner.
+
+    Everything a validated join has to know, from one shuffle of the keys alone; counts
+    combine map-side, so a key with very many rows is one row per task.
+    """
+    keys = left.select(key, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionAll(
+        right.select(key, F.lit(0), F.lit(1))
+    )
+    return (
+        keys.groupBy(key)
+        .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+        .agg(
+            F.coalesce(F.max("_l"), F.lit(0)).alias("max_left"),
+            F.coalesce(F.max("_r"), F.lit(0)).alias("max_right"),
+            # A null key never finds a partner, on whichever side it is.
+            F.count_if((F.col("_l") > 0) & ((F.col("_r") == 0) | F.col(key).isNull())).alias("left_only"),
+            F.count_if((F.col("_r") > 0) & ((F.col("_l") == 0) | F.col(key).isNull())).alias("right_only"),
+        )
+    )
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join whose key is unique on both sides and which must keep every left row."""
-    require_unique(left, [key], "left side")
-    require_unique(right, [key], "right side")
-    unmatched = left.join(right.select(key), key, "left_anti").count()
-    if unmatched:
-        raise CheckFailed(f"{unmatched} rows found no partner on {key}")
+    match = key_match(left, right, key).first()
+    if match["max_left"] > 1 or match["max_right"] > 1:
+        raise CheckFailed(f"{key} is not unique: {match.asDict()}")
+    if match["left_only"]:
+        raise CheckFailed(f"{match['left_only']} rows found no partner on {key}")
     return left.join(right, key, "inner")
 
 
@@ -36,10 +58,13 @@ def attach_truth(
     wanted = truth.select(truth_key, label).withColumnsRenamed(
         {truth_key: prediction_key, label: as_name}
     )
-    require_unique(wanted, [prediction_key], "truth")
-    merged = predictions.join(wanted, prediction_key, "left")
-    require_no_nulls(merged, [as_name])
-    return merged
+    match = key_match(predictions, wanted, prediction_key).first()
+    if match["max_right"] > 1:
+        raise CheckFailed(f"truth: {truth_key} is not unique")
+    if match["left_only"]:
+        raise CheckFailed(f"{match['left_only']} values of {prediction_key} have no truth")
+    require_no_nulls(wanted, [as_name])
+    return predictions.join(wanted, prediction_key, "left")
 
 
 def asof_labels(

@@ -1,7 +1,7 @@
 """Exact stratified multi-way split, reproducible from the ids alone.
 
-Rows are ordered by a digest of (id, seed). A digest spreads evenly, so its first three
-hex digits cut each class into 4,096 equal slices; the slice counts say in which slice
+Rows are ordered by a digest of (id, seed). A digest spreads evenly, so its first four
+hex digits cut each class into 65,536 equal slices; the slice counts say in which slice
 each quota ends, and only those few slices are sorted. The rest of the data is compared
 with the resulting cut points in a narrow pass: nothing but counts is shuffled.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from modelwatch.session import materialise
 
-SLICE_DIGITS = 3
+SLICE_DIGITS = 4
 
 # Share held out at each step, of the rows still left.
 DEFAULT_STEPS = (
@@ -77,7 +77,7 @@ def stratified_split(
     )
     population = keyed.filter(~F.col("_out"))
 
-    # classes x 4,096 rows at most; the classes are counted before anything is fetched.
+    # classes x 65,536 rows at most; the classes are counted before anything is fetched.
     slices = materialise(population.groupBy("_class", "_slice").agg(F.count("*").alias("cnt")))
     per_class = slices.groupBy("_class").agg(F.sum("cnt").alias("n"))
     sizes = {r["_class"]: r["n"] for r in per_class.limit(max_classes + 1).collect()}

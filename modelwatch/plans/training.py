@@ -13,9 +13,11 @@ from modelwatch.operators.evaluation import (
     MIN_PRECISION,
     bootstrap_band,
     evaluate,
-    find_threshold,
     gate,
     precision_recall_at,
+    rank_scores,
+    summary_of,
+    threshold_of,
 )
 from modelwatch.operators.features import LABEL, fit
 from modelwatch.operators.joins import require_parity
@@ -53,11 +55,12 @@ def run_training(
     train = dataset.filter("split = 'train'")
     model = fit(estimator, train, features, scale_numeric, seed, max_iter)
     val = predict_scores(model, dataset.filter("split = 'val'").select(key, *features.all, LABEL))
-    # Scored once, read by the metrics, the curve and the sample.
+    # Scored once, read by the ranking and the sample.
     val = val.persist()
     try:
-        summary = evaluate(val, "score", LABEL).first().asDict()
-        precision, recall, threshold = find_threshold(val, min_precision, "score", LABEL)
+        ranked = rank_scores(val, "score", LABEL)
+        summary = summary_of(ranked).first().asDict()
+        precision, recall, threshold = threshold_of(ranked, min_precision)
         rows = sample_first(val, key, SAMPLE_ROWS).collect()
     finally:
         val.unpersist()

@@ -41,7 +41,7 @@ def replace_table(df: DataFrame, path: str, version_column: str = "refresh") ->
     For small derived tables: one file, so the refresh appears in one step or not at all.
     """
     version = time.time_ns()
-    df.withColumn(version_column, F.lit(version)).coalesce(1).write.mode("append").partitionBy(
+    df.withColumn(version_column, F.lit(version)).repartition(1).write.mode("append").partitionBy(
         version_column
     ).parquet(path)
     return version

@@ -26,7 +26,7 @@ from modelwatch.streaming.telemetry import windowed_histogram, windowed_service_
 from modelwatch.suite.common import OUTCOME_LABELS, PREDICTIONS, REQUEST_LOG, rounded
 from modelwatch.suite.drift import _METRICS, reference
 from modelwatch.suite.latency import BOUNDS, histogram_sql
-from modelwatch.suite.training import DOCUMENT_CONTRACT, train
+from modelwatch.suite.training import DOCUMENT_CONTRACT, labelled, train
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +88,7 @@ def _drift(spark, sf_dir):
 
 def _trained_scores(spark, sf_dir):
     """Documents as a request stream, scored by a model fitted on the labelled ones."""
-    result = train(spark, sf_dir, "logreg")
+    result = train(labelled(spark, sf_dir), "logreg")
     requests = _stream(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("customer_id"), "n_chars", "lang", "source"
     )

@@ -10,6 +10,7 @@ from modelwatch.operators.scoring import responses, score_requests
 from modelwatch.operators.splits import stratified_split
 from modelwatch.plans.training import TrainingResult, run_gate, run_training
 from modelwatch.schemas import FeatureSet
+from modelwatch.session import materialise
 from modelwatch.sources.files import table
 
 FEATURES = FeatureSet(numeric=["n_chars"], categorical={"lang": [], "source": []})
@@ -24,16 +25,16 @@ DOCUMENT_CONTRACT = Contract(
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with their split."""
+    """Labelled documents with their split, as the stored dataset the jobs read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     truth = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     data = docs.join(truth, "doc_id")
-    return data.join(stratified_split(data, "doc_id", "label"), "doc_id")
+    return materialise(data.join(stratified_split(data, "doc_id", "label"), "doc_id"))
 
 
-def train(spark: SparkSession, sf_dir: str, name: str, max_iter: int | None = None) -> TrainingResult:
+def train(dataset: DataFrame, name: str, max_iter: int | None = None) -> TrainingResult:
     return run_training(
-        labelled(spark, sf_dir), FEATURES, name, scale_numeric=name != "gb", key="doc_id", max_iter=max_iter
+        dataset, FEATURES, name, scale_numeric=name != "gb", key="doc_id", max_iter=max_iter
     )
 
 
@@ -52,15 +53,14 @@ def _row(spark: SparkSession, result: TrainingResult) -> DataFrame:
 
 
 def _gate(spark, sf_dir):
-    result = train(spark, sf_dir, "logreg")
-    return run_gate(
-        result.model, labelled(spark, sf_dir), FEATURES, result.metrics["threshold"], key="doc_id"
-    )
+    dataset = labelled(spark, sf_dir)
+    result = train(dataset, "logreg")
+    return run_gate(result.model, dataset, FEATURES, result.metrics["threshold"], key="doc_id")
 
 
 def _score(spark, sf_dir):
     """Score every document, labelled or not."""
-    result = train(spark, sf_dir, "logreg")
+    result = train(labelled(spark, sf_dir), "logreg")
     requests = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("customer_id"), "n_chars", "lang", "source"
     )
@@ -72,9 +72,9 @@ def _score(spark, sf_dir):
 
 
 QUERIES = {
-    "train_logreg": lambda s, d: _row(s, train(s, d, "logreg")),
-    "train_logreg_balanced": lambda s, d: _row(s, train(s, d, "logreg_balanced")),
-    "train_gbt": lambda s, d: _row(s, train(s, d, "gb", max_iter=20)),
+    "train_logreg": lambda s, d: _row(s, train(labelled(s, d), "logreg")),
+    "train_logreg_balanced": lambda s, d: _row(s, train(labelled(s, d), "logreg_balanced")),
+    "train_gbt": lambda s, d: _row(s, train(labelled(s, d), "gb", max_iter=20)),
     "gate_frozen": _gate,
     "score_requests": _score,
 }

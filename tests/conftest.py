@@ -8,7 +8,7 @@ sys.path.insert(0, str(ROOT))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from modelwatch.session import build_session
 
     session = build_session(
@@ -16,7 +16,7 @@ def spark():
         "local[8]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
-        spark__sql__warehouse__dir="/tmp/modelwatch-warehouse",
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
