@@ -75,7 +75,7 @@ def noise_floor(metrics: DataFrame, quiet_days: int = QUIET_DAYS, places: int =
 
 def chi_square_floor(metrics: DataFrame, bins_per_feature: DataFrame) -> DataFrame:
     """Expected PSI of sampling noise, (bins - 1) / rows of the window, next to the measured one."""
-    return metrics.join(F.broadcast(bins_per_feature), "feature").withColumn(
+    return metrics.join(bins_per_feature, "feature").withColumn(
         "noise_floor", (F.col("n_bins") - F.lit(1)).cast("double") / F.col("n_rows")
     )
 

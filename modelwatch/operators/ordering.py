@@ -49,6 +49,7 @@ def running_totals(
     inside = Window.partitionBy(*by, BLOCK).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
 
+    # One row per group and range: also without groups this window sees ranges, not rows.
     offsets = blocks.groupBy(*by, BLOCK).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures]).select(
         *[F.col(c).alias(f"_o_{c}") for c in [*by, BLOCK]],
         *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],

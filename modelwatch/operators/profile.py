@@ -61,9 +61,11 @@ def banded_profile(
     name: str = "band",
 ) -> DataFrame:
     """Segment profile over right-closed bands; shares are of all rows, empty bands are absent."""
-    return segment_profile(df, band(column, edges, labels), name, positive).filter(
-        F.col(name).isNotNull()
-    )
+    profile = segment_profile(df, band(column, edges, labels), name, positive)
+    # As generated rows: pushed further down, the filter would split the shared aggregate
+    # into two scans, one with and one without the rows outside the bands.
+    rows = F.inline(F.array(F.struct(*profile.columns)))
+    return profile.select(rows).filter(F.col(name).isNotNull())
 
 
 def rate_of(df: DataFrame, condition: Column, name: str = "rate_pct") -> DataFrame:

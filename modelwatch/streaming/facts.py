@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -12,6 +12,8 @@ from modelwatch.operators.drift import DriftReference, bin_generator
 from modelwatch.operators.scoring import score_requests
 from modelwatch.streaming.telemetry import with_event_time
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+
 
 def unique_requests(facts: DataFrame, delay: str, key: str = "request_id", time: str = "event_time") -> DataFrame:
     """Keep the first of repeated ids; ids are remembered for the watermark delay only."""
@@ -83,8 +85,19 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, partition_by: str |
     return writer.partitionBy(partition_by) if partition_by else writer
 
 
-def run_available(writer: DataStreamWriter) -> StreamingQuery:
-    """Process everything there is, then stop."""
-    query = writer.trigger(availableNow=True).start()
+def run_available(writer: DataStreamWriter, state_partitions: int | None = None) -> StreamingQuery:
+    """Process everything there is, then stop.
+
+    The first run of a checkpoint fixes how many partitions its state has for good, so the
+    number is given here, by the size of the state, rather than left to the session.
+    """
+    spark = SparkSession.getActiveSession()
+    session_value = spark.conf.get(PARTITIONS)
+    if state_partitions:
+        spark.conf.set(PARTITIONS, state_partitions)
+    try:
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PARTITIONS, session_value)
     query.awaitTermination()
     return query

@@ -166,18 +166,16 @@ drift_metrics AS (
     FROM terms GROUP BY day, feature, window_days)"""
 
 _ALERTS = f"""{_METRICS},
-bounds AS (SELECT CAST(min(day) + 20 AS DATE) AS ramp_start FROM drift_metrics),
+aged AS (SELECT *, day - min(day) OVER () AS age FROM drift_metrics),
 lines AS (
-    SELECT feature, window_days,
-           percentile_disc(0.5) WITHIN GROUP (ORDER BY psi)
-           + 3 * (percentile_disc(0.95) WITHIN GROUP (ORDER BY psi)
-                  - percentile_disc(0.5) WITHIN GROUP (ORDER BY psi)) AS alert_at
-    FROM drift_metrics WHERE day < (SELECT ramp_start FROM bounds) GROUP BY 1, 2),
+    SELECT feature, window_days, p[1] + 3 * (p[2] - p[1]) AS alert_at
+    FROM (SELECT feature, window_days, quantile_disc(psi, [0.5, 0.95]) AS p
+          FROM aged WHERE age < 20 GROUP BY ALL)),
 crossings AS (
-    SELECT feature, window_days, alert_at, min(day) AS alert_day,
-           count(*) FILTER (WHERE day < (SELECT ramp_start FROM bounds)) AS false_alarms
-    FROM drift_metrics JOIN lines USING (feature, window_days)
-    WHERE psi >= alert_at GROUP BY 1, 2, 3)"""
+    SELECT feature, window_days, alert_at, min(day) AS alert_day, min(age) AS day_index,
+           CAST(count_if(age < 20) AS BIGINT) AS false_alarms
+    FROM aged JOIN lines USING (feature, window_days)
+    WHERE psi >= alert_at GROUP BY ALL)"""
 
 _ROUNDED = "SELECT day, feature, window_days, round(psi, 6) AS psi, n_rows FROM drift_metrics"
 
@@ -213,28 +211,21 @@ ORACLES = {
                    greatest(coalesce(w.cnt, 0) / CAST(n_cur AS DOUBLE), 0.5 / n_cur) AS q
             FROM ref_share r CROSS JOIN n LEFT JOIN whole w ON w.feature = r.feature AND w.bin = r.bin)
         SELECT feature, round(sum((q - p) * ln(q / p)), 6) AS psi, max(n_cur) AS n_rows FROM t GROUP BY 1""",
-    "drift_noise_floor": f"""{_METRICS},
-        bounds AS (SELECT CAST(min(day) + 20 AS DATE) AS ramp_start FROM drift_metrics),
-        labelled AS (
-            SELECT feature, window_days, psi, day < ramp_start AS quiet FROM drift_metrics CROSS JOIN bounds),
-        a AS (
-            SELECT feature, window_days,
-                   percentile_disc(0.5) WITHIN GROUP (ORDER BY psi) FILTER (WHERE quiet) AS b50,
-                   percentile_disc(0.95) WITHIN GROUP (ORDER BY psi) FILTER (WHERE quiet) AS b95,
-                   max(psi) FILTER (WHERE quiet) AS bmax,
-                   percentile_disc(0.5) WITHIN GROUP (ORDER BY psi) FILTER (WHERE NOT quiet) AS r50,
-                   max(psi) FILTER (WHERE NOT quiet) AS rmax
-            FROM labelled GROUP BY 1, 2)
-        SELECT feature, window_days, round(b50, 6) AS baseline_p50, round(b95, 6) AS baseline_p95,
-               round(bmax, 6) AS baseline_max, round(b50 + 3 * (b95 - b50), 6) AS alert_at,
-               round(r50, 6) AS ramp_p50, round(rmax, 6) AS ramp_max,
-               round(r50 / nullif(bmax, 0), 4) AS separation
-        FROM a""",
+    "drift_noise_floor": f"""{_ALERTS},
+        quiet AS (
+            SELECT feature, window_days, quantile_disc(psi, [0.5, 0.95]) AS p, max(psi) AS top
+            FROM aged WHERE age < 20 GROUP BY ALL),
+        moved AS (
+            SELECT feature, window_days, quantile_disc(psi, 0.5) AS p50, max(psi) AS top
+            FROM aged WHERE age >= 20 GROUP BY ALL)
+        SELECT feature, window_days, round(q.p[1], 6) AS baseline_p50, round(q.p[2], 6) AS baseline_p95,
+               round(q.top, 6) AS baseline_max, round(alert_at, 6) AS alert_at, round(m.p50, 6) AS ramp_p50,
+               round(m.top, 6) AS ramp_max, round(m.p50 / nullif(q.top, 0), 4) AS separation
+        FROM quiet q JOIN moved m USING (feature, window_days) JOIN lines USING (feature, window_days)""",
     "drift_alert_line": f"{_ALERTS} SELECT feature, window_days, round(alert_at, 6) AS alert_at FROM lines",
     "drift_detection": f"""{_ALERTS},
         mix AS (SELECT day, avg(CASE WHEN shifted THEN 1.0 ELSE 0.0 END) AS shifted_share FROM traffic GROUP BY 1)
-        SELECT feature, window_days, round(alert_at, 6) AS alert_at, false_alarms, alert_day,
-               alert_day - (SELECT min(day) FROM drift_metrics) AS day_index,
+        SELECT feature, window_days, round(alert_at, 6) AS alert_at, false_alarms, alert_day, day_index,
                round(100 * shifted_share, 3) AS shifted_pct_that_day
         FROM crossings LEFT JOIN mix ON mix.day = alert_day""",
     "drift_with_alert": f"""{_ALERTS}

@@ -68,43 +68,34 @@ _OK = "path = '/predict' AND status_code = 200"
 _TIMED = f"{_OK} AND routing_ms IS NOT NULL AND predict_ms IS NOT NULL AND insert_ms IS NOT NULL"
 
 
-def _disc(q: float, column: str, name: str) -> str:
-    return f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column}) AS {name}"
-
-
 ORACLES = {
-    "latency_total": f"""WITH {REQUEST_LOG}
-        SELECT count(*) AS n, {_disc(.5, 'duration_ms', 'p50_ms')}, {_disc(.95, 'duration_ms', 'p95_ms')},
-               {_disc(.99, 'duration_ms', 'p99_ms')}, max(duration_ms) AS max_ms
-        FROM request_log WHERE {_OK}""",
+    "latency_total": f"""WITH {REQUEST_LOG},
+        q AS (
+            SELECT count(*) AS n, quantile_disc(duration_ms, [0.5, 0.95, 0.99]) AS p, max(duration_ms) AS max_ms
+            FROM request_log WHERE {_OK})
+        SELECT n, p[1] AS p50_ms, p[2] AS p95_ms, p[3] AS p99_ms, max_ms FROM q""",
     "latency_by_phase": f"""WITH {REQUEST_LOG},
-        base AS (SELECT * FROM request_log WHERE {_TIMED}),
         long AS (
-            SELECT 1 AS ord, 'routing' AS phase, routing_ms AS ms FROM base
-            UNION ALL SELECT 2, 'predict', predict_ms FROM base
-            UNION ALL SELECT 3, 'insert', insert_ms FROM base
-            UNION ALL SELECT 4, 'total', duration_ms FROM base)
-        SELECT phase, {_disc(.5, 'ms', 'p50_ms')}, {_disc(.95, 'ms', 'p95_ms')}, {_disc(.99, 'ms', 'p99_ms')}
-        FROM long GROUP BY ord, phase ORDER BY ord""",
+            UNPIVOT (SELECT routing_ms AS routing, predict_ms AS predict, insert_ms AS insert, duration_ms AS total
+                     FROM request_log WHERE {_TIMED})
+            ON routing, predict, insert, total INTO NAME phase VALUE ms),
+        q AS (SELECT phase, quantile_disc(ms, [0.5, 0.95, 0.99]) AS p FROM long GROUP BY phase)
+        SELECT phase, p[1] AS p50_ms, p[2] AS p95_ms, p[3] AS p99_ms FROM q""",
     "latency_composition": f"""WITH {REQUEST_LOG},
-        base AS (
-            SELECT duration_ms, routing_ms, predict_ms, insert_ms,
-                   duration_ms - (routing_ms + predict_ms + insert_ms) AS other_ms
-            FROM request_log WHERE {_TIMED}),
-        cuts AS (SELECT {_disc(.45, 'duration_ms', 'p45')}, {_disc(.55, 'duration_ms', 'p55')},
-                        {_disc(.99, 'duration_ms', 'p99')} FROM base),
-        bucketed AS (
-            SELECT b.*, CASE WHEN duration_ms BETWEEN p45 AND p55 THEN 'p50'
-                             WHEN duration_ms >= p99 THEN 'p99+' END AS bucket
-            FROM base b CROSS JOIN cuts)
-        SELECT bucket, count(*) AS n, round(avg(duration_ms), 6) AS avg_total_ms,
-               round(avg(routing_ms), 6) AS routing_ms, round(avg(predict_ms), 6) AS predict_ms,
-               round(avg(insert_ms), 6) AS insert_ms, round(avg(other_ms), 6) AS other_ms,
-               round(100 * avg(routing_ms) / avg(duration_ms), 5) AS routing_pct,
-               round(100 * avg(predict_ms) / avg(duration_ms), 5) AS predict_pct,
-               round(100 * avg(insert_ms) / avg(duration_ms), 5) AS insert_pct,
-               round(100 * avg(other_ms) / avg(duration_ms), 5) AS other_pct
-        FROM bucketed WHERE bucket IS NOT NULL GROUP BY bucket""",
+        base AS (SELECT * FROM request_log WHERE {_TIMED}),
+        cuts AS (SELECT quantile_disc(duration_ms, [0.45, 0.55, 0.99]) AS p FROM base),
+        means AS (
+            SELECT if(duration_ms >= p[1] AND duration_ms <= p[2], 'p50', 'p99+') AS bucket, count(*) AS n,
+                   avg(duration_ms) AS t, avg(routing_ms) AS a, avg(predict_ms) AS b, avg(insert_ms) AS c,
+                   avg(duration_ms - (routing_ms + predict_ms + insert_ms)) AS d
+            FROM base, cuts
+            WHERE (duration_ms >= p[1] AND duration_ms <= p[2]) OR duration_ms >= p[3]
+            GROUP BY 1)
+        SELECT bucket, n, round(t, 6) AS avg_total_ms, round(a, 6) AS routing_ms, round(b, 6) AS predict_ms,
+               round(c, 6) AS insert_ms, round(d, 6) AS other_ms, round(100 * a / t, 5) AS routing_pct,
+               round(100 * b / t, 5) AS predict_pct, round(100 * c / t, 5) AS insert_pct,
+               round(100 * d / t, 5) AS other_pct
+        FROM means""",
     "latency_phases_long": f"""WITH {REQUEST_LOG}
         SELECT request_id, 'routing' AS phase, routing_ms AS ms FROM request_log
         UNION ALL SELECT request_id, 'predict', predict_ms FROM request_log
@@ -125,9 +116,8 @@ ORACLES = {
         {histogram_sql('base', 'seconds', 'path')},
         {quantile_sql('path')},
         exact AS (
-            SELECT 'p50' AS q_name, {_disc(.5, 'seconds', 'x')} FROM base
-            UNION ALL SELECT 'p95', {_disc(.95, 'seconds', 'x')} FROM base
-            UNION ALL SELECT 'p99', {_disc(.99, 'seconds', 'x')} FROM base)
+            SELECT unnest(['p50', 'p95', 'p99']) AS q_name,
+                   unnest(quantile_disc(seconds, [0.5, 0.95, 0.99])) AS x FROM base)
         SELECT q_name AS quantile, round(x, 6) AS exact, round(estimate, 6) AS estimated,
                round(estimate - x, 6) AS error, round(100 * (estimate - x) / x, 6) AS error_pct
         FROM exact JOIN estimates USING (q_name)""",

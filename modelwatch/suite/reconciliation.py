@@ -56,37 +56,36 @@ QUERIES = {
 
 
 def _measures(source: str, group: str) -> str:
-    """Quality measures over a CTE with columns prediction, label, revealed."""
-    return f"""SELECT {group}, count(*) AS n_predictions, count(*) FILTER (WHERE revealed) AS n_labelled,
-       round(100.0 * count(*) FILTER (WHERE revealed) / CAST(count(*) AS DOUBLE), 4) AS coverage_pct,
-       round(avg(CAST(label AS DOUBLE)) FILTER (WHERE revealed), 6) AS labelled_positive_rate,
-       round(CAST(count(*) FILTER (WHERE revealed AND prediction = 'positive' AND label = 1) AS DOUBLE)
-           / nullif(count(*) FILTER (WHERE revealed AND prediction = 'positive'), 0), 6) AS precision,
-       round(CAST(count(*) FILTER (WHERE revealed AND prediction = 'positive' AND label = 1) AS DOUBLE)
-           / nullif(count(*) FILTER (WHERE revealed AND label = 1), 0), 6) AS recall
-FROM {source} GROUP BY {group}"""
+    """Quality measures over a CTE with 0/1 columns r (revealed), f (flagged), y (label)."""
+    return f"""SELECT {group}, count(*) AS n_predictions, CAST(sum(r) AS BIGINT) AS n_labelled,
+           round(100 * sum(r) / CAST(count(*) AS DOUBLE), 4) AS coverage_pct,
+           round(sum(r * y) / CAST(nullif(sum(r), 0) AS DOUBLE), 6) AS labelled_positive_rate,
+           round(sum(r * f * y) / CAST(nullif(sum(r * f), 0) AS DOUBLE), 6) AS precision,
+           round(sum(r * f * y) / CAST(nullif(sum(r * y), 0) AS DOUBLE), 6) AS recall
+    FROM {source} GROUP BY {group}"""
+
+
+def _flags(as_of: str) -> str:
+    return f"""CAST(coalesce(l.available_at <= CAST({as_of} AS TIMESTAMP), FALSE) AS INTEGER) AS r,
+               CAST(p.prediction = 'positive' AS INTEGER) AS f, coalesce(l.label, 0) AS y"""
 
 
 def _vantage(preds: str, labels: str, days: str, start: int, end: int, join: str) -> str:
-    return f"""week AS (
-        SELECT CAST(min(event_time) AS DATE) + {start} AS week_start,
-               CAST(min(event_time) AS DATE) + {end} AS week_end FROM {preds}),
-    scored AS (
-        SELECT v.d AS days_after_week, w.week_end + v.d AS as_of, p.prediction, l.label,
-               coalesce(l.available_at <= CAST(w.week_end + v.d AS TIMESTAMP), FALSE) AS revealed
-        FROM {preds} p {join} JOIN {labels} l ON l.request_id = p.request_id
-        CROSS JOIN week w CROSS JOIN (SELECT unnest([{days}]) AS d) v
-        WHERE p.event_time >= w.week_start AND p.event_time < w.week_end)
-    {_measures('scored', 'days_after_week, as_of')}"""
+    return f"""origin AS (SELECT CAST(min(event_time) AS DATE) AS d0 FROM {preds}),
+    points AS (SELECT unnest([{days}]) AS days_after_week),
+    judged AS (
+        SELECT days_after_week, d0 + {end} + days_after_week AS as_of, {_flags(f'd0 + {end} + days_after_week')}
+        FROM origin, points, {preds} p {join} JOIN {labels} l USING (request_id)
+        WHERE p.event_time >= d0 + {start} AND p.event_time < d0 + {end})
+    {_measures('judged', 'days_after_week, as_of')}"""
 
 
 def _weekly(preds: str, labels: str, days: int, join: str) -> str:
-    return f"""scored AS (
-        SELECT CAST(date_trunc('week', p.event_time) AS DATE) AS prediction_week, p.prediction, l.label,
-               coalesce(l.available_at <= CAST((SELECT CAST(max(event_time) AS DATE) + ({days}) FROM {preds})
-                        AS TIMESTAMP), FALSE) AS revealed
-        FROM {preds} p {join} JOIN {labels} l ON l.request_id = p.request_id)
-    {_measures('scored', 'prediction_week')}"""
+    return f"""final AS (SELECT CAST(max(event_time) AS DATE) + ({days}) AS as_of FROM {preds}),
+    judged AS (
+        SELECT CAST(date_trunc('week', p.event_time) AS DATE) AS prediction_week, {_flags('as_of')}
+        FROM final, {preds} p {join} JOIN {labels} l USING (request_id))
+    {_measures('judged', 'prediction_week')}"""
 
 
 _EVENT_FACTS = f"WITH {PREDICTIONS}, {OUTCOME_LABELS}"
@@ -100,15 +99,15 @@ ORACLES = {
     "reconcile_weekly_orders": f"WITH {ORDER_FACTS}, "
     + _weekly("order_predictions", "order_labels", -700, "LEFT"),
     "reconcile_mature": f"""{_EVENT_FACTS},
-        bounds AS (SELECT CAST(min(event_time) AS DATE) + 20 AS ramp_start FROM predictions)
-        SELECT CASE WHEN p.event_time < b.ramp_start THEN 'baseline' ELSE 'ramp' END AS period,
-               count(*) AS n, round(avg(CAST(l.label AS DOUBLE)), 6) AS prevalence,
-               round(CAST(count(*) FILTER (WHERE prediction = 'positive' AND label = 1) AS DOUBLE)
-                   / nullif(count(*) FILTER (WHERE prediction = 'positive'), 0), 6) AS precision,
-               round(CAST(count(*) FILTER (WHERE prediction = 'positive' AND label = 1) AS DOUBLE)
-                   / nullif(count(*) FILTER (WHERE label = 1), 0), 6) AS recall
-        FROM predictions p JOIN outcome_labels l ON l.request_id = p.request_id CROSS JOIN bounds b
-        GROUP BY 1""",
+        origin AS (SELECT CAST(min(event_time) AS DATE) AS d0 FROM predictions),
+        judged AS (
+            SELECT if(event_time < d0 + 20, 'baseline', 'ramp') AS period, label AS y,
+                   CAST(prediction = 'positive' AS INTEGER) AS f
+            FROM origin, predictions JOIN outcome_labels USING (request_id))
+        SELECT period, count(*) AS n, round(sum(y) / CAST(count(*) AS DOUBLE), 6) AS prevalence,
+               round(sum(f * y) / CAST(nullif(sum(f), 0) AS DOUBLE), 6) AS precision,
+               round(sum(f * y) / CAST(nullif(sum(y), 0) AS DOUBLE), 6) AS recall
+        FROM judged GROUP BY period""",
     "asof_labels": f"""WITH {ORDER_FACTS}
         SELECT p.request_id, event_time, prediction, CAST(label AS DOUBLE) AS label, available_at,
                coalesce(available_at <= TIMESTAMP '1999-01-01', FALSE) AS revealed

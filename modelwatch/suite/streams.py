@@ -41,7 +41,8 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     out = shared_path(spark, name)
-    run_available(append_to(stream, f"{out}/data", f"{out}/checkpoint"))
+    writer = append_to(stream, f"{out}/data", f"{out}/checkpoint")
+    run_available(writer, state_partitions=spark.sparkContext.defaultParallelism)
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
