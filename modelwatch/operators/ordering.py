@@ -18,7 +18,7 @@ from modelwatch.session import broadcast_if_small, materialise
 BLOCK = "_block"
 
 # Up to this many rows an aggregate may hold all values of a group in one hash entry.
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 250_000
 # Rank error of the bracketing sketch is rows / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
 

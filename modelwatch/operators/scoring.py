@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +14,6 @@ from pyspark.sql import types as T
 
 from modelwatch.functions.columns import decide, default_id, default_time
 from modelwatch.operators.contract import Contract, split_valid, validate
-from modelwatch.operators.evaluation import scored_batches
 
 
 def predict_scores(model: PipelineModel, df: DataFrame, score: str = "score") -> DataFrame:
@@ -29,8 +29,14 @@ def score_foreign(
     score: str = "score",
 ) -> DataFrame:
     """Score with a model that is not a Spark one, batch by batch over Arrow."""
+    names = list(features)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(**{score: np.asarray(predict(frame[names]), dtype=float)})
+
     schema = T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType())])
-    return df.mapInPandas(lambda it: scored_batches(it, predict, features, score), schema)
+    return df.mapInPandas(batches, schema)
 
 
 def decisions(

@@ -11,6 +11,7 @@ from modelwatch.suite import (
     reconciliation,
     service,
     splits,
+    storage,
     streams,
     training,
 )
@@ -24,6 +25,7 @@ MODULES = (
     drift,
     evaluation,
     splits,
+    storage,
     training,
     streams,
 )

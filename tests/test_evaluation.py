@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 
 from modelwatch.operators import evaluation as ev
@@ -126,5 +125,4 @@ def test_bootstrap_band(spark, sample):
 
 def test_curve_is_a_dataframe_without_single_task_window(spark, sample, capsys):
     ev.pr_curve(frame(spark, sample)).explain("formatted")
-    plan = capsys.readouterr().out
-    assert "_block" in plan and pd is not None
+    assert "_block" in capsys.readouterr().out
