@@ -75,11 +75,11 @@ def measures(text: str) -> tuple[dict[str, float], np.ndarray]:
         "upper": n[UPPER] / letters,
         "marked": float(marked.sum()) / count,
         "bars": n[BAR] / count,
-        "repeats": again / count,
+        "repeats": max(0, again - 1) / count,
         "variety": len(set(words)) / (2 * count) ** 0.5,
         "stops": float(ends.sum()) / count,
         "length": solid / count,
-        "letters": letters / solid,
+        "digits": n[DIGIT] / solid,
     }, kinds
 
 
@@ -90,7 +90,8 @@ def votes(m: dict[str, float]) -> list[int]:
         return BAD if if_bad else ABSTAIN
 
     some = m["words"] >= 8
-    clean = m["symbols"] < 0.02 and m["letters"] > 0.9
+    plain = m["symbols"] < 0.02 and m["repeats"] < 0.05
+    ended = m["stops"] > 0.02 and (m["stops"] < 0.35 or not some)
     return [
         bad(m["symbols"] > 0.06),
         bad(some and m["upper"] > 0.5),
@@ -98,14 +99,14 @@ def votes(m: dict[str, float]) -> list[int]:
         bad(m["bars"] > 0.1),
         bad(some and m["repeats"] > 0.2),
         bad(m["words"] >= 20 and m["variety"] < 1.5),
-        bad(m["letters"] < 0.8),
+        bad(m["digits"] > 0.5),
         bad(m["length"] > 20),
-        GOOD if clean and m["repeats"] < 0.05 and m["upper"] < 0.2 else ABSTAIN,
-        GOOD if clean and some and 0.02 < m["stops"] < 0.35 and m["repeats"] < 0.05 else ABSTAIN,
+        GOOD if plain and (m["upper"] < 0.3 or not some) else ABSTAIN,
+        GOOD if plain and ended else ABSTAIN,
     ]
 
 
-HEURISTICS = len(votes(dict.fromkeys("words symbols upper marked bars repeats variety stops length letters".split(), 0)))
+HEURISTICS = len(votes(dict.fromkeys("words symbols upper marked bars repeats variety stops length digits".split(), 0)))
 
 
 def features(m: dict[str, float], kinds: np.ndarray) -> np.ndarray:
