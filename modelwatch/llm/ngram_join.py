@@ -14,13 +14,16 @@ Steps, all distributed:
    decides speed: any order gives the same result.
 2. Index: the prefix entries of each class, shuffled once by shingle and read as a sorted stream
    that keeps entries held by two or more classes. Entries that nobody shares lower the overlap
-   that their document can reach, and documents that cannot reach the threshold leave.
-3. Hubs: each class is verified against the documents it shares most entries with among those
-   for which a shared shingle stands first. Large groups of near copies fall together here without
+   that their document can reach.
+3. Hubs: each class is verified against the classes it shares most entries with among those in
+   which a shared shingle stands first. Large groups of near copies fall together here without
    any pair of two ordinary members.
 4. Join: pairs from different components only, by size, position and number of common entries,
    then verified on the whole sets. A pair inside a component cannot change it.
 
+Only documents in a pair to be verified have their sets built again; a Bloom filter of their ids
+keeps all other texts out of the shuffle.
+
 Keys are 64 bits wide: n distinct texts meet by chance with probability n^2 / 2^65.
 """
 
@@ -34,13 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelwatch.llm.bloom import bloom_filter
 from modelwatch.llm.common import keyed_texts, pieces
 from modelwatch.session import materialise
 
-#: Size of the table of frequent shingles that is sent to every task (12 bytes an entry).
-ORDER_TABLE = 65_536
-#: Entries that one task reports for it, and the repetitions that make a shingle worth reporting.
-TASK_TABLE, TASK_LEAST = 4_096, 4
+#: Size of the table of frequent shingles that is sent to every task (16 bytes an entry).
+ORDER_TABLE = 262_144
+#: Entries that one task reports for it, and the shingles it compares at once.
+TASK_TABLE, TASK_SHINGLES = 32_768, 4_000_000
 #: Index entries that one verification is taken to cost.
 VERIFY_COST = 16
 #: A frequent shingle's index entries are read in runs of about so many.
@@ -56,12 +60,6 @@ class _WordKeys(dict):
         return key
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def shingle_set(text: str, width: int, keys: dict) -> np.ndarray:
     """Sorted distinct keys of the `width`-word shingles; a shorter text is one shingle."""
     words = text.encode("utf-8", "replace").lower().split()
@@ -71,8 +69,13 @@ def shingle_set(text: str, width: int, keys: dict) -> np.ndarray:
     span = min(width, len(words))
     h = np.full(len(words) - span + 1, span, np.uint64)
     for i in range(span):
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + k[i : i + len(h)])
-    return np.unique(h.view(np.int64))
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += k[i : i + len(h)]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    s = np.sort((h ^ (h >> np.uint64(31))).view(np.int64))
+    return s[np.r_[True, s[1:] != s[:-1]]]
 
 
 def set_key(s: np.ndarray) -> int:
@@ -84,29 +87,46 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _repeated(sets: list[np.ndarray], tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that two or more of the sets hold, added to what was counted before."""
+    if not sets:
+        return tokens, counts
+    found, n = np.unique(np.concatenate(sets), return_counts=True)
+    found, n = found[n > 1], n[n > 1]
+    tokens, where = np.unique(np.concatenate([tokens, found]), return_inverse=True)
+    counts = np.bincount(where, np.concatenate([counts, n]), len(tokens)).astype(np.int64)
+    top = np.sort(np.argsort(-counts, kind="stable")[: 4 * TASK_TABLE])
+    return tokens[top], counts[top]
+
+
 def _profile(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, tokens, counts = _WordKeys(), np.empty(0, np.int64), np.empty(0, np.int64)
+        held, shingles, seen = [], 0, set()
         for frame in pieces(batches):
-            sets = [shingle_set(t, width, keys) for t in frame.text]
+            sizes, classes = [], []
+            for text in frame["text"]:
+                s = shingle_set(text, width, keys)
+                sizes.append(len(s))
+                classes.append(set_key(s))
+                if classes[-1] not in seen:
+                    seen.add(classes[-1])
+                    held.append(s)
+                    shingles += len(s)
             yield pd.DataFrame(
                 {
-                    "doc_id": frame.doc_id.array,
-                    "n": np.array([len(s) for s in sets], np.int64),
-                    "cls": np.array([set_key(s) for s in sets], np.int64),
-                    "token": pd.array([None] * len(sets), "Int64"),
-                    "count": np.zeros(len(sets), np.int64),
+                    "doc_id": frame["doc_id"].array,
+                    "n": np.array(sizes, np.int64),
+                    "cls": np.array(classes, np.int64),
+                    "token": pd.array([None] * len(sizes), "Int64"),
+                    "count": np.zeros(len(sizes), np.int64),
                 }
             )
-            distinct = {set_key(s): s for s in sets}
-            got, n = np.unique(np.concatenate([*distinct.values(), tokens[:0]]), return_counts=True)
-            tokens, where = np.unique(np.concatenate([tokens, got[n > 1]]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, n[n > 1]]), len(tokens)).astype(np.int64)
-            if len(tokens) > 64 * TASK_TABLE:
-                top = np.sort(np.argsort(-counts, kind="stable")[: 16 * TASK_TABLE])
-                tokens, counts = tokens[top], counts[top]
+            if shingles > TASK_SHINGLES:
+                tokens, counts = _repeated(held, tokens, counts)
+                held, shingles, seen = [], 0, set()
+        tokens, counts = _repeated(held, tokens, counts)
         top = np.argsort(-counts, kind="stable")[:TASK_TABLE]
-        top = top[counts[top] >= TASK_LEAST]
         yield pd.DataFrame(
             {
                 "doc_id": pd.array([None] * len(top), "Int64"),
@@ -147,10 +167,11 @@ def _entries(width: int, percent: int, most: int, order):
                     s, f = s[by], f[by]
                 m = matches_wanted(f, n, percent, most)
                 p = n - least_overlap(n, percent) + m
-                runs = f[:p] // RUN_ROWS + 1
-                out.append((s[:p], np.full(p, cls), np.full(p, n), np.arange(p), np.full(p, m), cls % runs, runs))
+                runs = f[:p] // RUN_ROWS
+                run = np.where(runs > 0, 1 + cls % (runs + 1), 0)
+                out.append((s[:p], run, np.arange(p), np.full(p, cls), np.full(p, n), np.full(p, m)))
             if out:
-                names = ("token", "cls", "n", "pos", "matches", "run", "runs")
+                names = ("token", "run", "pos", "cls", "n", "matches")
                 yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
@@ -159,39 +180,40 @@ def _entries(width: int, percent: int, most: int, order):
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Entries held by two or more classes, from a stream sorted by token, run, pos and class.
 
-    Holds one batch and one row. The first class of a run is its hub. Runs of a split shingle are
-    kept whole, since other runs hold its other classes.
+    Holds one batch and one row. The first entry of a run is its hub's. Run 0 holds all entries of a
+    shingle; runs from 1 are parts of a frequent one and kept even if they hold a single class.
     """
-    held, hub, last = None, None, None  # a run's only row so far; hub and key of the run read last
+    names = ["cls", "pos", "n", "matches"]
+    held = last = hub = None  # a run's only row so far; key and hub of the run read last
     for frame in batches:
         if held is not None:
-            frame, held = pd.concat([held, frame], ignore_index=True), None
-            hub = last = None
-        if not len(frame):
-            continue
-        key = frame[["token", "run"]].to_numpy()
-        full = frame[["token", "run", "cls"]].to_numpy()
-        new = np.ones(len(frame), bool)
-        new[1:] = (full[1:] != full[:-1]).any(axis=1)
-        if last is not None:
-            new[0] = tuple(full[0]) != last
-        frame, key, full = frame[new], key[new], full[new]
+            frame, held, last = pd.concat([held, frame], ignore_index=True), None, None
         if not len(frame):
             continue
-        first = np.ones(len(frame), bool)
-        first[1:] = (key[1:] != key[:-1]).any(axis=1)
-        goes_on = last is not None and tuple(key[0]) == last[:2]
-        run = np.cumsum(first) - 1
-        length = np.bincount(run)
-        hubs = frame["cls"].to_numpy()[first]
+        token, run, cls = (frame[c].to_numpy() for c in ("token", "run", "cls"))
+        first = np.r_[True, (token[1:] != token[:-1]) | (run[1:] != run[:-1])]
+        new = first | np.r_[True, cls[1:] != cls[:-1]]
+        goes_on = last is not None and (token[0], run[0]) == last[:2]
+        if goes_on:
+            new[0] = cls[0] != last[2]
+            first[0] = False
+        last = (token[-1], run[-1], cls[-1])
+        part = np.cumsum(first) - (0 if goes_on else 1)
+        start = np.flatnonzero(first)
+        hubs = frame[names].to_numpy()[start]
+        if goes_on:
+            hubs = np.vstack([hub, hubs])
+        hub = hubs[-1:]
+        size = np.bincount(part[new], minlength=len(hubs))
         if goes_on:
-            length[0] += 1
-            hubs[0] = hub
-        keep = (length[run] > 1) | (frame["runs"].to_numpy() > 1)
-        if not keep[-1]:
-            held = frame.iloc[-1:]
-        last, hub = tuple(full[-1]), hubs[-1]
-        yield frame.assign(hub=hubs[run])[keep].drop(columns=["run", "runs"])
+            size[0] += 1
+        keep = new & ((size[part] > 1) | (run > 0))
+        if size[-1] == 1 and run[-1] == 0:
+            held = frame.iloc[[start[-1]]]
+        out = frame[keep].drop(columns="run")
+        for i, c in enumerate(names):
+            out[f"hub_{c}"] = hubs[part[keep], i]
+        yield out
 
 
 def _sets(width: int):
@@ -272,66 +294,69 @@ def near_groups(
     top = sorted((r.token, r["count"]) for r in top.orderBy(F.desc("count"), "token").limit(ORDER_TABLE).collect())
     order = spark.sparkContext.broadcast(tuple(np.array(c, np.int64) for c in zip(*top)) or (np.empty(0, np.int64),) * 2)
 
-    fields = "token bigint, cls bigint, n bigint, pos bigint, matches bigint"
+    fields = "pos bigint, cls bigint, n bigint, matches bigint"
     entries = docs.select("text").mapInPandas(
-        _entries(width, percent, most_matches, order), f"{fields}, run bigint, runs bigint"
+        _entries(width, percent, most_matches, order), f"token bigint, run bigint, {fields}"
     )
-    shared = materialise(
+    index = materialise(
         entries.repartition("token", "run")
         .sortWithinPartitions("token", "run", "pos", "cls")
-        .mapInPandas(_shared, f"{fields}, hub bigint")
+        .mapInPandas(
+            _shared,
+            f"token bigint, {fields}, hub_cls bigint, hub_pos bigint, hub_n bigint, hub_matches bigint",
+        )
     )
-
-    def need(n):
-        return F.expr(f"({percent} * {n} + 99) div 100")
-
     # Unshared prefix entries are lost for any overlap.
-    live = (
-        shared.groupBy("cls")
-        .agg(F.max("n").alias("n"), F.max("matches").alias("m"), F.countDistinct("token").alias("held"))
-        .select("cls", (F.col("held") + need("n") - F.col("m")).alias("reach"), "n")
-        .filter(F.col("reach") >= need("n"))
-        .select("cls", "reach")
-    )
-    index = materialise(shared.join(live, "cls"))
-    wanted = index.select("cls").distinct().join(classes, "cls").select(F.col("doc_id").alias("wanted")).distinct()
-    # Two sides of unknown size: the texts are shuffled once, unless the wanted ids turn out small.
-    sets = (
-        docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-        .select("text")
-        .mapInPandas(_sets(width), "cls bigint, shingles array<bigint>")
-    )
-    sets = materialise(sets.dropDuplicates(["cls"]).join(index.select("cls").distinct(), "cls", "left_semi"))
+    held = index.groupBy("cls").agg(F.countDistinct("token").alias("held"))
+    need = F.expr(f"({percent} * n + 99) div 100")
+    index = index.join(held, "cls").withColumn("reach", F.col("held") + need - F.col("matches")).drop("held")
+
+    overlap = F.expr(f"({percent} * (n + other_n) + {99 + percent}) div {100 + percent}")
+    asked = F.least("matches", "other_matches")
+
+    def candidates(entries: DataFrame) -> DataFrame:
+        """Pairs (a, b) that pass by size, position and number of common entries."""
+        fits = (F.col("reach") >= overlap) & (F.least("n", "other_n") >= overlap)
+        for pos, n in (("pos", "n"), ("other_pos", "other_n")):
+            fits &= F.col(pos) < F.col(n) - overlap + asked
+        rest = F.least(F.col("n") - F.col("pos"), F.col("other_n") - F.col("other_pos"))
+        fits &= F.least("pos", "other_pos") + rest >= overlap
+        pairs = entries.filter(fits).groupBy(F.col("cls").alias("a"), F.col("other_cls").alias("b"))
+        return pairs.agg(F.count("*").alias("common"), F.first(asked).alias("asked")).filter("common >= asked")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.select("a", "b"))
+        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        wanted = materialise(wanted.join(classes, "cls").select("cls", F.col("doc_id").alias("wanted")))
+        ids = wanted.select("wanted").distinct()
+        texts = docs.filter(bloom_filter(ids)(F.col("doc_id")))
+        sets = (
+            texts.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+            .select("text")
+            .mapInPandas(_sets(width), "cls bigint, shingles array<bigint>")
+            .join(wanted.select("cls"), "cls", "left_semi")
+            .dropDuplicates(["cls"])
+        )
+        return materialise(_verified(pairs, materialise(sets), percent))
 
-    hubs = index.filter("cls <> hub").groupBy("cls", "hub").agg(F.count("*").alias("common"))
-    best = Window.partitionBy("cls").orderBy(F.desc("common"), "hub")
-    hubs = hubs.withColumn("rank", F.row_number().over(best)).filter("rank <= 2")
-    first = materialise(_verified(hubs.select(F.col("cls").alias("a"), F.col("hub").alias("b")), sets, percent))
-    labels = materialise(components(first))
+    to_hub = index.filter("cls <> hub_cls")
+    for c in ("cls", "pos", "n", "matches"):
+        to_hub = to_hub.withColumnRenamed(f"hub_{c}", f"other_{c}")
+    best = Window.partitionBy("a").orderBy(F.desc("common"), "b")
+    hubs = candidates(to_hub).withColumn("rank", F.row_number().over(best)).filter("rank <= 2")
+    first = verified(hubs)
 
+    labels = materialise(components(first))
     labelled = (
-        index.drop("hub")
+        index.select("token", "cls", "pos", "n", "matches", "reach")
         .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         .withColumn("label", F.coalesce("label", "cls"))
     )
     spread = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     labelled = labelled.join(spread.select("token"), "token", "left_semi")
-    a = labelled.select("token", *[F.col(c).alias(f"{c}_a") for c in labelled.columns if c != "token"])
-    b = labelled.select("token", *[F.col(c).alias(f"{c}_b") for c in labelled.columns if c != "token"])
-    overlap = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
-    asked = F.least("matches_a", "matches_b")
-    pairs = (
-        a.join(b, "token")
-        .filter("cls_a < cls_b AND label_a <> label_b")
-        .filter((F.col("reach_a") >= overlap) & (F.col("reach_b") >= overlap))
-        .filter(F.col("pos_a") < F.col("n_a") - overlap + asked)
-        .filter(F.col("pos_b") < F.col("n_b") - overlap + asked)
-        .groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
-        .agg(F.count("*").alias("common"), F.first(asked).alias("asked"))
-        .filter("common >= asked")
-        .select("a", "b")
-    )
-    links = first.unionByName(_verified(pairs, sets, percent))
+    others = labelled.select("token", *[F.col(c).alias(f"other_{c}") for c in labelled.columns if c != "token"])
+    across = labelled.join(others, "token").filter("cls < other_cls AND label <> other_label")
+    links = first.unionByName(verified(candidates(across.filter(F.col("other_reach") >= overlap))))
 
     labels = components(links)
     names = labels.join(classes.withColumnRenamed("cls", "node"), "node")

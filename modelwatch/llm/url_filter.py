@@ -12,11 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modelwatch.llm.bloom import bloom_filter
 from modelwatch.session import materialise
 
-#: Filter words: about 16 bits for each listed key, at most 8 MiB in all. A longer list passes
-#: more false positives, which the join removes.
-KEYS_PER_WORD, MOST_WORDS, BITS_SET = 4, 1 << 20, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,36 +32,6 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _word(host: Column, path: Column, words: Column) -> Column:
-    return F.pmod(F.xxhash64(host, path), words).cast("int")
-
-
-def _mask(host: Column, path: Column) -> Column:
-    bits = F.xxhash64(host, path, F.lit("bits"))
-    mask = F.lit(0).cast("long")
-    for i in range(BITS_SET):
-        place = F.shiftright(bits, 6 * i).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-    return mask
-
-
-def bloom_filter(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row each: the filter's words (array<bigint>) and the shapes (labels, chars) that are listed."""
-    n = rules.count()
-    words = 1
-    while words * KEYS_PER_WORD < n and words < MOST_WORDS:
-        words *= 2
-    blocks = rules.groupBy(_word(F.col("host"), F.col("path"), F.lit(words)).alias("word")).agg(
-        F.bit_or(_mask(F.col("host"), F.col("path"))).alias("mask")
-    )
-    every = rules.sparkSession.range(words).select(F.col("id").cast("int").alias("word"))
-    blocks = every.join(blocks, "word", "left").select("word", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    shape = F.struct(F.size(F.split("host", "\\.")).alias("labels"), F.length("path").alias("chars"))
-    return blocks.agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("words")
-    ), rules.agg(F.sort_array(F.collect_set(shape)).alias("shapes"))
-
-
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col="page_id", url_col="url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row.
 
@@ -72,7 +40,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     rule. Rows with the same page_id are judged each for itself. An empty list allows everything.
     """
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("rule_verdict"))
-    words, shapes = bloom_filter(rules)
+    listed = bloom_filter(rules.select("host", "path"))
+    shape = F.struct(F.size(F.split("host", "\\.")).alias("labels"), F.length("path").alias("chars"))
+    shapes = rules.agg(F.sort_array(F.collect_set(shape)).alias("shapes"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
     rows = materialise(
         rows.select(
@@ -83,7 +53,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
         )
     )
     labels = F.size(F.split("host", "\\."))
-    # Subqueries: the filter and the shapes are computed once and reach the tasks as constants.
     keys = (
         rows.withColumn("s", F.explode(shapes.scalar()))
         .filter((labels >= F.col("s.labels")) & (F.length("path") >= F.col("s.chars")))
@@ -94,14 +63,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
             F.substr("path", F.lit(1), F.col("s.chars")).alias("path"),
         )
     )
-    mask = _mask(F.col("host"), F.col("path"))
-    word = F.get(words.scalar(), _word(F.col("host"), F.col("path"), F.size(words.scalar())))
     rule = F.struct(
         (F.length("host") + F.length("path")).alias("chars"),
         F.concat("host", "path").alias("rule"),
         F.col("rule_verdict").alias("verdict"),
     )
-    possible = keys.filter(word.bitwiseAND(mask) == mask)
+    possible = keys.filter(listed(F.col("host"), F.col("path")))
     best = possible.join(rules, ["host", "path"]).groupBy("row").agg(F.max(rule).alias("best"))
     return rows.join(best, "row", "left").select(
         "page_id",
