@@ -44,9 +44,9 @@ from modelwatch.session import materialise
 #: Size of the table of frequent shingles that is sent to every task (16 bytes an entry).
 ORDER_TABLE = 262_144
 #: Entries that one task reports for it, and the shingles it compares at once.
-TASK_TABLE, TASK_SHINGLES = 32_768, 4_000_000
-#: Index entries that one verification is taken to cost.
-VERIFY_COST = 16
+TASK_TABLE, TASK_SHINGLES = 32_768, 1_500_000
+#: Index entries that one verification is taken to cost; most candidates fail cheaper tests before.
+VERIFY_COST = 1
 #: A frequent shingle's index entries are read in runs of about so many.
 RUN_ROWS = 20_000
 CACHED_WORDS = 1_000_000
@@ -141,10 +141,13 @@ def _profile(width: int):
 
 
 def matches_wanted(frequencies: np.ndarray, n: int, percent: int, most: int) -> int:
-    """Number of common entries to ask for, from the frequencies along the set's order."""
-    need = least_overlap(n, percent)
-    choices = np.arange(1, min(most, need) + 1)
-    entries = np.cumsum(np.maximum(frequencies - 1, 0))[n - need + choices - 1]
+    """Number of common entries to ask for, from the frequencies along the set's order.
+
+    The cost is estimated for partners of equal size.
+    """
+    choices = np.arange(1, min(most, least_overlap(n, percent)) + 1)
+    overlap = -(-2 * percent * n // (100 + percent))
+    entries = np.cumsum(np.maximum(frequencies - 1, 0))[np.minimum(n - overlap + choices, n) - 1]
     return int(choices[np.argmin(entries * (1 + VERIFY_COST / choices))])
 
 
@@ -291,8 +294,8 @@ def near_groups(
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
 
     top = profile.filter("n < 0").groupBy("token").agg(F.sum("count").alias("count"))
-    top = sorted((r.token, r["count"]) for r in top.orderBy(F.desc("count"), "token").limit(ORDER_TABLE).collect())
-    order = spark.sparkContext.broadcast(tuple(np.array(c, np.int64) for c in zip(*top)) or (np.empty(0, np.int64),) * 2)
+    top = top.orderBy(F.desc("count"), "token").limit(ORDER_TABLE).toArrow().sort_by("token")
+    order = spark.sparkContext.broadcast((top["token"].to_numpy(), top["count"].to_numpy()))
 
     fields = "pos bigint, cls bigint, n bigint, matches bigint"
     entries = docs.select("text").mapInPandas(

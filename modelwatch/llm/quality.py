@@ -226,10 +226,13 @@ def score_quality(
 
     def scored(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         m = sent.value
-        found = [measures(t) for t in texts]
-        odds = np.array([features(f, k) @ m.weights + m.bias for f, k in found])
-        weak = posterior(m.votes, m.prior, np.array([votes(f) for f, _ in found]))
-        none = np.array([f["words"] == 0 for f, _ in found])
+        odds, seen, none = np.zeros(len(texts)), [], np.zeros(len(texts), bool)
+        for i, text in enumerate(texts):
+            found, kinds = measures(text)
+            odds[i] = features(found, kinds) @ m.weights + m.bias
+            seen.append(votes(found))
+            none[i] = found["words"] == 0
+        weak = posterior(m.votes, m.prior, np.array(seen).reshape(-1, HEURISTICS))
         score = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         return np.where(none, 0.0, weak), np.where(none, 0.0, score)
 
