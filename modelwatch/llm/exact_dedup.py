@@ -19,7 +19,7 @@ class DigestIndex:
     failure between two steps, say) changes nothing, since its own rows are named by the index.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 64, id_type: str = "bigint"):
+    def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int = 16, id_type: str = "bigint"):
         self.spark, self.buckets = spark, buckets
         self.folder = folder or shared_path(spark, "digests")
         self.name = f"digest_index_{uuid.uuid4().hex}"

@@ -248,24 +248,27 @@ def components(links: DataFrame) -> DataFrame:
     Alternating star contraction; each round is written to the shared folder. A node with many
     links is reduced by partial minima and joined by a join that adaptive execution can split.
     """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = materialise(edges), None
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = materialise(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         small = small.select("a", F.col("low").alias("b")).unionByName(
             small.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         )
         edges = materialise(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+        # Stars only: no node has two edges, and no centre is a leaf.
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("leaf")).unionByName(
+            edges.select(F.col("b").alias("node"), F.lit(0).alias("leaf"))
+        )
+        ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("centre"))
+        if ends.filter("leaf > 1 OR leaf = 1 AND centre = 0").isEmpty():
+            return ends.filter("leaf = 0").select("node", F.col("node").alias("label")).unionByName(
+                edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
             )
-        before = now
 
 
 def near_groups(

@@ -26,7 +26,8 @@ from modelwatch.llm.common import pieces as text_pieces
 
 SPACE = "▁"
 NO_RANK = np.int64(1) << 40
-CACHED_WORDS = 200_000
+#: Words remembered by a task, and words encoded at once.
+CACHED_WORDS, WORDS_AT_ONCE = 100_000, 40_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -227,8 +228,9 @@ class WordCache:
         split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         words = [split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         new = list({w for line in words for w in line if w not in self.ids})
-        fresh = dict(zip(new, (x.tobytes() for x in self.model.encode_words(new)), strict=True)) if new else {}
-        self.ids.update(fresh)
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            some = new[at : at + WORDS_AT_ONCE]
+            self.ids.update(zip(some, (x.tobytes() for x in self.model.encode_words(some)), strict=True))
         out = [np.frombuffer(b"".join(map(self.ids.__getitem__, line)), np.int32) for line in words]
         if len(self.ids) > CACHED_WORDS:
             self.ids = {}
