@@ -46,9 +46,14 @@ def number_or_zero(c: Column | str) -> Column:
 
 
 def blank_to_null(c: Column | str) -> Column:
-    """Blank text is null; other text must parse as a double (a bad cell is an error)."""
-    c = as_col(c)
-    return F.when(F.trim(c) != "", F.trim(c).cast("double"))
+    """Blank text is null; other text must be a plain number (a bad cell is an error).
+
+    The pattern check keeps type suffixes such as '1d' out.
+    """
+    text = as_col(c).cast("string")
+    bad = F.raise_error(F.concat(F.lit("not a number: "), text)).cast("double")
+    number = F.when(text.rlike(NUMBER_PATTERN), F.trim(text).cast("double")).otherwise(bad)
+    return F.when(F.trim(text) != "", number)
 
 
 def map_values(c: Column | str, mapping: Mapping) -> Column:
@@ -63,18 +68,26 @@ def map_values(c: Column | str, mapping: Mapping) -> Column:
 
 
 def decide(score: Column | str, threshold, positive: str, negative: str) -> Column:
-    """The positive answer at or above the threshold."""
-    return F.when(as_col(score) >= threshold, F.lit(positive)).otherwise(F.lit(negative))
+    """The positive answer at or above the threshold; no answer without a score (null or NaN)."""
+    score = as_col(score)
+    answer = F.when(score >= threshold, F.lit(positive)).otherwise(F.lit(negative))
+    return F.when(score.isNotNull() & ~F.isnan(score), answer)
 
 
 def default_time(c: Column | str, now: Column | None = None) -> Column:
     return F.coalesce(as_col(c), now if now is not None else F.current_timestamp())
 
 
-def default_id(c: Column | str, record: Sequence[Column | str]) -> Column:
-    """Missing ids get a digest of the record, so a re-run gives the same id."""
-    digest = F.sha2(F.to_json(F.struct(*[as_col(r) for r in record])), 256)
-    return F.coalesce(as_col(c), digest)
+def default_id(c: Column | str, record: Sequence[Column | str], position: Column | None = None) -> Column:
+    """Missing ids get a digest of the record and of its position in the source.
+
+    Equal records at different positions are different requests. Without a position the id
+    depends on the record alone.
+    """
+    parts = [F.to_json(F.struct(*[as_col(r) for r in record]))]
+    if position is not None:
+        parts.append(position.cast("string"))
+    return F.coalesce(as_col(c), F.sha2(F.concat_ws("@", *parts), 256))
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:

@@ -48,11 +48,7 @@ def alert_lines(metrics: DataFrame, quiet_days: int = QUIET_DAYS) -> DataFrame:
 
 
 def noise_floor(metrics: DataFrame, quiet_days: int = QUIET_DAYS, places: int = 4) -> DataFrame:
-    """Quiet and shifted PSI side by side per series, widest separation first.
-
-    `chi2_floor` is the expected PSI of pure sampling noise, (bins - 1) / rows, when the
-    metrics carry a `n_bins` column.
-    """
+    """Quiet and shifted PSI side by side per series, widest separation first."""
     quiet, shifted = "period = 'baseline'", "period = 'ramp'"
     agg = with_period(metrics, quiet_days).groupBy(*SERIES).agg(
         _disc(0.5, "psi", quiet).alias("baseline_p50"),

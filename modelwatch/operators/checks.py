@@ -77,12 +77,6 @@ def require_single_version(df: DataFrame, champion: str, column: str = "model_ve
         raise CheckFailed(f"rows were scored by version {found[0][0]}, the champion is {champion}")
 
 
-def require_unique(df: DataFrame, key: Sequence[str], what: str = "relation") -> None:
-    broken = duplicate_keys(df, key).limit(5).collect()
-    if broken:
-        raise CheckFailed(f"{what}: key {list(key)} is not unique, e.g. {[tuple(r) for r in broken]}")
-
-
 def require_no_nulls(df: DataFrame, columns: Sequence[str]) -> None:
     broken = [tuple(r) for r in null_counts(df, columns).filter("n_missing > 0").collect()]
     if broken:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.functions.columns import percent, round_half_up, sql_literal, unpivot_columns
-from modelwatch.operators.ordering import DIRECT_ROWS, exact_percentiles
+from modelwatch.operators.ordering import exact_percentiles
 from modelwatch.schemas import LATENCY_BUCKETS
 
 PERCENTILES = {"p50_ms": 0.50, "p95_ms": 0.95, "p99_ms": 0.99}
@@ -26,14 +26,14 @@ def with_all_phases(log: DataFrame) -> DataFrame:
     return log.dropna(subset=["routing_ms", "predict_ms", "insert_ms"])
 
 
-def total_percentiles(log: DataFrame, path: str = "/predict", direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def total_percentiles(log: DataFrame, path: str = "/predict") -> DataFrame:
     """(n, p50_ms, p95_ms, p99_ms, max_ms) of successful requests; one row, exact."""
     return exact_percentiles(
-        successful(log, path), "duration_ms", {**PERCENTILES, "max_ms": 1.0}, direct_rows=direct_rows
+        successful(log, path), "duration_ms", {**PERCENTILES, "max_ms": 1.0}
     )
 
 
-def phase_percentiles(log: DataFrame, path: str = "/predict", direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def phase_percentiles(log: DataFrame, path: str = "/predict") -> DataFrame:
     """(phase, p50_ms, p95_ms, p99_ms) in processing order, for requests with every phase timed."""
     timed = with_all_phases(successful(log, path))
     long = timed.select(
@@ -47,14 +47,14 @@ def phase_percentiles(log: DataFrame, path: str = "/predict", direct_rows: int =
         )
     )
     return (
-        exact_percentiles(long, "ms", PERCENTILES, by=["ord", "phase"], direct_rows=direct_rows)
+        exact_percentiles(long, "ms", PERCENTILES, by=["ord", "phase"])
         .orderBy("ord")
         .select("phase", *PERCENTILES)
     )
 
 
 def composition(
-    log: DataFrame, path: str = "/predict", places: int = 2, direct_rows: int = DIRECT_ROWS
+    log: DataFrame, path: str = "/predict", places: int = 2
 ) -> DataFrame:
     """Where the time goes in typical (p45 to p55) and slow (p99 and above) requests.
 
@@ -64,7 +64,7 @@ def composition(
         "other_ms", F.col("duration_ms") - (F.col("routing_ms") + F.col("predict_ms") + F.col("insert_ms"))
     )
     cuts = exact_percentiles(
-        base, "duration_ms", {"p45": 0.45, "p55": 0.55, "p99": 0.99}, direct_rows=direct_rows
+        base, "duration_ms", {"p45": 0.45, "p55": 0.55, "p99": 0.99}
     )
     parts = ["routing_ms", "predict_ms", "insert_ms", "other_ms"]
     bucket = F.when(F.col("duration_ms").between(F.col("p45"), F.col("p55")), F.lit("p50")).when(
@@ -157,12 +157,11 @@ def quantile_error(
     path: str = "/predict",
     seconds: str = SECONDS,
     bounds: Sequence[float] = LATENCY_BUCKETS,
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Exact against estimated percentiles of successful requests: (quantile, exact, estimated, error)."""
     base = successful(log, path).select("path", F.expr(seconds).alias("_seconds"))
     names = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
-    exact = exact_percentiles(base, "_seconds", names, direct_rows=direct_rows)
+    exact = exact_percentiles(base, "_seconds", names)
     estimated = histogram_quantile(
         latency_histogram(base, ["path"], "_seconds", bounds),
         {f"{k}_est": q for k, q in names.items()},

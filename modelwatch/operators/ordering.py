@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.functions.columns import sql_name
-from modelwatch.session import broadcast_if_small, materialise
+from modelwatch.session import materialise
 
 BLOCK = "_block"
 
-# Up to this many rows an aggregate may hold all values of a group in one hash entry.
-DIRECT_ROWS = 250_000
-# Rank error of the bracketing sketch is rows / SKETCH_ACCURACY.
+# Segments that a group's distinct values are cut into; only those that hold a wanted rank are sorted.
+SEGMENTS = 64
+# Rank error of the sketch that places the cuts is distinct values / SKETCH_ACCURACY. It decides how
+# even the segments are, never the result.
 SKETCH_ACCURACY = 10_000
 
 
@@ -87,7 +88,7 @@ def exact_percentiles(
     fractions: Mapping[str, float],
     by: Sequence[str] = (),
     kind: str = "disc",
-    direct_rows: int = DIRECT_ROWS,
+    segments: int = SEGMENTS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """Exact percentiles per group: columns `by`, `n` and one per entry of `fractions`.
@@ -95,106 +96,57 @@ def exact_percentiles(
     kind 'disc' returns the smallest value whose share of rows reaches the fraction,
     kind 'linear' interpolates between the two neighbouring values. Nulls do not count.
 
-    Small inputs use one aggregate. For larger ones a mergeable quantile sketch brackets each
-    percentile first; only values inside a bracket (a fraction 6 / accuracy of the rows)
-    are then shuffled, as value counts, and ranked with block-wise running totals. The rows
-    below a bracket travel as one count per task.
+    One way for every size. The input is read once and becomes value counts, which no tie can
+    skew. A sketch cuts each group's distinct values into segments; the exact row count of each
+    segment tells which ones hold a wanted rank, and only these are sorted, each on its own.
+    Segments tile all values, so no rank can be missed.
     """
     by = list(by)
     if kind not in ("disc", "linear"):
         raise ValueError(f"unknown percentile kind {kind!r}")
     base = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    if base.count() <= direct_rows:
-        return _direct(base, fractions, by, kind)
-    return _bracketed(base, fractions, by, kind, accuracy)
-
-
-def _direct(base: DataFrame, fractions: Mapping[str, float], by: list[str], kind: str) -> DataFrame:
-    if kind == "disc":
-        return base.groupBy(*by).agg(
-            F.count("*").alias("n"),
-            *[
-                F.expr(f"percentile_disc({float(q)!r}D) WITHIN GROUP (ORDER BY _v)").alias(name)
-                for name, q in fractions.items()
-            ],
-        )
-    counts = base.groupBy(*by, "_v").agg(F.count("*").alias("_cnt"))
-    # Bounded by direct_rows, which is checked by the caller.
-    window = Window.partitionBy(*by)
-    ranked = counts.withColumns(
-        {
-            "cum__cnt": F.sum("_cnt").over(
-                window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-            ),
-            "n": F.sum("_cnt").over(window),
-        }
+    counts = materialise(base.groupBy(*by, "_v").agg(F.count("*").alias("_cnt")))
+    steps = [i / segments for i in range(1, segments)]
+    sketch = counts.groupBy(*by).agg(
+        F.sum("_cnt").alias("n"), F.array_distinct(F.percentile_approx("_v", steps, accuracy)).alias("_cuts")
+    )
+    placed = _join_group(counts, sketch, by).withColumn("_seg", F.expr("size(filter(_cuts, c -> c < _v))")).drop("_cuts")
+
+    # At most `segments` rows a group from here on.
+    group = Window.partitionBy(*by).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "n", "_seg").agg(F.sum("_cnt").alias("_rows"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_rows").over(group), F.lit(0)))
+    ranks = sorted({rank for q in fractions.values() for rank in _ranks(q, kind)[:2]})
+    holds = " OR ".join(f"({rank} > _before AND {rank} <= _before + _rows)" for rank in ranks)
+    wanted = totals.filter(holds).select(*by, "_seg", "_before")
+
+    inside = Window.partitionBy(*by, "_seg").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _join_group(placed, wanted, [*by, "_seg"]).withColumn(
+        "cum__cnt", F.col("_before") + F.sum("_cnt").over(inside)
     )
-    return _pick(ranked, {name: (q, None) for name, q in fractions.items()}, by, kind)
+    return _pick(ranked, fractions, by, kind)
 
 
-def _bracketed(
-    base: DataFrame, fractions: Mapping[str, float], by: list[str], kind: str, accuracy: int
-) -> DataFrame:
-    margin = 3.0 / accuracy
-    qs = list(fractions.values())
-    cuts = [max(q - margin, 0.0) for q in qs] + [min(q + margin, 1.0) for q in qs]
-    sketch = materialise(
-        base.groupBy(*by).agg(
-            F.count("*").alias("n"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-            F.percentile_approx("_v", cuts, accuracy).alias("_cuts"),
-        )
-    )
-    # A group too small for the margin to cover a neighbouring rank keeps all its values.
-    whole = f"n < {4 * accuracy}"
-    brackets = []
-    for i, q in enumerate(qs):
-        lo = "true" if q - margin <= 0 else whole
-        hi = "true" if q + margin >= 1 else whole
-        brackets += [
-            f"CASE WHEN {lo} THEN _min ELSE _cuts[{i}] END AS _lo{i}",
-            f"CASE WHEN {hi} THEN _max ELSE _cuts[{len(qs) + i}] END AS _hi{i}",
-        ]
-    bounds = sketch.selectExpr(*[f"{sql_name(b)} AS `_s_{b}`" for b in by], "n", *brackets)
-    bounds = broadcast_if_small(bounds)
-
-    if by:
-        same = F.lit(True)
-        for b in by:
-            same = same & F.col(b).eqNullSafe(F.col(f"_s_{b}"))
-        joined = base.join(bounds, same)
-    else:
-        joined = base.crossJoin(bounds)
-    per_fraction = ", ".join(
-        f"struct({i} AS _i, CASE WHEN _v >= _lo{i} THEN _v END AS _x, _v <= _hi{i} AS _keep)"
-        for i in range(len(qs))
-    )
-    counts = (
-        joined.select(*by, "n", F.expr(f"inline(array({per_fraction}))"))
-        .filter("_keep")
-        .groupBy(*by, "_i", "n", "_x")
-        .agg(F.count("*").alias("_cnt"))
-        .withColumnRenamed("_x", "_v")
-    )
-    group = [*by, "_i"]
-    ranked = running_totals(order_blocks(counts, group, "_v"), group, "_v", ["_cnt"])
-    return _pick(ranked, {name: (q, i) for i, (name, q) in enumerate(fractions.items())}, by, kind)
+def _join_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join on group columns, in which nulls are equal; without any, `groups` is one row."""
+    if not by:
+        return rows.crossJoin(F.broadcast(groups))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_s_{b}"))
+    return rows.join(groups.withColumnsRenamed({b: f"_s_{b}" for b in by}), same).drop(*[f"_s_{b}" for b in by])
 
 
-def _pick(ranked: DataFrame, wanted: Mapping[str, tuple], by: list[str], kind: str) -> DataFrame:
+def _pick(ranked: DataFrame, fractions: Mapping[str, float], by: list[str], kind: str) -> DataFrame:
     """Read the values at the wanted ranks off the running totals, in one aggregate."""
     aggregates, results = [], []
-    for name, (q, i) in wanted.items():
+    for name, q in fractions.items():
         lower, upper, weight = _ranks(q, kind)
-        mine = "true" if i is None else f"_i = {i}"
         for label, rank in (("lo", lower), ("hi", upper)):
-            # Exactly one row holds the rank; a null value there means a missed bracket.
-            holds = f"{mine} AND cum__cnt >= {rank} AND cum__cnt - _cnt < {rank}"
+            # Exactly one row holds the rank.
+            holds = f"cum__cnt >= {rank} AND cum__cnt - _cnt < {rank}"
             aggregates.append(F.expr(f"max(CASE WHEN {holds} THEN _v END) AS `_{label}_{name}`"))
         lo, hi = f"`_lo_{name}`", f"`_hi_{name}`"
-        value = lo if kind == "disc" else _interpolate(lo, hi, weight)
-        missed = f"CAST(raise_error('percentile {name} fell outside its bracket') AS DOUBLE)"
-        results.append(f"CASE WHEN {lo} IS NULL OR {hi} IS NULL THEN {missed} ELSE {value} END AS `{name}`")
+        results.append(f"{lo if kind == 'disc' else _interpolate(lo, hi, weight)} AS `{name}`")
     grouped = ranked.groupBy(*by).agg(F.max("n").alias("n"), *aggregates)
     return grouped.filter(F.col("n").isNotNull()).selectExpr(*[sql_name(b) for b in by], "n", *results)

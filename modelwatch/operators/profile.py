@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.functions.columns import band, percent, unpivot_columns
-from modelwatch.operators.ordering import DIRECT_ROWS, exact_percentiles
+from modelwatch.operators.ordering import exact_percentiles
 
 
 def grouped_describe(
-    df: DataFrame, by: str, columns: Sequence[str], direct_rows: int = DIRECT_ROWS
+    df: DataFrame, by: str, columns: Sequence[str]
 ) -> DataFrame:
     """Count, mean, standard deviation, extremes and quartiles per (group, column)."""
     long = df.select(
@@ -27,7 +27,7 @@ def grouped_describe(
         F.max("x").alias("max"),
     )
     quartiles = exact_percentiles(
-        long, "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by=keys, kind="linear", direct_rows=direct_rows
+        long, "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by=keys, kind="linear"
     ).drop("n")
     return moments.join(quartiles, keys)
 

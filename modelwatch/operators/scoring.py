@@ -81,7 +81,9 @@ def score_requests(
         valid = valid.withColumn("event_time", F.lit(None).cast("timestamp"))
     record = [c for c in valid.columns if c != "request_id"]
     given = F.col("request_id") if "request_id" in valid.columns else F.lit(None).cast("string")
-    identified = valid.withColumn("request_id", default_id(given, record))
+    # A scan's row numbers repeat with a re-run; in a stream they start again with every micro-batch.
+    position = F.uuid() if valid.isStreaming else F.monotonically_increasing_id()
+    identified = valid.withColumn("request_id", default_id(given, record, position))
     facts = decisions(predict_scores(model, identified), threshold, version, positive, negative, now=now)
     return facts, quarantine
 

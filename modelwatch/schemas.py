@@ -91,16 +91,6 @@ SPLIT_MANIFEST = T.StructType(
     [T.StructField("customerID", T.StringType()), T.StructField("split", T.StringType())]
 )
 
-# All fields nullable: what is wrong with a record is for the contract rules to say.
-REQUEST_RECORD = T.StructType(
-    [
-        T.StructField("request_id", T.StringType()),
-        T.StructField("customer_id", T.StringType()),
-        *_feature_fields(T.DoubleType(), True),
-        T.StructField("event_time", T.StringType()),
-    ]
-)
-
 PREDICTIONS = T.StructType(
     [
         T.StructField("request_id", T.StringType(), False),

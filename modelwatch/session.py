@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "modelwatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,11 +59,3 @@ def materialise(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting the rows; larger sides are joined by shuffle.
-
-    `df` is counted here, so pass something cheap to count (a materialised table).
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -48,11 +48,13 @@ def replace_table(df: DataFrame, path: str, version_column: str = "refresh") ->
 
 
 def is_empty(spark: SparkSession, path: str) -> bool:
-    """No table at the path, or one without rows."""
+    """No table at the path, or one without rows. A path that cannot be read as a table is an error."""
     try:
         return spark.read.parquet(path).isEmpty()
-    except AnalysisException:
-        return True
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return True
+        raise
 
 
 def write_guarded(df: DataFrame, path: str, reset: bool = False, partition_by: str | None = None) -> None:

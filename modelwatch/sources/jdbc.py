@@ -1,12 +1,10 @@
-"""JDBC scans, split over a numeric or time column so that one table is many tasks."""
+"""Options of a JDBC scan."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
-
 
 def connection_options(settings: Mapping[str, str]) -> dict[str, str]:
     """Options for the jdbc format: a full URL if given, else user, password and database parts."""
@@ -28,23 +26,3 @@ def connection_options(settings: Mapping[str, str]) -> dict[str, str]:
     if parts.password:
         options["password"] = unquote(parts.password)
     return options
-
-
-def read_table(
-    spark: SparkSession,
-    options: Mapping[str, str],
-    table: str,
-    partition_column: str | None = None,
-    lower: str | None = None,
-    upper: str | None = None,
-    partitions: int = 1,
-) -> DataFrame:
-    reader = spark.read.format("jdbc").options(**options).option("dbtable", table)
-    if partition_column:
-        reader = (
-            reader.option("partitionColumn", partition_column)
-            .option("lowerBound", lower)
-            .option("upperBound", upper)
-            .option("numPartitions", partitions)
-        )
-    return reader.load()

@@ -36,8 +36,7 @@ def _fit_bins(spark, sf_dir):
 
 def _numeric_shares(spark, sf_dir):
     fitted = reference(spark, sf_dir)
-    current = drift_traffic(spark, sf_dir).filter("shifted")
-    return rounded(drift.numeric_shares(current, fitted.numeric))
+    return rounded(drift.numeric_shares(drift_traffic(spark, sf_dir), fitted.numeric))
 
 
 def _categorical_shares(spark, sf_dir):
@@ -55,9 +54,10 @@ def detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _chi_square(spark, sf_dir):
     stored = stored_metrics(spark, sf_dir)
-    bins = stored.sparkSession.createDataFrame(
-        [(f, 10) for f in ("value", "k")] + [("event_type", len(EVENT_TYPES))], "feature string, n_bins int"
-    )
+    fitted = reference(spark, sf_dir)
+    scored = [r for r in fitted.rows() if r[6]]
+    counts = [(f, sum(r[1] == f for r in scored)) for f in fitted.features]
+    bins = spark.createDataFrame(counts, "feature string, n_bins int")
     return rounded(alerts.chi_square_floor(stored, bins).select("day", "feature", "window_days", "noise_floor"))
 
 
@@ -184,17 +184,17 @@ ORACLES = {
         SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY edge) - 1 AS INTEGER) AS edge_no,
                round(edge, 6) AS edge FROM edges""",
     "numeric_shares": f"""{_BINNED},
-        shifted AS (SELECT value, k FROM traffic WHERE shifted),
+        rows AS (SELECT value, k FROM traffic),
         binned AS (
             SELECT 'value' AS feature, len(list_filter(es, lambda e: e < value)) AS bin
-            FROM shifted, inner_edges WHERE feature = 'value'
+            FROM rows, inner_edges WHERE feature = 'value'
             UNION ALL SELECT 'k', len(list_filter(es, lambda e: e < k))
-            FROM shifted, inner_edges WHERE feature = 'k'),
+            FROM rows, inner_edges WHERE feature = 'k'),
         spine AS (
             SELECT feature, unnest(range(0, len(es) + 1)) AS bin FROM inner_edges
             UNION ALL SELECT feature, -1 FROM inner_edges)
         SELECT s.feature, CAST(s.bin AS INTEGER) AS bin, count(b.bin) AS cnt,
-               round(count(b.bin) / CAST((SELECT count(*) FROM shifted) AS DOUBLE), 6) AS share
+               round(count(b.bin) / CAST((SELECT count(*) FROM rows) AS DOUBLE), 6) AS share
         FROM spine s LEFT JOIN binned b ON b.feature = s.feature AND b.bin = s.bin GROUP BY 1, 2""",
     "categorical_shares": f"""{_BINNED},
         domain(bin, lvl) AS (VALUES (0, 'click'), (1, 'purchase'), (2, 'refund'), (3, 'view'))
@@ -241,7 +241,9 @@ ORACLES = {
         FROM per_day""",
     "drift_chi_square_floor": f"""{_METRICS}
         SELECT day, feature, window_days,
-               round((CASE feature WHEN 'event_type' THEN 5 ELSE 10 END - 1) / CAST(n_rows AS DOUBLE), 6)
+               round((coalesce(n_bins, (SELECT count(DISTINCT event_type) FROM ref)) - 1) / CAST(n_rows AS DOUBLE), 6)
                    AS noise_floor
-        FROM drift_metrics""",
+        FROM drift_metrics LEFT JOIN (
+            -- intervals between inner edges, two open ends, and the bin of missing values
+            SELECT feature, len(es) + 2 AS n_bins FROM inner_edges) USING (feature)""",
 }

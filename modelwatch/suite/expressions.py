@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from modelwatch.functions import columns as fx
 from modelwatch.operators.joins import union_tagged
 from modelwatch.operators.profile import sample_first
-from modelwatch.sources.derived import events, outcome_labels, predictions, request_log
+from modelwatch.sources.derived import EVENT_TYPES, events, outcome_labels, predictions, request_log
 from modelwatch.sources.files import between, read_prediction_keys, read_traffic, table
 from modelwatch.suite.common import EVENTS, OUTCOME_LABELS, PREDICTIONS, REQUEST_LOG, rounded
 
@@ -64,7 +64,7 @@ def _derived_columns(spark, sf_dir):
 def _tagged(spark, sf_dir):
     ev = events(spark, sf_dir)
     tagged = union_tagged(
-        {t: ev.filter(F.col("event_type") == t).select("event_id", "k") for t in ("click", "purchase", "view")},
+        {t: ev.filter(F.col("event_type") == t).select("event_id", "k") for t in EVENT_TYPES},
         "kind",
     )
     return tagged.groupBy("kind").agg(F.count("*").alias("n"), F.sum("k").alias("sum_k"))
@@ -132,7 +132,7 @@ ORACLES = {
         WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'""",
     "union_tagged": f"""WITH {EVENTS}
         SELECT event_type AS kind, count(*) AS n, CAST(sum(k) AS BIGINT) AS sum_k
-        FROM ev WHERE event_type IN ('click', 'purchase', 'view') GROUP BY 1""",
+        FROM ev GROUP BY 1""",
     "first_rows": f"""WITH {PREDICTIONS}
         SELECT request_id, round(value, 9) AS value, k, event_type, round(probability, 9) AS probability
         FROM predictions ORDER BY request_id LIMIT 50""",

@@ -12,8 +12,8 @@ from modelwatch.sources.files import table
 from modelwatch.suite.common import EVENTS, rounded
 
 EXCLUDED = 9000
-EDGES = [0, 18, 36, 60, 72]
-LABELS = ["0-18", "18-36", "36-60", "60-72"]
+EDGES = [0, 25, 50, 75, 99]
+LABELS = ["lowest", "lower", "upper", "highest"]
 
 
 def manifest(spark, sf_dir):
@@ -108,8 +108,8 @@ def _profile(source: str, segment: str, name: str, positive: str, where: str = "
     SELECT * FROM p WHERE {where}"""
 
 
-_BAND = """CASE WHEN k < 0 THEN NULL WHEN k <= 18 THEN '0-18' WHEN k <= 36 THEN '18-36'
-                WHEN k <= 60 THEN '36-60' WHEN k <= 72 THEN '60-72' END"""
+_BAND = """CASE WHEN k < 0 THEN NULL WHEN k <= 25 THEN 'lowest' WHEN k <= 50 THEN 'lower'
+                WHEN k <= 75 THEN 'upper' WHEN k <= 99 THEN 'highest' END"""
 
 
 def _describe(column: str) -> str:

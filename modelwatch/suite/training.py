@@ -74,7 +74,7 @@ def _score(spark, sf_dir):
 QUERIES = {
     "train_logreg": lambda s, d: _row(s, train(labelled(s, d), "logreg")),
     "train_logreg_balanced": lambda s, d: _row(s, train(labelled(s, d), "logreg_balanced")),
-    "train_gbt": lambda s, d: _row(s, train(labelled(s, d), "gb", max_iter=20)),
+    "train_gbt": lambda s, d: _row(s, train(labelled(s, d), "gb")),
     "gate_frozen": _gate,
     "score_requests": _score,
 }

@@ -60,12 +60,6 @@ def test_histogram_is_cumulative_and_complete(log):
     assert counts == sorted(counts) and rows[-1].le == "+Inf" and counts[-1] == 150
 
 
-def test_both_percentile_paths_agree(log):
-    assert latency.total_percentiles(log).collect() == latency.total_percentiles(log, direct_rows=0).collect()
-    assert latency.phase_percentiles(log).collect() == latency.phase_percentiles(log, direct_rows=0).collect()
-    assert latency.composition(log).collect() == latency.composition(log, direct_rows=0).collect()
-
-
 def test_phases_come_in_processing_order(log):
     assert [r.phase for r in latency.phase_percentiles(log).collect()] == ["routing", "predict", "insert", "total"]
 

@@ -5,14 +5,6 @@ import pytest
 from modelwatch import session
 
 
-def test_small_sides_only_are_hinted(spark, capsys):
-    big = spark.range(1000)
-    session.broadcast_if_small(big, max_rows=10).join(spark.range(5), "id").explain("extended")
-    assert "ResolvedHint" not in capsys.readouterr().out and "strategy=broadcast" not in capsys.readouterr().out
-    session.broadcast_if_small(big, max_rows=5000).join(spark.range(5), "id").explain("extended")
-    assert "strategy=broadcast" in capsys.readouterr().out
-
-
 def test_cluster_without_shared_folder_is_refused():
     cluster = SimpleNamespace(
         sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None),
