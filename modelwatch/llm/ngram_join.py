@@ -49,7 +49,7 @@ TASK_TABLE, TASK_SHINGLES = 32_768, 1_500_000
 VERIFY_COST = 1
 #: A frequent shingle's index entries are read in runs of about so many.
 RUN_ROWS = 20_000
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 100_000
 
 
 class _WordKeys(dict):
