@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from modelwatch.functions.columns import ratio
 from modelwatch.operators.checks import CheckFailed
-from modelwatch.operators.ordering import BLOCK, order_blocks, running_totals
+from modelwatch.operators.ordering import order_blocks, running_totals
 
 GATE_MIN_PR_AUC = 0.64
 MIN_PRECISION = 0.60
+#: Name and rows of a range of the bootstrap.
+RANGE = "_range"
+RANGE_ROWS = 65_536
 
 
 def tie_groups(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
@@ -185,24 +188,29 @@ def bootstrap_average_precision(
     repeats the first draw from the same seed, which tells it how many flagged rows and hits
     lie above its range, and then draws inside its own range. So no drawn row is ever
     shuffled or joined: what leaves a task is one partial sum per iteration.
+
+    Ranges follow from the rows above a score, RANGE_ROWS each (a tie group is not split, but is one
+    row), so the draws depend on data and seed alone, and a task's frame is bounded.
     """
-    blocks = rank_scores(scored, score, truth)
+    blocks = _running(rank_scores(scored, score, truth)).select(
+        "score", "n", "pos", F.expr(f"(cum_n - 1) div {RANGE_ROWS}").alias(RANGE)
+    )
     totals = (
-        blocks.groupBy(BLOCK)
+        blocks.groupBy(RANGE)
         .agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
-        .orderBy(BLOCK)
+        .orderBy(RANGE)
         .collect()  # one row per range
     )
     if not totals:
         raise ValueError("nothing to resample")
-    block_ids = [r[BLOCK] for r in totals]
+    block_ids = [r[RANGE] for r in totals]
     cells = np.array([[r["pos"], r["neg"]] for r in totals], dtype=np.int64)
     n = int(cells.sum())
     shares = (cells / n).ravel()
 
     def one_range(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score", ascending=False)
-        at = block_ids.index(int(pdf[BLOCK].iloc[0]))
+        at = block_ids.index(int(pdf[RANGE].iloc[0]))
         pos = pdf["pos"].to_numpy(dtype=np.int64)
         neg = pdf["n"].to_numpy(dtype=np.int64) - pos
         p_pos = pos / pos.sum() if pos.sum() else None
@@ -225,7 +233,7 @@ def bootstrap_average_precision(
         )
 
     return (
-        blocks.groupBy(BLOCK)
+        blocks.groupBy(RANGE)
         .applyInPandas(one_range, "iteration int, partial double, positives bigint")
         .groupBy("iteration")
         .agg(

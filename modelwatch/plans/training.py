@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelwatch.operators.checks import CheckFailed
 from modelwatch.operators.evaluation import (
     GATE_MIN_PR_AUC,
     MIN_PRECISION,
@@ -25,6 +26,7 @@ from modelwatch.operators.profile import sample_first
 from modelwatch.operators.scoring import predict_scores
 from modelwatch.schemas import FeatureSet
 from modelwatch.sinks.tables import append_training_run, save_model, write_verification_sample
+from modelwatch.sources.files import load_champion, load_model, read_verification_sample
 
 SAMPLE_ROWS = 50
 SAMPLE_TOLERANCE = 1e-9
@@ -99,8 +101,10 @@ def verify_model(model: PipelineModel, sample: DataFrame, key: str = "customerID
     require_parity(again, sample, key, {"score": "expected_score"}, tolerance)
 
 
-def promote(spark: SparkSession, path: str, model_path: str, version: str, threshold: float) -> None:
-    """Point the champion record at a verified model."""
+def promote(spark: SparkSession, path: str, model_path: str, key: str = "customerID") -> None:
+    """Point the champion record at a logged model, if that reproduces its verification sample."""
+    model, version, threshold = load_model(spark, model_path)
+    verify_model(model, read_verification_sample(spark, f"{model_path}/verification_sample"), key)
     spark.createDataFrame(
         [(model_path, str(version), float(threshold))], "model_path string, version string, threshold double"
     ).coalesce(1).write.mode("overwrite").json(path)
@@ -123,6 +127,23 @@ def run_gate(
     return gate(metrics, minimum).crossJoin(metrics.select("prevalence", "n_sample")).crossJoin(point)
 
 
+def gate_champion(
+    spark: SparkSession,
+    path: str,
+    dataset: DataFrame,
+    features: FeatureSet,
+    minimum: float = GATE_MIN_PR_AUC,
+    key: str = "customerID",
+) -> DataFrame:
+    """Outcome of the gate for the champion of the record at `path`; a failed gate raises."""
+    model, _, threshold = load_champion(spark, path)
+    outcome = run_gate(model, dataset, features, threshold, minimum, key)
+    row = outcome.first()
+    if not row["passed"]:
+        raise CheckFailed(f"{row['metric']} {row['value']:.4f} is below {minimum:.4f}")
+    return outcome
+
+
 def run_bootstrap(
     model: PipelineModel, dataset: DataFrame, features: FeatureSet, n_iterations: int = 1000,
     seed: int = 42, key: str = "customerID", split: str = "eval_frozen",

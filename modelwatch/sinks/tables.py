@@ -10,18 +10,37 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.operators.checks import CheckFailed, require_same_count
+from modelwatch.operators.checks import CheckFailed, outside_domain, require_empty
+from modelwatch.operators.joins import key_match
 
 log = logging.getLogger(__name__)
 
 
+def unseen(facts: DataFrame, path: str, key: str = "request_id", day: str = "event_date") -> DataFrame:
+    """Facts whose key the table at `path` does not hold, one row per key.
+
+    Keys are looked up in the folders from the first to the last day of `facts`: a request that
+    is sent again carries the same event time. Only keys of these folders are read.
+    """
+    fresh = facts.dropDuplicates([key])
+    spark = facts.sparkSession
+    if is_empty(spark, path):
+        return fresh
+    first, last = facts.agg(F.min(day), F.max(day)).first()
+    stored = spark.read.parquet(path).filter(F.col(day).between(F.lit(first), F.lit(last)))
+    return fresh.join(stored.select(key), key, "left_anti")
+
+
 def append_predictions(facts: DataFrame, path: str, time_column: str = "event_time") -> None:
     """Append facts in one folder per event date, sorted by id inside each file.
 
+    An id is stored once: appending a batch again adds nothing.
+
     A failed write raises: an answer that was not recorded is not given. The rebalance
     gathers a date into few files but splits a date too large for one task.
     """
-    dated = facts.withColumn("event_date", F.to_date(time_column)).hint("rebalance", F.col("event_date"))
+    dated = unseen(facts.withColumn("event_date", F.to_date(time_column)), path)
+    dated = dated.hint("rebalance", F.col("event_date"))
     dated.sortWithinPartitions("event_date", "request_id").write.mode("append").partitionBy("event_date").parquet(path)
 
 
@@ -66,9 +85,20 @@ def write_guarded(df: DataFrame, path: str, reset: bool = False, partition_by: s
 
 
 def append_labels(labels: DataFrame, predictions: DataFrame, path: str) -> None:
-    """Append label facts, then require one label per prediction."""
-    labels.select("request_id", "label", "available_at").write.mode("append").parquet(path)
-    require_same_count(labels.sparkSession.read.parquet(path), predictions)
+    """Append label facts: 0 or 1, and together with the stored ones exactly one per prediction.
+
+    Everything is checked before the write; a batch that breaks a rule leaves the table as it is.
+    """
+    new = labels.select("request_id", "label", "available_at")
+    require_empty(outside_domain(new, "label", (0, 1)), "labels other than 0 and 1")
+    spark = labels.sparkSession
+    known = new if is_empty(spark, path) else spark.read.parquet(path).unionByName(new)
+    match = key_match(predictions, known, "request_id").first()
+    if match["max_left"] > 1 or match["max_right"] > 1:
+        raise CheckFailed(f"a request has more than one prediction or label: {match.asDict()}")
+    if match["left_only"] or match["right_only"]:
+        raise CheckFailed(f"predictions without label, or labels without prediction: {match.asDict()}")
+    new.write.mode("append").parquet(path)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:

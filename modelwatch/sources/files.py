@@ -72,6 +72,14 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, str, floa
     return PipelineModel.load(f"{path}/model"), meta["version"], meta["threshold"]
 
 
+def load_champion(spark: SparkSession, path: str) -> tuple[PipelineModel, str, float]:
+    """(model, version, threshold) of the model that the champion record at `path` names."""
+    record = spark.read.schema("model_path string, version string, threshold double").json(path).first()
+    if record is None:
+        raise RuntimeError(f"no champion at {path}")
+    return load_model(spark, record["model_path"])[0], record["version"], record["threshold"]
+
+
 def read_latest(spark: SparkSession, path: str, version_column: str = "refresh") -> DataFrame:
     """The newest complete refresh of a table written by `sinks.replace_table`."""
     table = spark.read.parquet(path)

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from modelwatch.operators.contract import Contract
 from modelwatch.operators.drift import DriftReference, bin_generator
 from modelwatch.operators.scoring import score_requests
+from modelwatch.sinks.tables import append_predictions
 from modelwatch.streaming.telemetry import with_event_time
 
 PARTITIONS = "spark.sql.shuffle.partitions"
-
-
-def unique_requests(facts: DataFrame, delay: str, key: str = "request_id", time: str = "event_time") -> DataFrame:
-    """Keep the first of repeated ids; ids are remembered for the watermark delay only."""
-    return with_event_time(facts, time).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+BATCH = "batch_id"
 
 
 def score_stream(
@@ -26,19 +26,20 @@ def score_stream(
     threshold: float,
     version: str,
     contract: Contract,
-    delay: str = "1 hour",
     now: Column | None = None,
     **answers: str,
 ) -> tuple[DataFrame, DataFrame]:
-    """(prediction facts, quarantine) of a request stream, by the batch scoring function."""
-    facts, quarantine = score_requests(requests, model, threshold, version, contract, now=now, **answers)
-    return unique_requests(facts, delay), quarantine
+    """(prediction facts, quarantine) of a request stream, by the batch scoring function.
+
+    Late requests are facts like others; `append_unseen` stores ids once.
+    """
+    return score_requests(requests, model, threshold, version, contract, now=now, **answers)
 
 
 def daily_bin_stream(
     traffic: DataFrame, reference: DriftReference, delay: str, time: str = "event_time"
 ) -> DataFrame:
-    """(day, feature_id, bin, cnt) per closed day: the input of `drift.rolling_psi`."""
+    """(day, feature_id, bin, cnt) per day: the input of `drift.rolling_psi`."""
     return (
         with_event_time(traffic, time)
         .withWatermark(time, delay)
@@ -85,6 +86,46 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, partition_by: str |
     return writer.partitionBy(partition_by) if partition_by else writer
 
 
+def upsert_to(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Running results of a windowed aggregation: each micro-batch stores the rows that it changed.
+
+    A window is there from its first row on, not only once the watermark has passed it. Every
+    micro-batch has a folder of its own, so one that is repeated after a failure replaces what it
+    wrote before. `read_upserts` gives the newest state.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+    return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store)
+
+
+def read_upserts(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key of a table written by `upsert_to`."""
+    values = [c for c in schema.names if c not in keys]
+    rows = spark.read.schema(StructType([*schema.fields, StructField(BATCH, LongType())])).parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), BATCH).alias("_newest"))
+    return newest.select(*keys, "_newest.*").select(*schema.names)
+
+
+def append_unseen(
+    stream: DataFrame, path: str, checkpoint: str, key: str = "request_id", time: str = "event_time"
+) -> DataStreamWriter:
+    """Append facts whose id is not stored yet, however late they come.
+
+    Ids are compared with the stored ones of the same days instead of a watermarked state, so no
+    row is dropped for being late and no state grows. A micro-batch that is repeated after a failure
+    finds the rows of its first try and adds the others.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        append_predictions(batch, path, time)
+
+    return (
+        with_event_time(stream, time).writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
+    )
+
+
 def run_available(writer: DataStreamWriter, state_partitions: int | None = None) -> StreamingQuery:
     """Process everything there is, then stop.
 

@@ -16,11 +16,13 @@ from modelwatch.sources.derived import (
 )
 from modelwatch.streaming.facts import (
     append_to,
+    append_unseen,
     daily_bin_stream,
     join_labels,
+    read_upserts,
     run_available,
     score_stream,
-    unique_requests,
+    upsert_to,
 )
 from modelwatch.streaming.telemetry import windowed_histogram, windowed_service_rates
 from modelwatch.suite.common import OUTCOME_LABELS, PREDICTIONS, REQUEST_LOG, rounded
@@ -46,14 +48,22 @@ def _written(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+def _current(spark: SparkSession, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    out = shared_path(spark, name)
+    writer = upsert_to(stream, f"{out}/data", f"{out}/checkpoint")
+    run_available(writer, state_partitions=spark.sparkContext.defaultParallelism)
+    return read_upserts(spark, f"{out}/data", stream.schema, keys)
+
+
 def _histogram(spark, sf_dir):
     log = as_request_log(events_stream(spark, sf_dir))
-    return _written(spark, windowed_histogram(log, "1 day", "1 hour"), "latency")
+    return _current(spark, windowed_histogram(log, "1 day", "1 hour"), "latency", ["bucket", "path", "le_ord"])
 
 
 def _rates(spark, sf_dir):
     log = as_request_log(events_stream(spark, sf_dir))
-    return rounded(_written(spark, windowed_service_rates(log, "1 hour", 3600, "1 hour"), "rates"), 9)
+    rates = windowed_service_rates(log, "1 hour", 3600, "1 hour")
+    return rounded(_current(spark, rates, "rates", ["bucket", "path"]), 9)
 
 
 def _labels(spark, sf_dir):
@@ -70,7 +80,9 @@ def _labels(spark, sf_dir):
 
 def _scores(spark, sf_dir):
     facts = as_predictions(events_stream(spark, sf_dir))
-    kept = _written(spark, unique_requests(facts, "1 hour"), "predictions")
+    out = shared_path(spark, "predictions")
+    run_available(append_unseen(facts, f"{out}/data", f"{out}/checkpoint"))
+    kept = spark.read.parquet(f"{out}/data")
     return rounded(
         kept.withColumn("event_time", F.col("event_time").cast("timestamp_ntz")).select(
             "request_id", "event_time", "probability", "prediction"
@@ -80,10 +92,10 @@ def _scores(spark, sf_dir):
 
 
 def _drift(spark, sf_dir):
-    """PSI over the closed days of unshifted odd events."""
+    """PSI over all days of unshifted odd events."""
     fitted = reference(spark, sf_dir)
     odd = as_predictions(events_stream(spark, sf_dir)).filter(F.col("request_id") % 2 == 1)
-    daily = _written(spark, daily_bin_stream(odd, fitted, "1 hour"), "bins")
+    daily = _current(spark, daily_bin_stream(odd, fitted, "1 hour"), "bins", ["day", "feature_id", "bin"])
     return rounded(rolling_psi(daily, fitted))
 
 
@@ -109,16 +121,12 @@ QUERIES = {
     "stream_drift_counts": _drift,
 }
 
-# A window is closed once the watermark, the latest event less the delay, has passed its end.
-_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM ev)"
-
 ORACLES = {
     "stream_unique_requests": f"""WITH {PREDICTIONS}
         SELECT request_id, event_time, round(probability, 9) AS probability, prediction FROM predictions""",
     "stream_latency_histogram": f"""WITH {REQUEST_LOG}, {BOUNDS},
         base AS (SELECT date_trunc('day', created_at) AS bucket, path, duration_ms / 1000.0 AS seconds
-                 FROM request_log
-                 WHERE date_trunc('day', created_at) + INTERVAL 1 DAY <= {_CLOSED}),
+                 FROM request_log),
         {histogram_sql('base', 'seconds', 'bucket, path')}
         SELECT CAST(bucket AS TIMESTAMP) AS bucket, path, le_ord, le, cum FROM hist""",
     "stream_service_rates": f"""WITH {REQUEST_LOG}
@@ -127,7 +135,7 @@ ORACLES = {
                    AS client_error_ratio,
                round(count(*) FILTER (WHERE status_code BETWEEN 500 AND 599) / CAST(count(*) AS DOUBLE), 9)
                    AS server_error_ratio
-        FROM request_log WHERE date_trunc('hour', created_at) + INTERVAL 1 HOUR <= {_CLOSED}
+        FROM request_log
         GROUP BY 1, 2""",
     "stream_label_join": f"""WITH {PREDICTIONS}, {OUTCOME_LABELS}
         SELECT request_id, event_time, prediction, label, available_at
@@ -135,9 +143,6 @@ ORACLES = {
     "stream_drift_counts": _METRICS.replace(
         "THEN value * 2 ELSE value END AS value",
         "THEN value ELSE value END AS value",
-    ).replace(
-        "FROM predictions WHERE request_id % 2 = 1)",
-        f"FROM predictions WHERE request_id % 2 = 1 AND CAST(event_time AS DATE) + INTERVAL 1 DAY <= {_CLOSED})",
     )
     + " SELECT day, feature, window_days, round(psi, 6) AS psi, n_rows FROM drift_metrics",
 }

@@ -48,8 +48,22 @@ def test_repeated_requests_are_kept_once(spark, tmp_path):
     schema = "request_id string, event_time timestamp, score double"
     rows = [(f"r{i % 50}", T0 + dt.timedelta(seconds=i % 50), 0.5) for i in range(150)]
     write_batches(spark, rows, schema, str(tmp_path / "in"), 3)
-    got = run(spark, facts.unique_requests(stream(spark, str(tmp_path / "in"), schema), "1 hour"), tmp_path, "once")
-    assert got.count() == 50 and got.select("request_id").distinct().count() == 50
+    late = spark.createDataFrame([("late", T0 - dt.timedelta(days=9), 0.5), ("r7", T0 + dt.timedelta(seconds=7), 0.5)], schema)
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = stream(spark, str(tmp_path / "in"), schema)
+    facts.run_available(facts.append_unseen(got, str(tmp_path / "once"), str(tmp_path / "once-state")))
+    got = spark.read.parquet(str(tmp_path / "once"))
+    assert got.count() == 51 and got.select("request_id").distinct().count() == 51
+
+
+def test_running_results_equal_batch_on_all_windows(spark, tmp_path):
+    rows = [("/p" if i % 3 else "/h", 200, float(i % 400), T0 + dt.timedelta(minutes=i)) for i in range(600)]
+    write_batches(spark, rows, LOG, str(tmp_path / "in"), 4)
+    running = telemetry.windowed_histogram(stream(spark, str(tmp_path / "in"), LOG), "1 hour", "10 minutes")
+    facts.run_available(facts.upsert_to(running, str(tmp_path / "now"), str(tmp_path / "now-state")))
+    got = facts.read_upserts(spark, str(tmp_path / "now"), running.schema, ["bucket", "path", "le_ord"])
+    batch = spark.read.parquet(str(tmp_path / "in")).withColumn("bucket", F.date_trunc("hour", "created_at").cast("timestamp_ntz"))
+    assert sorted(got.collect()) == sorted(latency.latency_histogram(batch, ["bucket", "path"]).collect())
 
 
 def test_drift_counts_equal_batch_on_closed_days(spark, tmp_path):

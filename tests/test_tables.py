@@ -22,7 +22,10 @@ def test_append_and_pruned_scan(spark, tmp_path, capsys):
     sinks.append_predictions(facts(spark), path)
     sinks.append_predictions(facts(spark, 8), path)
     table = spark.read.parquet(path)
-    assert table.count() == 48
+    assert table.count() == 40  # the second batch was stored before
+    late = facts(spark, 2).withColumn("request_id", F.concat(F.lit("late"), "request_id"))
+    sinks.append_predictions(late.union(late), path)
+    assert spark.read.parquet(path).count() == 42
     table.filter("event_date = date'2024-01-02'").explain("formatted")
     assert "PartitionFilters: [isnotnull(event_date" in capsys.readouterr().out
     assert files.read_prediction_keys(table).columns == ["request_id", "customer_id", "event_time"]
@@ -58,8 +61,16 @@ def test_labels_must_cover_predictions(spark, tmp_path):
     rows = [(f"r{i}", 1, T0) for i in range(40)]
     labels = spark.createDataFrame(rows, OUTCOME_LABELS)
     sinks.append_labels(labels, facts(spark), str(tmp_path / "l"))
+    path = str(tmp_path / "l")
     with pytest.raises(CheckFailed):
-        sinks.append_labels(labels, facts(spark), str(tmp_path / "l"))
+        sinks.append_labels(labels, facts(spark), path)
+    # One label twice and one missing: the counts agree, the keys do not.
+    swapped = labels.filter("request_id <> 'r3'").union(labels.filter("request_id = 'r4'"))
+    other = spark.createDataFrame([("x", 1, T0)], OUTCOME_LABELS)
+    for bad in (swapped, labels.withColumn("label", F.lit(2).cast("short")), labels.union(other)):
+        with pytest.raises(CheckFailed):
+            sinks.append_labels(bad, facts(spark), str(tmp_path / "never"))
+    assert spark.read.parquet(path).count() == 40 and sinks.is_empty(spark, str(tmp_path / "never"))
 
 
 def test_bucketed_facts_join_without_a_shuffle(spark, capsys):

@@ -106,7 +106,7 @@ def test_one_path_to_the_score(spark, dataset, trained):
     assert scores(trained.model, shuffled) == pytest.approx(batch, abs=1e-12)
 
 
-def test_saved_model_reproduces_the_sample(spark, trained, tmp_path):
+def test_saved_model_reproduces_the_sample(spark, dataset, trained, tmp_path):
     folder, runs = str(tmp_path / "m1"), str(tmp_path / "runs")
     training.log_run(trained, "logreg_scaled", folder, runs)
     model, version, threshold = files.load_model(spark, folder)
@@ -118,7 +118,15 @@ def test_saved_model_reproduces_the_sample(spark, trained, tmp_path):
         training.verify_model(model, off)
     near = sample.withColumn("expected_score", F.col("expected_score") + F.lit(5e-10))
     training.verify_model(model, near)
-    training.promote(spark, str(tmp_path / "champion"), folder, version, threshold)
+    training.promote(spark, str(tmp_path / "champion"), folder)
+    assert files.load_champion(spark, str(tmp_path / "champion"))[1:] == (version, threshold)
+    assert training.gate_champion(spark, str(tmp_path / "champion"), dataset, TELCO, 0.2).first().passed
+    with pytest.raises(CheckFailed, match="is below"):
+        training.gate_champion(spark, str(tmp_path / "champion"), dataset, TELCO, 1.1)
+    sinks.save_model(model, str(tmp_path / "m2"), "2", threshold)
+    sinks.write_verification_sample(off, str(tmp_path / "m2/verification_sample"))
+    with pytest.raises(CheckFailed, match="50 rows differ"):
+        training.promote(spark, str(tmp_path / "champion"), str(tmp_path / "m2"))
     assert spark.read.json(str(tmp_path / "champion")).first().model_path == folder
     sinks.append_training_run(spark, {"run_name": "worse", "pr_auc": 0.1}, runs)
     assert [r.run_name for r in training.compare_runs(spark.read.parquet(runs)).collect()] == ["logreg_scaled", "worse"]
