@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -218,6 +219,12 @@ class PieceModel:
             return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def _loaded(content: bytes) -> PieceModel:
+    """The tables of a model, made once by a Python worker that runs many tasks."""
+    return PieceModel(content)
+
+
 class WordCache:
     """Ids of words met before, as bytes; forgotten when too many."""
 
@@ -248,7 +255,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         content = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = PieceModel(content.value)
+        tables = _loaded(content.value)
         cache = WordCache(tables)
         for frame in text_pieces(batches):
             ids = cache.encode(frame["text"].tolist())
