@@ -13,8 +13,8 @@ Steps, all distributed:
    task are counted; the most frequent of them (a bounded table) define the order. The order only
    decides speed: any order gives the same result.
 2. Index: the prefix entries of each class, shuffled once by shingle and read as a sorted stream
-   that keeps entries held by two or more classes. Entries that nobody shares lower the overlap
-   that their document can reach.
+   that keeps entries held by two or more classes. Their number bounds the overlap of a document
+   with any other, together with what lies behind the prefix that ends first.
 3. Hubs: each class is verified against the classes it shares most entries with among those in
    which a shared shingle stands first. Large groups of near copies fall together here without
    any pair of two ordinary members.
@@ -312,17 +312,18 @@ def near_groups(
             f"token bigint, {fields}, hub_cls bigint, hub_pos bigint, hub_n bigint, hub_matches bigint",
         )
     )
-    # Unshared prefix entries are lost for any overlap.
+    # Of two prefixes, the one that ends first has all its common entries in the other, so they are
+    # shared; the rest of the overlap lies behind it.
     held = index.groupBy("cls").agg(F.countDistinct("token").alias("held"))
-    need = F.expr(f"({percent} * n + 99) div 100")
-    index = index.join(held, "cls").withColumn("reach", F.col("held") + need - F.col("matches")).drop("held")
+    index = index.join(held, "cls")
+    behind = F.greatest(*[F.expr(f"({percent} * {o}n + 99) div 100 - {o}matches") for o in ("", "other_")])
 
     overlap = F.expr(f"({percent} * (n + other_n) + {99 + percent}) div {100 + percent}")
     asked = F.least("matches", "other_matches")
 
     def candidates(entries: DataFrame) -> DataFrame:
         """Pairs (a, b) that pass by size, position and number of common entries."""
-        fits = (F.col("reach") >= overlap) & (F.least("n", "other_n") >= overlap)
+        fits = (F.col("held") + behind >= overlap) & (F.least("n", "other_n") >= overlap)
         for pos, n in (("pos", "n"), ("other_pos", "other_n")):
             fits &= F.col(pos) < F.col(n) - overlap + asked
         rest = F.least(F.col("n") - F.col("pos"), F.col("other_n") - F.col("other_pos"))
@@ -354,7 +355,7 @@ def near_groups(
 
     labels = materialise(components(first))
     labelled = (
-        index.select("token", "cls", "pos", "n", "matches", "reach")
+        index.select("token", "cls", "pos", "n", "matches", "held")
         .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         .withColumn("label", F.coalesce("label", "cls"))
     )
@@ -362,7 +363,7 @@ def near_groups(
     labelled = labelled.join(spread.select("token"), "token", "left_semi")
     others = labelled.select("token", *[F.col(c).alias(f"other_{c}") for c in labelled.columns if c != "token"])
     across = labelled.join(others, "token").filter("cls < other_cls AND label <> other_label")
-    links = first.unionByName(verified(candidates(across.filter(F.col("other_reach") >= overlap))))
+    links = first.unionByName(verified(candidates(across.filter(F.col("other_held") + behind >= overlap))))
 
     labels = components(links)
     names = labels.join(classes.withColumnRenamed("cls", "node"), "node")
