@@ -211,7 +211,7 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if goes_on:
             size[0] += 1
         keep = new & ((size[part] > 1) | (run > 0))
-        if size[-1] == 1 and run[-1] == 0:
+        if len(start) and size[-1] == 1 and run[-1] == 0:  # a run that goes on holds a class of an earlier batch
             held = frame.iloc[[start[-1]]]
         out = frame[keep].drop(columns="run")
         for i, c in enumerate(names):
