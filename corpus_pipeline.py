@@ -27,10 +27,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
-    groups = ngram_join.near_groups(docs)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """Of each group of near copies, the document with the smallest id; ids may be null or repeat."""
+    gone = ngram_join.near_copies(docs)
+    return docs.join(gone, ngram_join.row_key("doc_id", "text") == F.col("row_key"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.llm.bloom import bloom_filter
@@ -116,6 +116,7 @@ def _profile(width: int):
             yield pd.DataFrame(
                 {
                     "doc_id": frame["doc_id"].array,
+                    "row_key": frame["row_key"].array,
                     "n": np.array(sizes, np.int64),
                     "cls": np.array(classes, np.int64),
                     "token": pd.array([None] * len(sizes), "Int64"),
@@ -130,6 +131,7 @@ def _profile(width: int):
         yield pd.DataFrame(
             {
                 "doc_id": pd.array([None] * len(top), "Int64"),
+                "row_key": np.zeros(len(top), np.int64),
                 "n": np.full(len(top), -1, np.int64),
                 "cls": np.zeros(len(top), np.int64),
                 "token": tokens[top],
@@ -271,29 +273,21 @@ def components(links: DataFrame) -> DataFrame:
             )
 
 
-def near_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    percent: int = 75,
-    most_matches: int = 4,
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row.
+def row_key(id_col: str, text_col: str) -> Column:
+    """64-bit key of a row's id and text; rows that repeat both have the same."""
+    return F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit("")))
 
-    Words are runs of characters outside ASCII white space, A-Z lower-cased. Rows link when the
-    Jaccard similarity of their shingle sets is `percent` / 100 or more; a component's id is the
-    smallest doc_id reachable. Null and empty texts have no set and no links. Repeated rows link
-    with each other. A null doc_id takes part but never names a component unless all its members
-    have none (component_id is then null). An empty table gives an empty result.
-    """
-    docs = keyed_texts(docs, id_col, text_col)
+
+def _linked(docs: DataFrame, width: int, percent: int, most_matches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (doc_id, text): every row with its class, the classes, and the labels of linked classes."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     profile = materialise(
-        docs.mapInPandas(_profile(width), f"doc_id {id_type}, n bigint, cls bigint, token bigint, count bigint")
+        docs.withColumn("row_key", row_key("doc_id", "text")).mapInPandas(
+            _profile(width), f"doc_id {id_type}, row_key bigint, n bigint, cls bigint, token bigint, count bigint"
+        )
     )
-    rows = profile.filter("n >= 0").select("doc_id", "n", "cls")
+    rows = profile.filter("n >= 0").select("doc_id", "row_key", "n", "cls")
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
 
     top = profile.filter("n < 0").groupBy("token").agg(F.sum("count").alias("count"))
@@ -365,7 +359,26 @@ def near_groups(
     across = labelled.join(others, "token").filter("cls < other_cls AND label <> other_label")
     links = first.unionByName(verified(candidates(across.filter(F.col("other_held") + behind >= overlap))))
 
-    labels = components(links)
+    return rows, classes, components(links)
+
+
+def near_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 75,
+    most_matches: int = 4,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row.
+
+    Words are runs of characters outside ASCII white space, A-Z lower-cased. Rows link when the
+    Jaccard similarity of their shingle sets is `percent` / 100 or more; a component's id is the
+    smallest doc_id reachable. Null and empty texts have no set and no links. Repeated rows link
+    with each other. A null doc_id takes part but never names a component unless all its members
+    have none (component_id is then null). An empty table gives an empty result.
+    """
+    rows, classes, labels = _linked(keyed_texts(docs, id_col, text_col), width, percent, most_matches)
     names = labels.join(classes.withColumnRenamed("cls", "node"), "node")
     names = labels.join(names.groupBy("label").agg(F.min("doc_id").alias("low")), "label")
     named = classes.join(names.select(F.col("node").alias("cls"), "low"), "cls", "left").select(
@@ -376,3 +389,27 @@ def near_groups(
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 75,
+    most_matches: int = 4,
+) -> DataFrame:
+    """(row_key) of the rows that go so that each component of `near_groups` keeps one document.
+
+    The document with the smallest id stays, a null id only if all have none; of those that share it,
+    the one with the smallest key. Rows that repeat id and text are one document and stay or go together.
+    """
+    rows, _, labels = _linked(keyed_texts(docs, id_col, text_col), width, percent, most_matches)
+    rows = rows.filter("n > 0").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = rows.select(
+        F.coalesce("label", "cls").alias("label"),
+        F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key").alias("place"),
+    )
+    kept = rows.groupBy("label").agg(F.min("place").alias("kept"))
+    gone = rows.join(kept, "label").filter("place.row_key <> kept.row_key")
+    return gone.select("place.row_key").distinct()
