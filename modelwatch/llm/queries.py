@@ -95,26 +95,25 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "chunk",
         chat.read_turns(F.col("stream")).alias("turns"),
         F.array_join(chat.read_replies(F.col("stream"), F.col("spans")), "").alias("loss"),
-        F.aggregate(
-            "spans",
-            F.lit(0).cast("long"),
-            lambda a, s: a + F.col("first_char") + s["start"] + s["length"] + len(chat.CLOSE),
-        ).alias("chars"),
     )
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     whole = read.groupBy("conv_id").agg(
         F.sum(F.size("turns")).alias("n_turns"),
-        F.sum("chars").alias("formatted_chars"),
         F.sort_array(F.collect_list(F.struct("chunk", lines.alias("lines"), "loss"))).alias("c"),
     )
+    dealt = chat.examples(formatted).groupBy(F.col("conv_id").alias("dealt_id")).agg(
+        F.sum("loss_chars").alias("loss_chars"),
+        F.sum(F.col("context_chars") + F.col("target_chars") + len(chat.CLOSE)).alias("formatted_chars"),
+    )
+    whole = whole.join(dealt, F.col("conv_id").eqNullSafe(F.col("dealt_id")), "left")
     loss = F.array_join(F.transform("c", lambda c: c["loss"]), "")
     return whole.select(
         "conv_id",
         "n_turns",
         sha256(F.array_join(F.transform("c", lambda c: c["lines"]), "")).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
+        F.coalesce("loss_chars", F.lit(0).cast("long")).alias("loss_chars"),
         sha256(loss).alias("loss_sha256"),
-        "formatted_chars",
+        F.coalesce("formatted_chars", F.lit(0).cast("long")).alias("formatted_chars"),
     )
 
 
