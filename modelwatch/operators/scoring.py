@@ -71,10 +71,12 @@ def score_requests(
     positive: str = "churn",
     negative: str = "no_churn",
     now: Column | None = None,
+    position: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Validate, give ids, score, decide: (prediction facts, quarantined records).
 
-    The same function serves batches and streams; the valid side has no shuffle.
+    The same function serves batches and streams; the valid side has no shuffle. `position` tells
+    equal records without an id apart; by default it is the place in the scan.
     """
     valid, quarantine = split_valid(validate(requests, contract, now))
     if "event_time" not in valid.columns:
@@ -82,7 +84,8 @@ def score_requests(
     record = [c for c in valid.columns if c != "request_id"]
     given = F.col("request_id") if "request_id" in valid.columns else F.lit(None).cast("string")
     # A scan's row numbers repeat with a re-run; in a stream they start again with every micro-batch.
-    position = F.uuid() if valid.isStreaming else F.monotonically_increasing_id()
+    if position is None:
+        position = F.uuid() if valid.isStreaming else F.monotonically_increasing_id()
     identified = valid.withColumn("request_id", default_id(given, record, position))
     facts = decisions(predict_scores(model, identified), threshold, version, positive, negative, now=now)
     return facts, quarantine

@@ -88,8 +88,9 @@ def score_job(
     predictions_path: str,
     quarantine_path: str,
     now: Column | None = None,
+    **answers: str,
 ) -> None:
     """Score a batch of request records; the facts are stored before anything is answered."""
-    facts, quarantine = score_requests(requests, model, threshold, version, contract, now=now)
+    facts, quarantine = score_requests(requests, model, threshold, version, contract, now=now, **answers)
     append_predictions(facts, predictions_path)
     quarantine.write.mode("append").parquet(quarantine_path)

@@ -36,6 +36,35 @@ def score_stream(
     return score_requests(requests, model, threshold, version, contract, now=now, **answers)
 
 
+def store_scores(
+    requests: DataFrame,
+    model: PipelineModel,
+    threshold: float,
+    version: str,
+    contract: Contract,
+    predictions_path: str,
+    quarantine_path: str,
+    checkpoint: str,
+    now: Column | None = None,
+    **answers: str,
+) -> DataStreamWriter:
+    """Score a request stream; each micro-batch stores its facts and its rejected records.
+
+    Records without an id get one from the micro-batch and the place in it, so a micro-batch that is
+    repeated after a failure adds no fact twice; its rejected records replace those of the first try.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        position = F.concat_ws("-", F.lit(batch_id), F.monotonically_increasing_id())
+        facts, quarantine = score_requests(
+            batch, model, threshold, version, contract, now=now, position=position, **answers
+        )
+        append_predictions(facts, predictions_path)
+        quarantine.write.mode("overwrite").parquet(f"{quarantine_path}/{BATCH}={batch_id}")
+
+    return requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
+
+
 def daily_bin_stream(
     traffic: DataFrame, reference: DriftReference, delay: str, time: str = "event_time"
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modelwatch.operators.drift import rolling_psi
 from modelwatch.operators.scoring import responses
+from modelwatch.plans.training import TrainingResult
 from modelwatch.session import shared_path
 from modelwatch.sources.derived import (
     as_outcome_labels,
@@ -21,7 +22,7 @@ from modelwatch.streaming.facts import (
     join_labels,
     read_upserts,
     run_available,
-    score_stream,
+    store_scores,
     upsert_to,
 )
 from modelwatch.streaming.telemetry import windowed_histogram, windowed_service_rates
@@ -99,17 +100,25 @@ def _drift(spark, sf_dir):
     return rounded(rolling_psi(daily, fitted))
 
 
+def scored_stream(spark: SparkSession, requests: DataFrame, result: TrainingResult) -> tuple[DataFrame, DataFrame]:
+    """(facts, rejected records with their errors) of a request stream, both as stored."""
+    out = shared_path(spark, "scored")
+    writer = store_scores(
+        requests, result.model, result.metrics["threshold"], "1", DOCUMENT_CONTRACT,
+        f"{out}/facts", f"{out}/quarantine", f"{out}/checkpoint",
+        now=F.lit("2024-02-01 00:00:00").cast("timestamp"), positive="good", negative="poor",
+    )
+    run_available(writer)
+    return spark.read.parquet(f"{out}/facts"), spark.read.parquet(f"{out}/quarantine")
+
+
 def _trained_scores(spark, sf_dir):
-    """Documents as a request stream, scored by a model fitted on the labelled ones."""
+    """Documents as a request stream, scored by a model fitted on the labelled ones; rejected ones are stored."""
     result = train(labelled(spark, sf_dir), "logreg")
     requests = _stream(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("customer_id"), "n_chars", "lang", "source"
     )
-    facts, _ = score_stream(
-        requests, result.model, result.metrics["threshold"], "1", DOCUMENT_CONTRACT,
-        now=F.lit("2024-02-01 00:00:00").cast("timestamp"), positive="good", negative="poor",
-    )
-    return responses(_written(spark, facts, "scored"))
+    return responses(scored_stream(spark, requests, result)[0])
 
 
 QUERIES = {

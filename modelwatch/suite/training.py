@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelwatch.operators.contract import Contract, FieldRule
-from modelwatch.operators.scoring import responses, score_requests
+from modelwatch.operators.scoring import responses
 from modelwatch.operators.splits import stratified_split
+from modelwatch.plans.monitoring import score_job
 from modelwatch.plans.training import TrainingResult, run_gate, run_training
 from modelwatch.schemas import FeatureSet
-from modelwatch.session import materialise
+from modelwatch.session import materialise, shared_path
 from modelwatch.sources.files import table
 
 FEATURES = FeatureSet(numeric=["n_chars"], categorical={"lang": [], "source": []})
@@ -58,17 +59,23 @@ def _gate(spark, sf_dir):
     return run_gate(result.model, dataset, FEATURES, result.metrics["threshold"], key="doc_id")
 
 
+def scored(spark: SparkSession, requests: DataFrame, result: TrainingResult) -> tuple[DataFrame, DataFrame]:
+    """(facts, rejected records with their errors), both as stored."""
+    out = shared_path(spark, "scores")
+    score_job(
+        requests, result.model, result.metrics["threshold"], "1", DOCUMENT_CONTRACT, f"{out}/facts", f"{out}/quarantine",
+        now=F.lit("2024-02-01 00:00:00").cast("timestamp"), positive="good", negative="poor",
+    )
+    return spark.read.parquet(f"{out}/facts"), spark.read.parquet(f"{out}/quarantine")
+
+
 def _score(spark, sf_dir):
-    """Score every document, labelled or not."""
+    """Score every document, labelled or not; those that the contract rejects are stored with their errors."""
     result = train(labelled(spark, sf_dir), "logreg")
     requests = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("customer_id"), "n_chars", "lang", "source"
     )
-    facts, _ = score_requests(
-        requests, result.model, result.metrics["threshold"], "1", DOCUMENT_CONTRACT, "good", "poor",
-        now=F.lit("2024-02-01 00:00:00").cast("timestamp"),
-    )
-    return responses(facts)
+    return responses(scored(spark, requests, result)[0])
 
 
 QUERIES = {
