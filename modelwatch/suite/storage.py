@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from modelwatch.operators.checks import CheckFailed
 from modelwatch.operators.profile import sample_first
 from modelwatch.operators.service import predictions_daily
 from modelwatch.session import shared_path
@@ -20,17 +21,29 @@ CUSTOMER_CSV = T.StructType(
     [
         T.StructField("c_custkey", T.LongType()),
         T.StructField("c_name", T.StringType()),
+        T.StructField("c_nationkey", T.LongType()),
         T.StructField("c_acctbal", T.DoubleType()),
         T.StructField("c_mktsegment", T.StringType()),
     ]
 )
 
 
+def _require_same_rows(stored, written, what):
+    """Raise if any row was lost, doubled or changed."""
+    written = written.select(*stored.columns)
+    lost, odd = written.exceptAll(stored), stored.exceptAll(written)
+    if not lost.isEmpty() or not odd.isEmpty():
+        raise CheckFailed(f"{what}: {lost.count()} rows are not stored, {odd.count()} are not as written")
+
+
 def _stored_predictions(spark, sf_dir):
-    """Appended facts, one week of them read back from their date folders."""
+    """Appended facts, all read back from their date folders and compared; the SQL twin's week is returned."""
     path = shared_path(spark, "facts")
-    sinks.append_predictions(predictions(spark, sf_dir), path)
-    week = spark.read.parquet(path).filter(
+    facts = predictions(spark, sf_dir)
+    sinks.append_predictions(facts, path)
+    stored = spark.read.parquet(path)
+    _require_same_rows(stored.drop("event_date"), facts, "facts")
+    week = stored.filter(
         (F.col("event_date") >= F.lit("2024-01-08").cast("date"))
         & (F.col("event_date") < F.lit("2024-01-15").cast("date"))
     )
@@ -75,7 +88,9 @@ def _dataset_csv(spark, sf_dir):
     path = shared_path(spark, "dataset")
     customers = files.table(spark, sf_dir, "customer").select(*CUSTOMER_CSV.names)
     customers.write.option("header", True).csv(path)
-    return rounded(files.read_csv(spark, path, CUSTOMER_CSV))
+    stored = files.read_csv(spark, path, CUSTOMER_CSV)
+    _require_same_rows(stored, customers, "customers")
+    return rounded(stored.drop("c_nationkey"))  # the SQL twin has the other columns
 
 
 def _sample_json(spark, sf_dir):
