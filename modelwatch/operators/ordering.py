@@ -98,7 +98,7 @@ def exact_percentiles(
 
     One way for every size. The input is read once and becomes value counts, which no tie can
     skew. A sketch cuts each group's distinct values into segments; the exact row count of each
-    segment tells which ones hold a wanted rank, and only these are sorted, each on its own.
+    segment tells which ones hold a wanted rank, and only these are sorted, each in ranges.
     Segments tile all values, so no rank can be missed.
     """
     by = list(by)
@@ -120,9 +120,10 @@ def exact_percentiles(
     holds = " OR ".join(f"({rank} > _before AND {rank} <= _before + _rows)" for rank in ranks)
     wanted = totals.filter(holds).select(*by, "_seg", "_before")
 
-    inside = Window.partitionBy(*by, "_seg").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = _join_group(placed, wanted, [*by, "_seg"]).withColumn(
-        "cum__cnt", F.col("_before") + F.sum("_cnt").over(inside)
+    # A segment grows with the data, so it is ordered in ranges.
+    blocks = order_blocks(_join_group(placed, wanted, [*by, "_seg"]), [*by, "_seg"], "_v")
+    ranked = running_totals(blocks, [*by, "_seg"], "_v", ["_cnt"]).withColumn(
+        "cum__cnt", F.col("_before") + F.col("cum__cnt")
     )
     return _pick(ranked, fractions, by, kind)
 
