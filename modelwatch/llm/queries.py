@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import chat, exact_dedup, language, mixing, ngram_join, pieces, quality, sharding, topk, url_filter
+from modelwatch.llm import chat, exact_dedup, language, mixing, ngram_join, pieces, pq_dedup, quality, sharding, topk
+from modelwatch.llm import url_filter, whitening
 from modelwatch.llm.common import sha256, table
 
 #: Fixed values of the url query's contract: host, path, verdict.
@@ -124,6 +125,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors of one label whose cosine is 0.93 or more."""
+    return pq_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector."""
+    out, model, error = whitening.whiten(table(spark, sf_dir, "embeddings"), 4)
+    explained = F.array(*[F.lit(e).cast("double") for e in model.explained]).cast("array<double>")
+    return out.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -135,6 +156,8 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_chat": op9_chat,
     "op10_mixing": op10_mixing,
+    "op11_near_vectors": op11_near_vectors,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES = {
@@ -178,4 +201,18 @@ l AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 c AS (SELECT x AS node, x AS low FROM l UNION SELECT l.y, c.low FROM c JOIN l ON l.x = c.node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.low, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(low) AS low FROM c GROUP BY node) m ON m.node = d.doc_id""",
+    "op11_near_vectors": """
+WITH RECURSIVE v AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS MATERIALIZED (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+c AS (SELECT x AS node, x AS low FROM e UNION SELECT e.y, c.low FROM c JOIN e ON e.x = c.node),
+m AS (SELECT node, min(low) AS low FROM c GROUP BY node),
+n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON n.x = vec_id LEFT JOIN m ON m.node = vec_id""",
 }
