@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import chat, exact_dedup, language, mixing, ngram_join, pieces, pq_dedup, quality, sharding, topk
-from modelwatch.llm import url_filter, whitening
+from modelwatch.llm import alignment, chat, exact_dedup, language, mixing, ngram_join, pieces, pq_dedup, quality
+from modelwatch.llm import sharding, topk, url_filter, whitening
 from modelwatch.llm.common import sha256, table
 
 #: Fixed values of the url query's contract: host, path, verdict.
@@ -145,6 +145,17 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers align in each document, and how usual its links are."""
+    models = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = alignment.align_documents(table(spark, sf_dir, "documents"), *models)
+    digest = F.when(F.col("groups") == "", "").otherwise(sha256(F.col("groups")))
+    aligned = alignment.written(aligned, groups_sha256=digest)
+    sums = alignment.link_statistics(aligned)
+    out = aligned.filter("row IS NOT NULL").join(sums, "row", "left")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -158,6 +169,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_near_vectors": op11_near_vectors,
     "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES = {
