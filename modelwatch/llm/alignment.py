@@ -14,7 +14,7 @@ back; a text's sums are then sums over its groups. No link leaves a task as a ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -31,12 +31,11 @@ from modelwatch.session import shared_path
 
 #: Steps of a merge piece, and characters of the texts that share a chunk (one long text may exceed it).
 PIECE_STEPS, CHUNK_CHARS = 1_024, 6_000_000
-CACHED_WORDS = 100_000
+CACHED_UNITS, UNITS_AT_ONCE = 200_000, 2_000
+MARK = "▁"
 #: An id pair is one number: A's id above so many bits of B's.
 B_BITS = 24
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Fixed value: how byte-level BPE vocabularies cut text before merging (same result as the model file's own).
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_symbols() -> dict[str, int]:
@@ -46,50 +45,127 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class ByteTokens:
-    """A byte-level BPE model file; words met before are remembered."""
+class Side:
+    """One tokenizer: the bytes that each id shows, and the ids of texts that follow a space."""
+
+    def __init__(self, shown: list[bytes]):
+        self.shown = shown
+        self.lengths = np.fromiter(map(len, shown), np.int64, len(shown))
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def show(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.shown.__getitem__, ids))
+
+
+class ByteTokens(Side):
+    """A byte-level BPE model file; it cuts text by white space, among others, before merging."""
 
     def __init__(self, content: str):
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
-        self.split, self.words = regex.compile(WORD_PATTERN).findall, {}
         symbols = byte_symbols()
-        self.shown = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
+        shown = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             known = all(c in symbols for c in piece)
-            self.shown[i] = bytes(symbols[c] for c in piece) if known else piece.encode()
-        self.lengths = np.fromiter(map(len, self.shown), np.int64, len(self.shown))
+            shown[i] = bytes(symbols[c] for c in piece) if known else piece.encode()
+        super().__init__(shown)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        lines = [self.split(t) for t in texts]
-        new = list({w for line in lines for w in line if w not in self.words})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(found.ids, np.int32).tobytes()
-        out = [np.frombuffer(b"".join(map(self.words.__getitem__, line)), np.int32) for line in lines]
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        return out
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
-class PieceTokens:
-    """A SentencePiece model file, read by its own library."""
+class PieceTokens(Side):
+    """A SentencePiece model file, read by its own library, which puts the space before a text itself."""
 
     def __init__(self, content: bytes):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=content)
-        self.shown = []
+        shown = []
         for i in range(self.processor.get_piece_size()):
             piece = self.processor.id_to_piece(i)
-            self.shown.append(bytes([int(piece[1:-1], 16)]) if self.processor.is_byte(i) else piece.replace("▁", " ").encode())
-        self.lengths = np.fromiter(map(len, self.shown), np.int64, len(self.shown))
+            if regex.search(f"[^{MARK}]{MARK}", piece):
+                raise ValueError("a piece crosses words")
+            shown.append(bytes([int(piece[1:-1], 16)]) if self.processor.is_byte(i) else piece.replace(MARK, " ").encode())
+        super().__init__(shown)
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return self.processor.encode(texts, num_threads=1)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int32) for ids in self.processor.encode(texts, num_threads=1)]
+
+class Units:
+    """Ids of texts, put together from those of their units; a bounded number of units is remembered.
+
+    A unit begins after a space that stands between two characters other than white space. Neither side
+    has a token that holds such a space but as its first character, so units are encoded on their own.
+    """
+
+    def __init__(self, sides: Sequence[Side]):
+        self.sides = sides
+        self.known: list[dict[str, bytes]] = [{} for _ in sides]
+        self.doubtful: set[str] = set()
+        self.cut, self.blanks = regex.compile(r"(?<=\S) (?=\S)").split, regex.compile(r"\s\s|^\s|\s$").search
+
+    def units(self, text: str) -> list[str]:
+        if not text or MARK in text:
+            return [text] if text else []
+        return self.cut(text) if self.blanks(text) else text.split(" ")
+
+    def learn(self, units: list[str]) -> None:
+        plain = [u for u in units if MARK not in u and not self.blanks(u)]
+        for some in (plain[i : i + UNITS_AT_ONCE] for i in range(0, len(plain), UNITS_AT_ONCE)):
+            if not self._learn_joined(some):
+                self._learn_each(some)
+        self._learn_each(list(set(units).difference(plain)))
+
+    def _learn_joined(self, units: list[str]) -> bool:
+        """Encodes all units as one text, which costs less, and cuts the ids at the units' ends."""
+        joined = " ".join(units)
+        raw = (" " + joined).encode("utf-8", "surrogatepass")
+        ends = np.cumsum(np.fromiter((len(u.encode("utf-8", "surrogatepass")) + 1 for u in units), np.int64, len(units)))
+        found = []
+        for side in self.sides:
+            ids = side.ids([joined])[0]
+            flat = np.array(ids, np.int32)
+            shown = np.cumsum(side.lengths[flat])
+            at = np.searchsorted(shown, ends)
+            if side.show(ids) != raw or (shown[at] != ends).any():
+                return False
+            found.append((flat.tobytes(), (4 * np.r_[0, at + 1]).tolist()))
+        for known, (data, at) in zip(self.known, found, strict=True):
+            known.update(zip(units, map(data.__getitem__, map(slice, at, at[1:])), strict=True))
+        return True
+
+    def _learn_each(self, units: list[str]) -> None:
+        for side, known in zip(self.sides, self.known, strict=True):
+            for unit, ids in zip(units, side.ids(units) if units else [], strict=True):
+                known[unit] = np.array(ids, np.int32).tobytes()
+                if side.show(ids) != b" " + unit.encode("utf-8", "surrogatepass"):
+                    self.doubtful.add(unit)
+
+    def encode(self, texts: list[str]) -> tuple[list[list[np.ndarray]], list[bool]]:
+        """By side the ids of each text; and whether the tokens of a unit do not give back its bytes."""
+        lines = [self.units(t) for t in texts]
+        new = list(set().union(*lines).difference(self.known[0]))
+        if new:
+            self.learn(new)
+        out = [[np.frombuffer(b"".join(map(known.__getitem__, line)), np.int32) for line in lines] for known in self.known]
+        doubt = [bool(self.doubtful) and not self.doubtful.isdisjoint(line) for line in lines]
+        if len(self.known[0]) > CACHED_UNITS:
+            self.known, self.doubtful = [{} for _ in self.sides], set()
+        return out, doubt
 
 
 @lru_cache(maxsize=1)
-def _loaded(a: str, b: bytes) -> tuple[ByteTokens, PieceTokens]:
+def loaded(a: str, b: bytes) -> Units:
     """Both models, read once by a Python worker that runs many tasks."""
-    return ByteTokens(a), PieceTokens(b)
+    return Units([ByteTokens(a), PieceTokens(b)])
+
+
+@lru_cache(maxsize=1)
+def _numbers(bits: int) -> list[str]:
+    """Each id of so many bits followed by each sign."""
+    return [f"{i}{sign}" for i in range(1 << bits) for sign in ",|;"]
 
 
 def cut_points(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -140,18 +216,17 @@ def overlaps(a: np.ndarray, b: np.ndarray, steps: int = PIECE_STEPS) -> tuple[np
 class Aligned:
     """The alignment of a batch of texts, as flat arrays; `used` tells which texts have tokens."""
 
-    def __init__(self, texts: list[str], first: ByteTokens, second: PieceTokens):
-        a, b = first.encode([" " + t for t in texts]), second.encode(texts)
-        self.used = np.zeros(len(texts), bool)
-        for i, text in enumerate(texts):
-            raw = b" " + text.encode("utf-8", "surrogatepass")
-            same = text and b"".join(map(first.shown.__getitem__, a[i].tolist())) == raw
-            self.used[i] = bool(same) and b"".join(map(second.shown.__getitem__, b[i].tolist())) == raw
+    def __init__(self, texts: list[str], tokens: Units):
+        (a, b), doubt = tokens.encode(texts)
+        self.used = np.array([t != "" for t in texts], bool)
+        for i in np.flatnonzero(doubt):
+            raw = b" " + texts[i].encode("utf-8", "surrogatepass")
+            self.used[i] = all(side.show(ids[i].tolist()) == raw for side, ids in zip(tokens.sides, (a, b), strict=True))
         none = np.zeros(0, np.int32)
         a, b = ([x if u else none for x, u in zip(ids, self.used, strict=True)] for ids in (a, b))
         self.n_a, self.n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b))
         self.a, self.b = (np.concatenate([none, *ids]).astype(np.int64) for ids in (a, b))
-        ends = [np.cumsum(x.lengths[ids]) for x, ids in ((first, self.a), (second, self.b))]
+        ends = [np.cumsum(x.lengths[ids]) for x, ids in zip(tokens.sides, (self.a, self.b), strict=True)]
         self.link_a, self.link_b, self.close_a, self.close_b = overlaps(*ends)
         doc_of_a = np.repeat(np.arange(len(texts)), self.n_a)
         self.n_groups = np.bincount(doc_of_a[self.close_a], minlength=len(texts))
@@ -161,14 +236,14 @@ class Aligned:
 
     def groups(self) -> list[str]:
         """`a1,a2|b1;a3|b2,b3` of each text; empty without tokens."""
-        size = len(self.a) + len(self.b)
-        ids, sign = np.empty(size, np.int64), np.full(size, ",")
         group_a, group_b = np.searchsorted(self.close_a, np.arange(len(self.a))), np.searchsorted(self.close_b, np.arange(len(self.b)))
-        place_a = np.arange(len(self.a)) + np.r_[0, self.close_b + 1][group_a]
-        place_b = np.arange(len(self.b)) + np.r_[self.close_a + 1, 0][group_b]
-        ids[place_a], ids[place_b] = self.a, self.b
-        sign[place_a[self.close_a]], sign[place_b[self.close_b]] = "|", ";"
-        shown = list(map(str.__add__, map(str, ids.tolist()), sign.tolist()))
+        sign_a, sign_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        sign_a[self.close_a], sign_b[self.close_b] = 1, 2
+        table = _numbers(int(max(self.a.max(initial=0), self.b.max(initial=0))).bit_length())
+        code = np.empty(len(self.a) + len(self.b), np.int64)
+        code[np.arange(len(self.a)) + np.r_[0, self.close_b + 1][group_a]] = self.a * 3 + sign_a
+        code[np.arange(len(self.b)) + np.r_[self.close_a + 1, 0][group_b]] = self.b * 3 + sign_b
+        shown = list(map(table.__getitem__, code.tolist()))
         ends = np.cumsum(self.n_a + self.n_b)
         return ["".join(shown[e - n : e])[:-1] for e, n in zip(ends.tolist(), (self.n_a + self.n_b).tolist(), strict=True)]
 
@@ -177,8 +252,8 @@ class Chunk:
     """Distinct groups of some texts, and which groups each text has."""
 
     def __init__(self):
-        self.rows, self.sizes, self.hashes, self.chars = [], [], [], 0
-        self.known_hash, self.known_pairs, self.known_size = [], [], []
+        self.rows, self.sizes, self.members, self.chars = [], [], [], 0
+        self.codes, self.pairs, self.lengths, self.known = [], [], [], 0
 
     def add(self, rows: np.ndarray, found: Aligned, chars: int) -> None:
         self.chars += chars
@@ -198,34 +273,33 @@ class Chunk:
             raise RuntimeError("two groups of a batch have one code")
         self.rows.append(rows)
         self.sizes.append(found.n_groups)
-        self.hashes.append(code)
-        self.known_hash.append(code[first])
-        self.known_size.append(count[first])
+        self.members.append(self.known + which.astype(np.uint32))
+        self.known += len(first)
+        self.codes.append(code[first])
+        self.lengths.append(count[first])
         at = np.repeat(start[first], count[first])
         at += np.arange(len(at)) - np.repeat(np.cumsum(count[first]) - count[first], count[first])
-        self.known_pairs.append(pairs[at])
+        self.pairs.append(pairs[at])
 
     def row(self, number: int) -> dict:
-        hashes = np.concatenate([np.zeros(0, np.uint64), *self.hashes])
-        codes, which, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        known, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.known_hash]), return_index=True)
-        size = np.concatenate([np.zeros(0, np.int64), *self.known_size])
-        start = (np.cumsum(size) - size)[first]
-        size = size[first]
+        codes, lengths, members = (np.concatenate(x) for x in (self.codes, self.lengths, self.members))
+        _, first, same = np.unique(codes, return_index=True, return_inverse=True)
+        n = np.bincount(same[members], minlength=len(first))
+        start, size = (np.cumsum(lengths) - lengths)[first], lengths[first]
         # Frequent groups get small numbers, which take few bytes.
         by = np.argsort(-n, kind="stable")
         number_of = np.empty(len(by), np.uint32)
         number_of[by] = np.arange(len(by))
         start, size, n = start[by], size[by], n[by]
         at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        pairs = np.concatenate([np.zeros(0, np.int64), *self.known_pairs])[at]
+        pairs = np.concatenate(self.pairs)[at]
         distinct, pair = np.unique(pairs, return_inverse=True)
         counts = np.bincount(pair, np.repeat(n, size), len(distinct)).astype(np.int64)
-        planes = number_of[which].view(np.uint8).reshape(-1, 4).T
+        planes = number_of[same[members]].view(np.uint8).reshape(-1, 4).T
         data = {
             "chunk": number,
-            "rows": np.concatenate([np.zeros(0, np.int64), *self.rows]).tobytes(),
-            "sizes": np.concatenate([np.zeros(0, np.int64), *self.sizes]).astype(np.int32).tobytes(),
+            "rows": np.concatenate(self.rows).tobytes(),
+            "sizes": np.concatenate(self.sizes).astype(np.int32).tobytes(),
             "members": planes.tobytes(),
             "links": pair.astype(np.int32).tobytes(),
             "lengths": size.astype(np.int32).tobytes(),
@@ -262,11 +336,11 @@ def align_documents(
         return pd.DataFrame({c: data.get(c, pd.Series([None] * n, dtype=object)) for c in DOC_FIELDS + CHUNK_FIELDS})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = _loaded(*models.value)
+        tokens = loaded(*models.value)
         row = number = TaskContext.get().partitionId() << 40
         chunk = Chunk()
         for frame in pieces(batches):
-            found = Aligned(frame["text"].tolist(), a, b)
+            found = Aligned(frame["text"].tolist(), tokens)
             rows = np.arange(row, row + len(frame))
             row += len(frame)
             columns = (rows, frame["doc_id"].array, found.n_a, found.n_b, found.n_groups, found.n_links, found.groups())
