@@ -72,3 +72,24 @@ def join_by_key(rows: DataFrame, groups: DataFrame, keys: list[str], copies: str
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).otherwise(0)
     salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
     return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of a and b. `label` has a set's smallest place for each of its places and keeps doing so."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -29,7 +29,7 @@ Keys are 64 bits wide: n distinct texts meet by chance with probability n^2 / 2^
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.llm.bloom import bloom_filter
-from modelwatch.llm.common import keyed_texts, pieces
+from modelwatch.llm.common import join_by_key, keyed_texts, pieces, unite
 from modelwatch.session import materialise
 
 #: Size of the table of frequent shingles that is sent to every task (16 bytes an entry).
@@ -49,33 +49,87 @@ TASK_TABLE, TASK_SHINGLES = 32_768, 1_500_000
 VERIFY_COST = 1
 #: A frequent shingle's index entries are read in runs of about so many.
 RUN_ROWS = 20_000
-CACHED_WORDS = 100_000
+#: Bytes whose words are hashed at once.
+BLOCK_BYTES = 1 << 20
+#: Sets whose repetition a task notices.
+CACHED_SETS = 200_000
+#: Links that a task joins into sets at once (16 bytes a link).
+LOCAL_LINKS = 500_000
 
 
-class _WordKeys(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        key = self[word] = xxhash.xxh64_intdigest(word)
-        return key
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (in place)."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)
+#: A random number for each byte at each of the first places of a word; later places are computed.
+PLACES = 64
+_PLACED = _mixed(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * STEP)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += ord("a") - ord("A")
+_SOLID = np.ones(256, bool)
+_SOLID[[0x20, *range(0x09, 0x0E)]] = False
+
+
+def _block_keys(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, key) of each word: the sum of the numbers of its bytes at their places."""
+    solid = _SOLID[raw]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    at = np.flatnonzero(solid)
+    starts = np.flatnonzero(first)
+    begins = np.searchsorted(at, starts)
+    place = at - np.repeat(starts, np.diff(np.r_[begins, len(at)]))
+    code = place * 256 + _LOWER[raw[at]]
+    number = _PLACED[np.minimum(code, len(_PLACED) - 1)]
+    late = np.flatnonzero(place >= PLACES)
+    if len(late):
+        number[late] = _mixed((code[late].astype(np.uint64) + np.uint64(1)) * STEP)
+    return starts, np.add.reduceat(number, begins) if len(starts) else np.empty(0, np.uint64)
+
+
+def word_keys(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit key) of each word, A-Z lower-cased; worked on in blocks that end at white space."""
+    raw, at, found = np.frombuffer(data, np.uint8), 0, []
+    while at < len(raw):
+        end = min(at + BLOCK_BYTES, len(raw))
+        while end < len(raw) and not (gaps := np.flatnonzero(~_SOLID[raw[end : end + BLOCK_BYTES]])[:1]).size:
+            end = min(end + BLOCK_BYTES, len(raw))
+        end += int(gaps[0]) if end < len(raw) else 0
+        starts, keys = _block_keys(raw[at:end])
+        found.append((starts + at, keys))
+        at = end
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _combined(keys: np.ndarray, span: int) -> np.ndarray:
+    """Key of every run of `span` words."""
+    h = np.full(max(0, len(keys) - span + 1), span, np.uint64)
+    for i in range(span):
+        h *= STEP
+        h += keys[i : i + len(h)]
+    return _mixed(h).view(np.int64)
 
 
-def shingle_set(text: str, width: int, keys: dict) -> np.ndarray:
-    """Sorted distinct keys of the `width`-word shingles; a shorter text is one shingle."""
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    k = np.fromiter(map(keys.__getitem__, words), np.uint64, len(words))
-    span = min(width, len(words))
-    h = np.full(len(words) - span + 1, span, np.uint64)
-    for i in range(span):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += k[i : i + len(h)]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h ^= h >> np.uint64(shift)
-        h *= np.uint64(factor)
-    s = np.sort((h ^ (h >> np.uint64(31))).view(np.int64))
-    return s[np.r_[True, s[1:] != s[:-1]]]
+def shingle_sets(texts: Iterable[str], width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct keys of its `width`-word shingles; a shorter text is one shingle."""
+    data = [t.encode("utf-8", "replace") for t in texts]
+    starts, keys = word_keys(b" ".join(data))
+    bounds = np.searchsorted(starts, np.cumsum([0] + [len(d) + 1 for d in data]))
+    every = _combined(keys, width)
+    for first, end in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        if end - first >= width:
+            s = np.sort(every[first : end - width + 1])
+            yield s[np.r_[True, s[1:] != s[:-1]]]
+        else:
+            yield _combined(keys[first:end], end - first) if end > first else np.empty(0, np.int64)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -101,12 +155,11 @@ def _repeated(sets: list[np.ndarray], tokens: np.ndarray, counts: np.ndarray) ->
 
 def _profile(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, tokens, counts = _WordKeys(), np.empty(0, np.int64), np.empty(0, np.int64)
+        tokens, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         held, shingles, seen = [], 0, set()
         for frame in pieces(batches):
             sizes, classes = [], []
-            for text in frame["text"]:
-                s = shingle_set(text, width, keys)
+            for s in shingle_sets(frame["text"], width):
                 sizes.append(len(s))
                 classes.append(set_key(s))
                 if classes[-1] not in seen:
@@ -155,29 +208,43 @@ def matches_wanted(frequencies: np.ndarray, n: int, percent: int, most: int) ->
 
 def _entries(width: int, percent: int, most: int, order):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = _WordKeys()
+        seen = set()
         frequent, counts = order.value
         for frame in pieces(batches):
-            seen, out = set(), []
-            for text in frame.text:
-                s = shingle_set(text, width, keys)
+            out = []
+            if len(seen) > CACHED_SETS:
+                seen = set()
+            for s in shingle_sets(frame["text"], width):
                 n, cls = len(s), set_key(s)
                 if not n or cls in seen:
                     continue
                 seen.add(cls)
-                at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                f = np.where(frequent[at] == s, counts[at], 0) if len(frequent) else np.zeros(n, np.int64)
-                if f.any():
-                    by = np.argsort(f, kind="stable")
-                    s, f = s[by], f[by]
-                m = matches_wanted(f, n, percent, most)
+                m, run = 1, 0
                 p = n - least_overlap(n, percent) + m
-                runs = f[:p] // RUN_ROWS
-                run = np.where(runs > 0, 1 + cls % (runs + 1), 0)
-                out.append((s[:p], run, np.arange(p), np.full(p, cls), np.full(p, n), np.full(p, m)))
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+                    f = np.where(frequent[at] == s, counts[at], 0)
+                    if f.any():
+                        by = np.argsort(f, kind="stable")
+                        s, f = s[by], f[by]
+                        m = matches_wanted(f, n, percent, most)
+                        p = n - least_overlap(n, percent) + m
+                        runs = f[:p] // RUN_ROWS
+                        run = np.where(runs > 0, 1 + cls % (runs + 1), 0) if runs[-1] else 0
+                out.append((s[:p], np.broadcast_to(np.int32(run), p), (cls, p, n, m)))
             if out:
-                names = ("token", "run", "pos", "cls", "n", "matches")
-                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                tokens, runs, heads = zip(*out, strict=True)
+                cls, p, n, m = np.array(heads).T
+                yield pd.DataFrame(
+                    {
+                        "token": np.concatenate(tokens),
+                        "run": np.concatenate(runs),
+                        "pos": (np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)).astype(np.int32),
+                        "cls": np.repeat(cls, p),
+                        "n": np.repeat(n.astype(np.int32), p),
+                        "matches": np.repeat(m.astype(np.int8), p),
+                    }
+                )
 
     return run
 
@@ -223,9 +290,8 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = _WordKeys()
         for frame in pieces(batches):
-            sets = {set_key(s): s for s in (shingle_set(t, width, keys) for t in frame.text)}
+            sets = {set_key(s): s for s in shingle_sets(frame["text"], width)}
             yield pd.DataFrame({"cls": list(sets), "shingles": list(sets.values())})
 
     return run
@@ -244,20 +310,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def components(links: DataFrame) -> DataFrame:
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) to fewer links that join the same nodes: each node to the smallest of its set.
+
+    Holds LOCAL_LINKS links and one batch; what a task has read so far is reduced when it holds more.
+    """
+
+    def reduced(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = np.arange(len(nodes))
+        unite(label, place[: len(a)], place[len(a) :])
+        leaf = np.flatnonzero(label != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[leaf], "b": nodes[label[leaf]]})
+
+    held = pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    for frame in batches:
+        held = pd.concat([held, frame], ignore_index=True)
+        if len(held) > LOCAL_LINKS:
+            held = reduced(held["a"].to_numpy(), held["b"].to_numpy())
+            if len(held) > LOCAL_LINKS // 2:
+                yield held
+                held = held.iloc[:0]
+    yield reduced(held["a"].to_numpy(), held["b"].to_numpy())
+
+
+def components(links: DataFrame, at_once: int = LOCAL_LINKS) -> DataFrame:
     """(node, label) for every node of the links (a, b): label is the component's smallest node.
 
-    Alternating star contraction; each round is written to the shared folder. A node with many
-    links is reduced by partial minima and joined by a join that adaptive execution can split.
+    Every task first reduces its links to a forest. Up to `at_once` links, a fixed number, are then joined
+    by one task. More go through alternating star contraction, whose rounds are written to the shared
+    folder: a node with many links is reduced by partial minima and its links are dealt out by salt.
     """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    both_ways = "a bigint, b bigint"
+    edges = links.filter("a <> b").select("a", "b").mapInPandas(_forest, both_ways)
     edges = materialise(edges)
-    while True:
+    while edges.count() > at_once:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count("*").alias("degree"))
+        large = join_by_key(both, materialise(low), ["a"], "degree", "b").filter("b > a")
+        large = large.select(F.col("b").alias("a"), F.col("low").alias("b"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("degree")))
+        small = join_by_key(large, low, ["a"], "degree", "b")
         small = small.select("a", F.col("low").alias("b")).unionByName(
             small.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         )
@@ -271,6 +364,11 @@ def components(links: DataFrame) -> DataFrame:
             return ends.filter("leaf = 0").select("node", F.col("node").alias("label")).unionByName(
                 edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
             )
+    stars = edges.coalesce(1).mapInPandas(_forest, both_ways)
+    centres = stars.select(F.col("b").alias("node")).distinct()
+    return centres.select("node", F.col("node").alias("label")).unionByName(
+        stars.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    )
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -294,25 +392,25 @@ def _linked(docs: DataFrame, width: int, percent: int, most_matches: int) -> tup
     top = top.orderBy(F.desc("count"), "token").limit(ORDER_TABLE).toArrow().sort_by("token")
     order = spark.sparkContext.broadcast((top["token"].to_numpy(), top["count"].to_numpy()))
 
-    fields = "pos bigint, cls bigint, n bigint, matches bigint"
+    fields = "pos int, cls bigint, n int, matches tinyint"
     entries = docs.select("text").mapInPandas(
-        _entries(width, percent, most_matches, order), f"token bigint, run bigint, {fields}"
+        _entries(width, percent, most_matches, order), f"token bigint, run int, {fields}"
     )
     index = materialise(
         entries.repartition("token", "run")
         .sortWithinPartitions("token", "run", "pos", "cls")
         .mapInPandas(
             _shared,
-            f"token bigint, {fields}, hub_cls bigint, hub_pos bigint, hub_n bigint, hub_matches bigint",
+            f"token bigint, {fields}, hub_cls bigint, hub_pos int, hub_n int, hub_matches tinyint",
         )
     )
     # Of two prefixes, the one that ends first has all its common entries in the other, so they are
     # shared; the rest of the overlap lies behind it.
     held = index.groupBy("cls").agg(F.countDistinct("token").alias("held"))
     index = index.join(held, "cls")
-    behind = F.greatest(*[F.expr(f"({percent} * {o}n + 99) div 100 - {o}matches") for o in ("", "other_")])
+    behind = F.greatest(*[F.expr(f"({percent}L * {o}n + 99) div 100 - {o}matches") for o in ("", "other_")])
 
-    overlap = F.expr(f"({percent} * (n + other_n) + {99 + percent}) div {100 + percent}")
+    overlap = F.expr(f"({percent}L * (n + other_n) + {99 + percent}) div {100 + percent}")
     asked = F.least("matches", "other_matches")
 
     def candidates(entries: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import join_by_key, matrix
+from modelwatch.llm.common import join_by_key, matrix, unite
 from modelwatch.llm.ngram_join import components
 from modelwatch.llm.whitening import vector_keys
 from modelwatch.session import materialise
@@ -188,19 +188,6 @@ class Block:
         return [(int(a), int(b)) for a, b in zip(start, np.r_[start[1:], end], strict=True)]
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the sets of a and b. `label` has a set's smallest row for each of its rows and keeps doing so."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def compare(left: Block, right: Block, q: Quantiser, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(links, label) for the rows of left, then of right; of left alone if it is compared with itself.
 
@@ -238,7 +225,7 @@ def compare(left: Block, right: Block, q: Quantiser, cosine: float) -> tuple[np.
                 a, b = at + some[rows[i]], r + columns[j]
                 np.add.at(links, a, right.copies[b])
                 np.add.at(links, shift + b, left.copies[a])
-                _unite(label, a, shift + b)
+                unite(label, a, shift + b)
     return links, label
 
 
