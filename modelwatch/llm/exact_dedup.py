@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import sha256
+from modelwatch.llm.common import sha256, unused
 from modelwatch.session import materialise, shared_path
 
 
@@ -85,7 +85,8 @@ def kept_documents(docs: DataFrame, report: DataFrame, id_col: str = "doc_id", t
 
     Of rows that repeat id and text but differ in other columns, any one stays.
     """
-    wanted = report.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    rows = with_digest(docs, text_col, "_text_digest")
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_digest") == F.col("_digest"))
-    return rows.join(wanted, same, "left_semi").dropDuplicates([id_col, "_text_digest"]).select(*docs.columns)
+    name, digest = unused(docs, "kept_row"), unused(docs, "text_digest")
+    wanted = report.filter("kept").select(F.struct("doc_id", "text_sha256").alias(name))
+    rows = with_digest(docs, text_col, digest)
+    same = F.col(id_col).eqNullSafe(F.col(f"{name}.doc_id")) & (F.col(digest) == F.col(f"{name}.text_sha256"))
+    return rows.join(wanted, same, "left_semi").dropDuplicates([id_col, digest]).select(*docs.columns)

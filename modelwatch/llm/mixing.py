@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import WORD
+from modelwatch.llm.common import WORD, unused
 from modelwatch.session import materialise
 
 CHUNK_ROWS, FAN_IN = 4_096, 512
@@ -207,11 +207,12 @@ def mix(
 def mixed_documents(docs: DataFrame, decisions: DataFrame, id_col="doc_id", text_col="text", source_col="source"):
     """The rows of the mix: each row of `docs` as often as it is taken, with all its columns."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    taken = decisions.select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_n")
-    ).distinct()
+    own, name, copy = (unused(docs, c) for c in ("mix_size", "mix_row", "mix_copy"))
+    taken = decisions.select(F.struct("doc_id", "source", "size", "copies").alias(name)).distinct()
     same = (
-        F.col(id_col).eqNullSafe(F.col("_d")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_w") == F.col("_z"))
+        F.col(id_col).eqNullSafe(F.col(f"{name}.doc_id"))
+        & F.col(source_col).eqNullSafe(F.col(f"{name}.source"))
+        & (F.col(own) == F.col(f"{name}.size"))
     )
-    rows = docs.withColumn("_w", size).join(taken, same).filter("_n > 0")
-    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    rows = docs.withColumn(own, size).join(taken, same).filter(f"{name}.copies > 0")
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"{name}.copies")))).select(*docs.columns)

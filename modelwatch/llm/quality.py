@@ -14,15 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelwatch.llm.common import pieces
+from modelwatch.llm.common import PIECE_CHARS, pieces
 
 FEATURES = 1_024
 #: Documents that train the scorer, those with the smallest hash of (id, text length).
 TRAIN_ROWS = 8_192
 EM_ROUNDS = 60
+#: Rows of a block of the scorer's fit.
+FIT_ROWS = 1_024
 ABSTAIN, BAD, GOOD = 0, 1, 2
 
 #: Character classes: blank, line end, lower, upper, other letter, digit, stop, comma-like, bar, symbol.
@@ -156,17 +160,28 @@ def posterior(table: np.ndarray, prior: float, seen: np.ndarray) -> np.ndarray:
 
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient descent; classes weigh the same."""
-    weights = np.zeros(x.shape[1] + 1)
+    """Logistic regression on soft labels by accelerated gradient descent; classes weigh the same.
+
+    x stays as it is, in single precision; a round goes through it in blocks of rows.
+    """
+    width = x.shape[1] if len(x) else FEATURES
+    weights = np.zeros(width + 1)
     if not len(x):
         return weights[:-1], 0.0
-    x = np.hstack([x, np.ones((len(x), 1))])
     mass = np.where(y >= 0.5, 1 / max(1e-9, (y >= 0.5).mean()), 1 / max(1e-9, (y < 0.5).mean())) / len(x) / 2
-    step = 1 / (0.25 * (mass * (x * x).sum(axis=1)).sum() + ridge)
+    blocks = [slice(at, at + FIT_ROWS) for at in range(0, len(x), FIT_ROWS)]
+    squares = np.concatenate([np.einsum("ij,ij->i", x[b], x[b]) for b in blocks]) + 1.0
+    step = 1 / (0.25 * (mass * squares).sum() + ridge)
     ahead, last = weights.copy(), weights
     for t in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -50, 50)))
-        weights = ahead - step * (x.T @ (mass * (p - y)) + ridge * ahead)
+        slope = ridge * ahead
+        single = ahead[:-1].astype(np.float32)
+        for b in blocks:
+            p = 1 / (1 + np.exp(-np.clip(x[b] @ single + ahead[-1], -50, 50)))
+            off = mass[b] * (p - y[b])
+            slope[:-1] += off.astype(np.float32) @ x[b]
+            slope[-1] += off.sum()
+        weights = ahead - step * slope
         ahead, last = weights + t / (t + 3) * (weights - last), weights
     return weights[:-1], float(weights[-1])
 
@@ -204,11 +219,14 @@ def learn_quality(docs: DataFrame, id_col="doc_id", text_col="text", train_rows:
     cutoff = drawn.agg(F.max("draw")).first()[0]
     if cutoff is None:
         return QualityModel(table, prior, np.zeros(FEATURES), 0.0)
-    sample = rows.filter(F.col("draw") <= cutoff).select("text").mapInPandas(_featured, "votes string, features binary")
-    sample = sample.limit(train_rows).collect()
-    sample.sort(key=lambda r: (r.votes, bytes(r.features)))
-    x = np.array([np.frombuffer(r.features, np.float32) for r in sample])
-    seen = np.array([[int(v) for v in r.votes] for r in sample])
+    sample = rows.filter(F.col("draw") <= cutoff).orderBy("draw", F.sha2("text", 256)).limit(train_rows)
+    sample = sample.select("text").mapInPandas(_featured, "votes string, features binary").toArrow().combine_chunks()
+    sample = sample.sort_by([("votes", "ascending"), ("features", "ascending")])
+    x = np.empty((sample.num_rows, FEATURES), np.float32)
+    for i, row in enumerate(sample["features"]):
+        x[i] = np.frombuffer(row.as_buffer(), np.float32)
+    seen = np.array([[int(v) for v in row.as_py()] for row in sample["votes"]]).reshape(-1, HEURISTICS)
+    del sample
     weights, bias = fit_scorer(x, posterior(table, prior, seen))
     return QualityModel(table, prior, weights, bias)
 
@@ -224,7 +242,7 @@ def score_quality(
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scored(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    def scored(texts) -> tuple[np.ndarray, np.ndarray]:
         m = sent.value
         odds, seen, none = np.zeros(len(texts)), [], np.zeros(len(texts), bool)
         for i, text in enumerate(texts):
@@ -237,12 +255,18 @@ def score_quality(
         return np.where(none, 0.0, weak), np.where(none, 0.0, score)
 
     if keep_columns:
-
-        @F.pandas_udf("double")
-        def score(texts: pd.Series) -> pd.Series:
-            return pd.Series(scored(texts.fillna(""))[1]) if len(texts) else pd.Series([], dtype=float)
-
-        return docs.filter(score(F.col(text_col)) >= least)
+        place = docs.columns.index(text_col)
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes = pc.fill_null(pc.utf8_length(batch.column(place)), 0).to_numpy().cumsum() // PIECE_CHARS
+                cuts = [0, *(sizes[1:] != sizes[:-1]).nonzero()[0] + 1, batch.num_rows]
+                for start, end in zip(cuts, cuts[1:], strict=False):
+                    part = batch.slice(start, end - start)
+                    good = scored(pc.fill_null(part.column(place), "").to_pylist())[1] >= least
+                    yield part.filter(pa.array(good))
+
+        return docs.mapInArrow(kept, docs.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in pieces(batches):
