@@ -12,15 +12,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelwatch.functions.columns import sql_name
+from modelwatch.functions.columns import sql_literal, sql_name
 from modelwatch.session import materialise
 
 BLOCK = "_block"
 
-# Segments that a group's distinct values are cut into; only those that hold a wanted rank are sorted.
-SEGMENTS = 64
-# Rank error of the sketch that places the cuts is distinct values / SKETCH_ACCURACY. It decides how
-# even the segments are, never the result.
+# Counted values of one group that one window may order: segments * SEGMENT_ROWS. More are ordered in ranges.
+SEGMENTS, SEGMENT_ROWS = 64, 24
+# Rank error of the sketch that places the cuts is rows / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
 
 
@@ -96,35 +95,41 @@ def exact_percentiles(
     kind 'disc' returns the smallest value whose share of rows reaches the fraction,
     kind 'linear' interpolates between the two neighbouring values. Nulls do not count.
 
-    One way for every size. The input is read once and becomes value counts, which no tie can
-    skew. A sketch cuts each group's distinct values into segments; the exact row count of each
-    segment tells which ones hold a wanted rank, and only these are sorted, each in ranges.
-    Segments tile all values, so no rank can be missed.
+    Two scans, one way for every size. The first merges sketches of the raw values; their error
+    is at most n / accuracy ranks, so two cuts a little farther apart hold a wanted rank between them.
+    The second counts: rows between such cuts by value, all others by the segment that they lie in, with
+    its smallest and largest value. Only these counts are shuffled. Ranks are read off their running
+    totals; a group whose brackets may hold more than `segments` * SEGMENT_ROWS values is ordered in ranges.
     """
     by = list(by)
     if kind not in ("disc", "linear"):
         raise ValueError(f"unknown percentile kind {kind!r}")
     base = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = materialise(base.groupBy(*by, "_v").agg(F.count("*").alias("_cnt")))
-    steps = [i / segments for i in range(1, segments)]
-    sketch = counts.groupBy(*by).agg(
-        F.sum("_cnt").alias("n"), F.array_distinct(F.percentile_approx("_v", steps, accuracy)).alias("_cuts")
+    margin = 2.5 / accuracy
+    ends = [(max(0.0, q - margin), min(1.0, q + margin)) for q in fractions.values()]
+    steps = sorted({e for pair in ends for e in pair})
+    sketch = base.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_v", steps, accuracy).alias("_cuts"))
+    if by:
+        sketch = materialise(sketch)
+        most = sketch.agg(F.max("n")).first()[0] or 0
+        placed, cuts = _join_group(base, sketch, by), [f"_cuts[{i}]" for i in range(len(steps))]
+    else:
+        most, found = sketch.first()
+        cuts = [sql_literal(float(c)) for c in found or [0.0] * len(steps)]
+        placed = base.withColumn("n", F.lit(most).cast("long"))
+    between = " OR ".join(f"(_v >= {cuts[steps.index(lo)]} AND _v <= {cuts[steps.index(hi)]})" for lo, hi in ends)
+    segment = " + ".join(f"CAST({c} < _v AS INT)" for c in cuts)
+    counts = placed.selectExpr(
+        *[sql_name(b) for b in by], "n", "_v", f"{segment} AS _seg", f"CASE WHEN {between} THEN _v END AS _kept"
     )
-    placed = _join_group(counts, sketch, by).withColumn("_seg", F.expr("size(filter(_cuts, c -> c < _v))")).drop("_cuts")
-
-    # At most `segments` rows a group from here on.
-    group = Window.partitionBy(*by).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*by, "n", "_seg").agg(F.sum("_cnt").alias("_rows"))
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_rows").over(group), F.lit(0)))
-    ranks = sorted({rank for q in fractions.values() for rank in _ranks(q, kind)[:2]})
-    holds = " OR ".join(f"({rank} > _before AND {rank} <= _before + _rows)" for rank in ranks)
-    wanted = totals.filter(holds).select(*by, "_seg", "_before")
-
-    # A segment grows with the data, so it is ordered in ranges.
-    blocks = order_blocks(_join_group(placed, wanted, [*by, "_seg"]), [*by, "_seg"], "_v")
-    ranked = running_totals(blocks, [*by, "_seg"], "_v", ["_cnt"]).withColumn(
-        "cum__cnt", F.col("_before") + F.col("cum__cnt")
+    counts = counts.groupBy(*by, "n", "_seg", "_kept").agg(
+        F.count("*").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
+    if most * 2 * margin * len(ends) <= segments * SEGMENT_ROWS:
+        so_far = Window.partitionBy(*by).orderBy("_hi").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("cum__cnt", F.sum("_cnt").over(so_far))
+    else:
+        ranked = running_totals(order_blocks(counts, by, "_hi"), by, "_hi", ["_cnt"])
     return _pick(ranked, fractions, by, kind)
 
 
@@ -146,7 +151,11 @@ def _pick(ranked: DataFrame, fractions: Mapping[str, float], by: list[str], kind
         for label, rank in (("lo", lower), ("hi", upper)):
             # Exactly one row holds the rank.
             holds = f"cum__cnt >= {rank} AND cum__cnt - _cnt < {rank}"
-            aggregates.append(F.expr(f"max(CASE WHEN {holds} THEN _v END) AS `_{label}_{name}`"))
+            at = (
+                f"CASE WHEN _lo = _hi OR cum__cnt - _cnt + 1 = {rank} THEN _lo WHEN cum__cnt = {rank} THEN _hi "
+                "ELSE CAST(raise_error('a rank lies outside the bracket of its sketch') AS DOUBLE) END"
+            )
+            aggregates.append(F.expr(f"max(CASE WHEN {holds} THEN {at} END) AS `_{label}_{name}`"))
         lo, hi = f"`_lo_{name}`", f"`_hi_{name}`"
         results.append(f"{lo if kind == 'disc' else _interpolate(lo, hi, weight)} AS `{name}`")
     grouped = ranked.groupBy(*by).agg(F.max("n").alias("n"), *aggregates)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -62,6 +63,16 @@ def decisions(
     )
 
 
+def identify(requests: DataFrame, position: Column | str = "position") -> DataFrame:
+    """Give records without a request_id one, from what they say and where they were read."""
+    named = position if isinstance(position, str) else None
+    record = [c for c in requests.columns if c not in ("request_id", named)]
+    given = F.col("request_id") if "request_id" in requests.columns else F.lit(None).cast("string")
+    place = F.col(position) if named else position
+    identified = requests.withColumn("request_id", default_id(given, record, place))
+    return identified.drop(named) if named else identified
+
+
 def score_requests(
     requests: DataFrame,
     model: PipelineModel,
@@ -71,22 +82,23 @@ def score_requests(
     positive: str = "churn",
     negative: str = "no_churn",
     now: Column | None = None,
-    position: Column | None = None,
+    position: Column | str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Validate, give ids, score, decide: (prediction facts, quarantined records).
 
     The same function serves batches and streams; the valid side has no shuffle. `position` tells
-    equal records without an id apart; by default it is the place in the scan.
+    equal records without an id apart: an expression, or the name of a column of `requests` such as
+    `sources.files.with_position` adds, which makes a file that is read again give the same ids. By
+    default every call gives ids of its own.
     """
     valid, quarantine = split_valid(validate(requests, contract, now))
     if "event_time" not in valid.columns:
         valid = valid.withColumn("event_time", F.lit(None).cast("timestamp"))
-    record = [c for c in valid.columns if c != "request_id"]
-    given = F.col("request_id") if "request_id" in valid.columns else F.lit(None).cast("string")
-    # A scan's row numbers repeat with a re-run; in a stream they start again with every micro-batch.
+    # Row numbers start again with every batch, so they are told apart by a number of the batch.
     if position is None:
-        position = F.uuid() if valid.isStreaming else F.monotonically_increasing_id()
-    identified = valid.withColumn("request_id", default_id(given, record, position))
+        batch = F.lit(uuid.uuid4().hex)
+        position = F.uuid() if valid.isStreaming else F.concat_ws("#", batch, F.monotonically_increasing_id())
+    identified = identify(valid, position)
     facts = decisions(predict_scores(model, identified), threshold, version, positive, negative, now=now)
     return facts, quarantine
 

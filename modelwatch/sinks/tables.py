@@ -12,36 +12,43 @@ from pyspark.sql import functions as F
 
 from modelwatch.operators.checks import CheckFailed, outside_domain, require_empty
 from modelwatch.operators.joins import key_match
+from modelwatch.session import materialise
+from modelwatch.sinks.ledger import BUCKETS, KeyLedger, record_digest, unseen
 
 log = logging.getLogger(__name__)
 
 
-def unseen(facts: DataFrame, path: str, key: str = "request_id", day: str = "event_date") -> DataFrame:
-    """Facts whose key the table at `path` does not hold, one row per key.
+def append_predictions(
+    facts: DataFrame, path: str, time_column: str = "event_time", key: str = "request_id", buckets: int = BUCKETS
+) -> int:
+    """Append facts in one folder per event date, sorted by id inside each file; returns how many were new.
 
-    Keys are looked up in the folders from the first to the last day of `facts`: a request that
-    is sent again carries the same event time. Only keys of these folders are read.
-    """
-    fresh = facts.dropDuplicates([key])
-    spark = facts.sparkSession
-    if is_empty(spark, path):
-        return fresh
-    first, last = facts.agg(F.min(day), F.max(day)).first()
-    stored = spark.read.parquet(path).filter(F.col(day).between(F.lit(first), F.lit(last)))
-    return fresh.join(stored.select(key), key, "left_anti")
-
-
-def append_predictions(facts: DataFrame, path: str, time_column: str = "event_time") -> None:
-    """Append facts in one folder per event date, sorted by id inside each file.
+    An id is stored once, whatever day it comes back on: the table's `KeyLedger` holds all stored ids.
+    Rows that repeat an id and what was asked are one request, and appending a batch again, whole or in
+    part, adds nothing. Two different requests with one id raise before anything is written, and so do
+    facts without an id.
 
-    An id is stored once: appending a batch again adds nothing.
-
-    A failed write raises: an answer that was not recorded is not given. The rebalance
-    gathers a date into few files but splits a date too large for one task.
+    A failed write raises: an answer that was not recorded is not given. The batch is written to the
+    shared folder once, so it is scored once. The rebalance gathers a date into few files but splits a
+    date too large for one task. One append at a time.
     """
-    dated = unseen(facts.withColumn("event_date", F.to_date(time_column)), path)
-    dated = dated.hint("rebalance", F.col("event_date"))
-    dated.sortWithinPartitions("event_date", "request_id").write.mode("append").partitionBy("event_date").parquet(path)
+    spark = facts.sparkSession
+    ledger = KeyLedger(spark, path, key, facts.schema[key].dataType.simpleString(), buckets)
+    try:
+        ledger.recover(facts.withColumn("event_date", F.current_date()).schema)
+        dated = facts.withColumn("event_date", F.to_date(time_column))
+        batch = materialise(dated.withColumn("record", record_digest(facts.columns, key)))
+        fresh = materialise(unseen(batch, ledger))
+        n = fresh.count()
+        if n or is_missing(spark, path):
+            mark = ledger.open_mark(fresh)
+            rows = fresh.drop("record").hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", key)
+            rows.write.mode("append").partitionBy("event_date").parquet(path)
+            ledger.add(fresh)
+            ledger.close_mark(mark)
+        return n
+    finally:
+        ledger.close()
 
 
 def append_request_log(rows: DataFrame, path: str) -> bool:
@@ -66,6 +73,17 @@ def replace_table(df: DataFrame, path: str, version_column: str = "refresh") ->
     return version
 
 
+def is_missing(spark: SparkSession, path: str) -> bool:
+    """No table at the path yet. A path that cannot be read as a table is an error."""
+    try:
+        spark.read.parquet(path)
+        return False
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return True
+        raise
+
+
 def is_empty(spark: SparkSession, path: str) -> bool:
     """No table at the path, or one without rows. A path that cannot be read as a table is an error."""
     try:

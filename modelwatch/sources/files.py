@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +62,31 @@ def read_requests(spark: SparkSession, path: str, contract: Contract = TELCO_CON
     return parse_records(spark.read.text(path), "value", contract)
 
 
+def with_position(requests: DataFrame, name: str = "position") -> DataFrame:
+    """Add where each record was read, so that equal records stay different requests.
+
+    File and row for columnar files; for text, file and number among the equal records of that file.
+    Both are the same whenever the file is read again, however it is split. Records that come from no
+    file are told apart by this call and their place in it.
+    """
+
+    def known(field: str) -> bool:
+        try:
+            requests.select(f"_metadata.{field}")
+            return True
+        except AnalysisException:
+            return False
+
+    if known("row_index"):
+        return requests.withColumn(name, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
+    if known("file_path"):
+        content = F.col("_raw") if "_raw" in requests.columns else F.to_json(F.struct(*requests.columns))
+        placed = requests.withColumn(name, F.col("_metadata.file_path"))
+        equal = Window.partitionBy(name, F.sha2(content, 256)).orderBy(F.lit(0))
+        return placed.withColumn(name, F.concat_ws("#", name, F.row_number().over(equal)))
+    return requests.withColumn(name, F.concat_ws("#", F.lit(uuid.uuid4().hex), F.monotonically_increasing_id()))
+
+
 def read_service_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SERVICE_LOG).json(path)
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from modelwatch.operators.checks import CheckFailed
 from modelwatch.operators.profile import sample_first
+from modelwatch.operators.scoring import identify
 from modelwatch.operators.service import predictions_daily
 from modelwatch.session import shared_path
 from modelwatch.sinks import tables as sinks
@@ -50,6 +51,33 @@ def _stored_predictions(spark, sf_dir):
     return week.select("request_id", "event_time", "prediction", "model_version")
 
 
+def _ledgered_predictions(spark, sf_dir):
+    """Three appends whose batches overlap; what was stored before comes back on another day and is not stored again."""
+    path = shared_path(spark, "ledgered")
+    facts = predictions(spark, sf_dir)
+    later = facts.withColumn("event_time", F.col("event_time") + F.expr("INTERVAL 40 DAYS"))
+    part = F.col("request_id") % 4
+    sinks.append_predictions(facts.filter(part < 2), path)
+    sinks.append_predictions(facts.filter(part == 2).unionByName(later.filter(part == 0)), path)
+    sinks.append_predictions(facts.filter(part == 3).unionByName(later.filter(part < 3)), path)
+    stored = spark.read.parquet(path)
+    return rounded(stored.select("request_id", "event_time", "probability", "prediction"), 9)
+
+
+def _record_identity(spark, sf_dir):
+    """Request records without an id, the same ones in two files, the first file read twice: each is one request."""
+    raw = files.table(spark, sf_dir, "events").select("event_type", "user_id", F.to_date("ts").alias("day"))
+    path = shared_path(spark, "identity")
+    for name in ("first", "second"):
+        raw.write.json(f"{path}/{name}")
+    for name in ("first", "second", "first"):
+        records = spark.read.schema(raw.schema).json(f"{path}/{name}")
+        facts = identify(files.with_position(records)).withColumn("event_time", F.col("day").cast("timestamp"))
+        sinks.append_predictions(facts, f"{path}/facts")
+    stored = spark.read.parquet(f"{path}/facts")
+    return stored.groupBy("event_type", "day").agg(F.count("*").alias("n"), F.countDistinct("request_id").alias("n_ids"))
+
+
 def _stored_request_log(spark, sf_dir):
     path = shared_path(spark, "log")
     sinks.append_request_log(request_log(spark, sf_dir), path)
@@ -130,6 +158,8 @@ def _service_log(spark, sf_dir):
 
 QUERIES = {
     "stored_predictions": _stored_predictions,
+    "ledgered_predictions": _ledgered_predictions,
+    "record_identity": _record_identity,
     "stored_request_log": _stored_request_log,
     "replaced_table": _replaced_table,
     "stored_labels": _stored_labels,
@@ -143,6 +173,10 @@ ORACLES = {
     "stored_predictions": f"""WITH {PREDICTIONS}
         SELECT request_id, event_time, prediction, model_version FROM predictions
         WHERE event_time >= TIMESTAMP '2024-01-08' AND event_time < TIMESTAMP '2024-01-15'""",
+    "ledgered_predictions": f"""WITH {PREDICTIONS}
+        SELECT request_id, event_time, round(probability, 9) AS probability, prediction FROM predictions""",
+    "record_identity": """SELECT event_type, CAST(ts AS DATE) AS day, 2 * count(*) AS n, 2 * count(*) AS n_ids
+        FROM events GROUP BY ALL""",
     "stored_request_log": f"""WITH {REQUEST_LOG}
         SELECT CAST(created_at AS DATE) AS day, path, count(*) AS n_requests FROM request_log GROUP BY ALL""",
     "replaced_table": SERVICE_ORACLES["predictions_daily"],

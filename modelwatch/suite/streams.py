@@ -13,18 +13,19 @@ from modelwatch.sources.derived import (
     as_outcome_labels,
     as_predictions,
     as_request_log,
+    events,
     with_k,
 )
 from modelwatch.streaming.facts import (
     append_to,
     append_unseen,
     daily_bin_stream,
-    join_labels,
     read_upserts,
     run_available,
     store_scores,
     upsert_to,
 )
+from modelwatch.streaming.labels import read_label_join, store_label_join
 from modelwatch.streaming.telemetry import windowed_histogram, windowed_service_rates
 from modelwatch.suite.common import OUTCOME_LABELS, PREDICTIONS, REQUEST_LOG, rounded
 from modelwatch.suite.drift import _METRICS, reference
@@ -67,10 +68,9 @@ def _rates(spark, sf_dir):
     return rounded(_current(spark, rates, "rates", ["bucket", "path"]), 9)
 
 
-def _labels(spark, sf_dir):
-    ev = events_stream(spark, sf_dir)
-    joined = join_labels(as_predictions(ev), as_outcome_labels(ev))
-    return _written(spark, joined, "labelled").select(
+def _joined(spark: SparkSession, predictions: DataFrame, labels: DataFrame, out: str) -> DataFrame:
+    run_available(store_label_join(predictions, labels, f"{out}/join", f"{out}/checkpoint"))
+    return read_label_join(spark, f"{out}/join").select(
         "request_id",
         F.col("event_time").cast("timestamp_ntz").alias("event_time"),
         "prediction",
@@ -79,6 +79,26 @@ def _labels(spark, sf_dir):
     )
 
 
+def _labels(spark, sf_dir):
+    ev = events_stream(spark, sf_dir)
+    return _joined(spark, as_predictions(ev), as_outcome_labels(ev), shared_path(spark, "labelled"))
+
+
+def _late_labels(spark, sf_dir):
+    """Three micro-batches: the last days' predictions come first, and labels in yet another order."""
+    out = shared_path(spark, "late")
+    ev = events(spark, sf_dir)
+    sides = {"predictions": as_predictions(ev), "labels": as_outcome_labels(ev)}
+    streams = {}
+    for (name, rows), order in zip(sides.items(), ((2, 0, 1), (1, 2, 0)), strict=True):
+        third = F.floor(F.dayofmonth("event_time" if name == "predictions" else "available_at") / 11).cast("int") % 3
+        for part in order:
+            rows.filter(third == part).coalesce(1).write.mode("append").parquet(f"{out}/{name}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/{name}")
+        streams[name] = stream
+    return _joined(spark, streams["predictions"], streams["labels"], out)
+
+
 def _scores(spark, sf_dir):
     facts = as_predictions(events_stream(spark, sf_dir))
     out = shared_path(spark, "predictions")
@@ -127,6 +147,7 @@ QUERIES = {
     "stream_latency_histogram": _histogram,
     "stream_service_rates": _rates,
     "stream_label_join": _labels,
+    "stream_label_join_late": _late_labels,
     "stream_drift_counts": _drift,
 }
 
@@ -149,6 +170,9 @@ ORACLES = {
     "stream_label_join": f"""WITH {PREDICTIONS}, {OUTCOME_LABELS}
         SELECT request_id, event_time, prediction, label, available_at
         FROM predictions JOIN outcome_labels USING (request_id)""",
+    "stream_label_join_late": f"""WITH {PREDICTIONS}, {OUTCOME_LABELS}
+        SELECT request_id, event_time, prediction, label, available_at
+        FROM predictions JOIN outcome_labels USING (request_id)""",
     "stream_drift_counts": _METRICS.replace(
         "THEN value * 2 ELSE value END AS value",
         "THEN value ELSE value END AS value",
