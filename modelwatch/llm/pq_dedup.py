@@ -249,15 +249,16 @@ def _compared(sent, cosine: float, dtype: str):
     return run
 
 
-def _blocks(rows: DataFrame, sent, width: int, radius: float, id_type: str, dtype: str) -> DataFrame:
+def _blocks(rows: DataFrame, n: int, sent, width: int, radius: float, id_type: str, dtype: str) -> DataFrame:
     """Distinct vectors of each label, encoded, sorted by (label, list) and packed; written to the shared folder."""
     distinct = rows.groupBy("label", "vec").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low_id"))
     distinct = distinct.select("label", "vec", "copies", "low_id", *vector_keys(F.col("label"), F.col("vec")))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema)
     encoded = distinct.mapInArrow(_encoded(sent), f"{fields}, list int, far double, error double, code binary")
     order = ["label", "list", "k1", "k2"]
-    packed = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
     size = max(256, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, width))))
+    # No more partitions than there are full blocks: part of a block costs as many comparisons as a whole one.
+    packed = encoded.repartitionByRange(*order).coalesce(max(1, n // size)).sortWithinPartitions(*order)
     schema = (
         "base bigint, labels array<string>, lists binary, vectors binary, far binary, error binary, codes binary, "
         f"copies array<bigint>, k1 array<bigint>, k2 array<bigint>, low_id array<{id_type}>, "
@@ -311,7 +312,7 @@ def near_vectors(
     sent = spark.sparkContext.broadcast(fit_quantiser(np.random.default_rng(0).permutation(sample), n))
 
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    blocks = _blocks(used, sent, width or 1, radius, id_type, dtype)
+    blocks = _blocks(used, n, sent, width or 1, radius, id_type, dtype)
     single = blocks.select(*Block.FIELDS)
     second = single.select(*[F.col(c).alias(f"other_{c}") for c in single.columns])
     double = _block_pairs(blocks).join(single, "base").join(second, "other_base").select(*single.columns, *second.columns)
