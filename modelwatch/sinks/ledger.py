@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelwatch.operators.checks import CheckFailed
+from modelwatch.sources.files import file_system
 
 #: Columns of a fact that tell when and how it was answered, not what was asked. A repeated request may differ in them.
 ANSWER_COLUMNS = (
@@ -35,11 +36,6 @@ def record_digest(columns: Sequence[str], key: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(""), *parts), 256)
 
 
-def _file_system(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
-
-
 class KeyLedger:
     """Ids stored in the facts at `path`. The ledger lies inside that folder, hidden from its readers."""
 
@@ -86,12 +82,12 @@ class KeyLedger:
         return mark
 
     def close_mark(self, mark: str) -> None:
-        fs, path = _file_system(self.spark, mark)
+        fs, path = file_system(self.spark, mark)
         fs.delete(path, True)
 
     def recover(self, facts_schema) -> None:
         """Add the ids that appends which died have stored without a ledger row."""
-        fs, path = _file_system(self.spark, self.marks)
+        fs, path = file_system(self.spark, self.marks)
         left = [str(s.getPath()) for s in fs.listStatus(path)] if fs.exists(path) else []
         for mark in left:
             days = self.spark.read.schema("event_date date").parquet(mark)
@@ -113,8 +109,8 @@ class KeyLedger:
             "path", fresh
         ).saveAsTable(name)
         n = self.spark.table(name).count()
-        fs, old = _file_system(self.spark, self.folder)
-        _, new = _file_system(self.spark, fresh)
+        fs, old = file_system(self.spark, self.folder)
+        _, new = file_system(self.spark, fresh)
         fs.delete(old, True)
         fs.rename(new, old)
         self.spark.sql(f"DROP TABLE {name}")

@@ -14,6 +14,7 @@ from modelwatch.operators.checks import CheckFailed, outside_domain, require_emp
 from modelwatch.operators.joins import key_match
 from modelwatch.session import materialise
 from modelwatch.sinks.ledger import BUCKETS, KeyLedger, record_digest, unseen
+from modelwatch.sources.files import POINTERS, current_versions, file_system
 
 log = logging.getLogger(__name__)
 
@@ -61,15 +62,22 @@ def append_request_log(rows: DataFrame, path: str) -> bool:
         return False
 
 
-def replace_table(df: DataFrame, path: str, version_column: str = "refresh") -> int:
-    """Write a complete new refresh beside the old ones; readers take the newest.
+def replace_table(df: DataFrame, path: str, version_column: str = "refresh", keep: int = 2) -> int:
+    """Write a complete new refresh in a folder of its own, then its pointer; readers take the newest pointer.
 
-    For small derived tables: one file, so the refresh appears in one step or not at all.
+    A reader sees the old refresh or the new one as a whole, whatever number of files either has, and a
+    refresh that dies halfway is never seen. The newest `keep` refreshes stay for readers that are
+    still at work; older ones and their pointers go.
     """
+    spark = df.sparkSession
     version = time.time_ns()
-    df.withColumn(version_column, F.lit(version)).repartition(1).write.mode("append").partitionBy(
-        version_column
-    ).parquet(path)
+    df.write.parquet(f"{path}/{version_column}={version}")
+    fs, pointers = file_system(spark, f"{path}/{POINTERS}")
+    fs.mkdirs(pointers)
+    fs.create(file_system(spark, f"{path}/{POINTERS}/{version}")[1]).close()
+    for old in sorted(current_versions(spark, path), reverse=True)[keep:]:
+        for gone in (f"{path}/{POINTERS}/{old}", f"{path}/{version_column}={old}"):
+            fs.delete(file_system(spark, gone)[1], True)
     return version
 
 

@@ -17,6 +17,10 @@ from modelwatch.operators.joins import join_one_to_one
 from modelwatch.schemas import RAW_DATASET, SERVICE_LOG, SPLIT_MANIFEST, VERIFICATION_SAMPLE
 
 
+#: Folder of the empty files that name complete refreshes.
+POINTERS = "_pointers"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Header CSV. A missing path fails here, with the path in the message."""
     try:
@@ -107,11 +111,24 @@ def load_champion(spark: SparkSession, path: str) -> tuple[PipelineModel, str, f
     return load_model(spark, record["model_path"])[0], record["version"], record["threshold"]
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def current_versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete refreshes of a table written by `sinks.replace_table`."""
+    fs, pointers = file_system(spark, f"{path}/{POINTERS}")
+    return [int(s.getPath().getName()) for s in fs.listStatus(pointers)] if fs.exists(pointers) else []
+
+
 def read_latest(spark: SparkSession, path: str, version_column: str = "refresh") -> DataFrame:
-    """The newest complete refresh of a table written by `sinks.replace_table`."""
-    table = spark.read.parquet(path)
-    newest = table.agg(F.max(version_column).alias("v")).scalar()
-    return table.filter(F.col(version_column) == newest).drop(version_column)
+    """The newest complete refresh of a table written by `sinks.replace_table`; only its folder is read."""
+    versions = current_versions(spark, path)
+    if not versions:
+        raise RuntimeError(f"no complete refresh at {path}")
+    return spark.read.parquet(f"{path}/{version_column}={max(versions)}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

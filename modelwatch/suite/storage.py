@@ -95,6 +95,21 @@ def _replaced_table(spark, sf_dir):
     return rounded(files.read_latest(spark, path))
 
 
+def _refused_and_reset(spark, sf_dir):
+    """A filled table refuses a second fill and is replaced on request; a refresh without its pointer is not seen."""
+    path = shared_path(spark, "guarded")
+    daily = predictions_daily(predictions(spark, sf_dir), POSITIVE)
+    wrong = daily.withColumn("positive_share", F.lit(-1.0))
+    sinks.write_guarded(wrong, f"{path}/table")
+    try:
+        sinks.write_guarded(daily, f"{path}/table")
+    except CheckFailed:
+        sinks.write_guarded(daily, f"{path}/table", reset=True)
+    sinks.replace_table(spark.read.parquet(f"{path}/table"), f"{path}/refreshes")
+    wrong.write.parquet(f"{path}/refreshes/refresh=9999999999999999999")  # died before its pointer
+    return rounded(files.read_latest(spark, f"{path}/refreshes"))
+
+
 def _stored_labels(spark, sf_dir):
     """Labels appended to an empty table, one per prediction."""
     path = shared_path(spark, "labels")
@@ -162,6 +177,7 @@ QUERIES = {
     "record_identity": _record_identity,
     "stored_request_log": _stored_request_log,
     "replaced_table": _replaced_table,
+    "refused_and_reset": _refused_and_reset,
     "stored_labels": _stored_labels,
     "manifest_csv": _manifest_csv,
     "dataset_csv": _dataset_csv,
@@ -180,6 +196,7 @@ ORACLES = {
     "stored_request_log": f"""WITH {REQUEST_LOG}
         SELECT CAST(created_at AS DATE) AS day, path, count(*) AS n_requests FROM request_log GROUP BY ALL""",
     "replaced_table": SERVICE_ORACLES["predictions_daily"],
+    "refused_and_reset": SERVICE_ORACLES["predictions_daily"],
     "stored_labels": f"""WITH {PREDICTIONS}, {OUTCOME_LABELS}
         SELECT label, count(*) AS n, max(available_at) AS last_available FROM outcome_labels GROUP BY label""",
     "manifest_csv": SPLIT_ORACLES["stratified_split"],
