@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from modelwatch.functions.columns import ratio
 from modelwatch.operators.checks import CheckFailed
-from modelwatch.operators.ordering import order_blocks, running_totals
+from modelwatch.operators.ordering import cut_blocks, running_totals, sketch_cuts
 
 GATE_MIN_PR_AUC = 0.64
 MIN_PRECISION = 0.60
@@ -32,8 +32,14 @@ def tie_groups(scored: DataFrame, score: str = "score", truth: str = "y") -> Dat
 
 
 def rank_scores(scored: DataFrame, score: str = "score", truth: str = "y") -> DataFrame:
-    """Tie groups in score ranges, highest first: computed once, read by every measure below."""
-    return order_blocks(tie_groups(scored, score, truth), [], "score", descending=True)
+    """Tie groups in score ranges, highest first, read by every measure below.
+
+    A sketch of the raw scores gives the cuts, as many ranges as there are shuffle partitions. Nothing is
+    stored: what reads the result scans `scored` again, so `scored` must give the same rows each time.
+    """
+    pieces = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sketch_cuts(scored, score, pieces)
+    return cut_blocks(tie_groups(scored, score, truth), "score", cuts, descending=True)
 
 
 def _running(ranked: DataFrame) -> DataFrame:
@@ -174,6 +180,54 @@ def require_gate(metrics: DataFrame, minimum: float = GATE_MIN_PR_AUC, metric: s
     return row["margin"]
 
 
+def _paths(cells: DataFrame, levels: int) -> DataFrame:
+    """The binary tree over range numbers, dealt to its leaves: `levels` rows for each range.
+
+    Node p of level l covers the ranges r with r >> (l + 1) = p. A row of range r holds the positives and
+    negatives under both children of one of the nodes above it: (RANGE, level, left_pos, left_neg, right_pos, right_neg).
+    """
+    rungs = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    rungs = rungs.withColumns(
+        {
+            "parent": F.expr(f"shiftright({RANGE}, level + 1)"),
+            "on_right": F.expr(f"shiftright({RANGE}, level) & 1 = 1"),
+        }
+    )
+    children = [
+        F.coalesce(F.sum(F.when(F.col("on_right") == right, F.col(outcome))), F.lit(0)).alias(f"{side}_{outcome}")
+        for side, right in (("left", False), ("right", True))
+        for outcome in ("pos", "neg")
+    ]
+    nodes = rungs.groupBy("level", "parent").agg(*children)
+    # A column of its own, since the cells are read again beside this.
+    return rungs.join(nodes, ["level", "parent"]).select(F.col(RANGE).alias(RANGE), "level", *nodes.columns[2:])
+
+
+def _draw_path(at: int, path: pd.DataFrame, n_iterations: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(drawn, above, positives) of range `at` for every iteration, from the splits on its path alone.
+
+    drawn and above are (2, n_iterations): positives and negatives drawn inside the range and in the
+    ranges before it. Each split is binomial and seeded by its node, so all ranges below repeat the same one.
+    """
+    path = path.sort_values("level", ascending=False)
+    sums = {c: path[c].to_numpy(np.int64) for c in path.columns if c != RANGE}
+    whole = [int(sums[f"left_{o}"][0] + sums[f"right_{o}"][0]) for o in ("pos", "neg")]
+    n = sum(whole)
+    hits = np.random.default_rng([seed, 0]).binomial(n, whole[0] / n, n_iterations)
+    drawn, above = np.stack([hits, n - hits]), np.zeros((2, n_iterations), np.int64)
+    for i, level in enumerate(sums["level"].tolist()):
+        for side, outcome in enumerate(("pos", "neg")):
+            left, right = int(sums[f"left_{outcome}"][i]), int(sums[f"right_{outcome}"][i])
+            rng = np.random.default_rng([seed, 1, side, level, at >> (level + 1)])
+            to_left = rng.binomial(drawn[side], left / max(left + right, 1))
+            if at >> level & 1:
+                above[side] += to_left
+                drawn[side] = drawn[side] - to_left
+            else:
+                drawn[side] = to_left
+    return drawn, above, hits
+
+
 def bootstrap_average_precision(
     scored: DataFrame,
     n_iterations: int = 1000,
@@ -183,57 +237,45 @@ def bootstrap_average_precision(
 ) -> DataFrame:
     """(iteration, pr_auc) of resamples of n rows drawn with replacement.
 
-    Drawing n rows is a multinomial draw over the cells (score, outcome), and a multinomial
-    splits exactly into one over score ranges followed by one inside each range. Every task
-    repeats the first draw from the same seed, which tells it how many flagged rows and hits
-    lie above its range, and then draws inside its own range. So no drawn row is ever
-    shuffled or joined: what leaves a task is one partial sum per iteration.
+    Drawing n rows is a multinomial draw over the cells (score, outcome), which splits exactly into
+    binomial draws down a binary tree over score ranges, followed by a multinomial inside each range.
+    A task repeats only the splits on its range's path, from seeds of their own, which tells it how many
+    flagged rows and hits lie above its range. So work is ranges x log(ranges), nothing is collected, no
+    drawn row is ever shuffled or joined, and what leaves a task is one partial sum per iteration.
 
     Ranges follow from the rows above a score, RANGE_ROWS each (a tie group is not split, but is one
     row), so the draws depend on data and seed alone, and a task's frame is bounded.
     """
+    n = scored.count()
+    if not n:
+        raise ValueError("nothing to resample")
+    levels = max(1, ((n - 1) // RANGE_ROWS).bit_length())
     blocks = _running(rank_scores(scored, score, truth)).select(
         "score", "n", "pos", F.expr(f"(cum_n - 1) div {RANGE_ROWS}").alias(RANGE)
     )
-    totals = (
-        blocks.groupBy(RANGE)
-        .agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
-        .orderBy(RANGE)
-        .collect()  # one row per range
-    )
-    if not totals:
-        raise ValueError("nothing to resample")
-    block_ids = [r[RANGE] for r in totals]
-    cells = np.array([[r["pos"], r["neg"]] for r in totals], dtype=np.int64)
-    n = int(cells.sum())
-    shares = (cells / n).ravel()
+    cells = blocks.groupBy(RANGE).agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
 
-    def one_range(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_range(pdf: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("score", ascending=False)
-        at = block_ids.index(int(pdf[RANGE].iloc[0]))
+        drawn, above, positives = _draw_path(int(pdf[RANGE].iloc[0]), path, n_iterations, seed)
         pos = pdf["pos"].to_numpy(dtype=np.int64)
         neg = pdf["n"].to_numpy(dtype=np.int64) - pos
-        p_pos = pos / pos.sum() if pos.sum() else None
-        p_neg = neg / neg.sum() if neg.sum() else None
+        p_pos, p_neg = pos / max(pos.sum(), 1), neg / max(neg.sum(), 1)
+        rng = np.random.default_rng([seed, 2, int(pdf[RANGE].iloc[0])])
         partial = np.zeros(n_iterations)
-        positives = np.zeros(n_iterations, dtype=np.int64)
         for i in range(n_iterations):
-            drawn = np.random.default_rng([seed, i]).multinomial(n, shares).reshape(-1, 2)
-            above_hits, above_all = drawn[:at, 0].sum(), drawn[:at].sum()
-            rng = np.random.default_rng([seed, i, at])
-            hits = rng.multinomial(drawn[at, 0], p_pos) if p_pos is not None else np.zeros_like(pos)
-            misses = rng.multinomial(drawn[at, 1], p_neg) if p_neg is not None else np.zeros_like(neg)
-            tp = above_hits + np.cumsum(hits)
-            flagged = above_all + np.cumsum(hits + misses)
+            # An outcome that the range has not was drawn 0 times.
+            hits = rng.multinomial(drawn[0, i], p_pos) if drawn[0, i] else np.zeros_like(pos)
+            misses = rng.multinomial(drawn[1, i], p_neg) if drawn[1, i] else np.zeros_like(neg)
+            tp = above[0, i] + np.cumsum(hits)
+            flagged = above[:, i].sum() + np.cumsum(hits + misses)
             got = hits > 0
             partial[i] = np.sum(hits[got] * tp[got] / flagged[got])
-            positives[i] = drawn[:, 0].sum()
-        return pd.DataFrame(
-            {"iteration": np.arange(n_iterations), "partial": partial, "positives": positives}
-        )
+        return pd.DataFrame({"iteration": np.arange(n_iterations), "partial": partial, "positives": positives})
 
     return (
         blocks.groupBy(RANGE)
+        .cogroup(_paths(cells, levels).groupBy(RANGE))
         .applyInPandas(one_range, "iteration int, partial double, positives bigint")
         .groupBy("iteration")
         .agg(

@@ -1,7 +1,7 @@
 """Running totals and exact order statistics that never put one group into one task.
 
 A window without a partition (or over one hot group) sorts everything in a single task.
-Here the rows are range-partitioned by the ordering, each range is accumulated on its own,
+Here the rows are cut into ranges of the ordering, each range is accumulated on its own,
 and the per-range totals, one small row each, are turned into offsets.
 """
 
@@ -34,6 +34,40 @@ def order_blocks(df: DataFrame, by: Sequence[str], order: str, descending: bool
     return materialise(ranged.withColumn(BLOCK, F.spark_partition_id()))
 
 
+def sketch_cuts(df: DataFrame, value: str, pieces: int) -> list[float]:
+    """At most pieces - 1 rising values that cut the rows of `df` into nearly equal pieces: one mergeable sketch.
+
+    Nulls and NaN do not count. Rows that share a value make cuts fall together; each is returned once.
+    """
+    steps = [i / pieces for i in range(1, pieces)]
+    if not steps:
+        return []
+    number = F.col(value).cast("double")
+    usable = df.select(F.when(~F.isnan(number), number).alias("_v"))
+    found = usable.agg(F.percentile_approx("_v", steps, max(SKETCH_ACCURACY, 20 * pieces))).first()[0]
+    return sorted(set(found or []))
+
+
+def cut_blocks(df: DataFrame, order: str, cuts: Sequence[float], descending: bool = False) -> DataFrame:
+    """Add `_block`, the number of the piece between `cuts` that holds the row, first in the order first.
+
+    The cuts are literals in the plan, so the number depends on the row alone and nothing has to be
+    written to keep it. Nulls have a block of their own, at the end of a falling order, else at the start.
+    """
+    name = sql_name(order)
+
+    def search(lo: int, hi: int) -> str:
+        # Binary search; piece i holds the values above cut i - 1 up to cut i.
+        if lo == hi:
+            return str(len(cuts) - lo if descending else lo)
+        mid = (lo + hi) // 2
+        above, below = search(mid + 1, hi), search(lo, mid)
+        return f"CASE WHEN {name} > {sql_literal(float(cuts[mid]))} THEN {above} ELSE {below} END"
+
+    missing = len(cuts) + 1 if descending else -1
+    return df.withColumn(BLOCK, F.expr(f"CASE WHEN {name} IS NULL THEN {missing} ELSE {search(0, len(cuts))} END"))
+
+
 def running_totals(
     blocks: DataFrame,
     by: Sequence[str],
@@ -43,7 +77,8 @@ def running_totals(
 ) -> DataFrame:
     """Add `cum_<m>`, the total of `m` up to and including the row, per group.
 
-    `blocks` comes from `order_blocks` with the same arguments.
+    `blocks` comes from `order_blocks` with the same arguments or, without groups, from `cut_blocks`,
+    whose blocks make a single exchange of the rows: one row a block is all that is added up beside it.
     """
     key = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_first()
     inside = Window.partitionBy(*by, BLOCK).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)

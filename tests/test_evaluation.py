@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from modelwatch.operators import evaluation as ev
@@ -117,6 +118,52 @@ def test_bootstrap_has_the_distribution_of_row_resampling(spark, coalesce):
         assert np.percentile(got, q) == pytest.approx(np.percentile(want, q), abs=want.std() * 0.4)
 
 
+def tree_sums(pos, neg, at, levels):
+    rows = []
+    for level in range(levels):
+        first = at >> (level + 1) << (level + 1)
+        left, right = slice(first, first + 2**level), slice(first + 2**level, first + 2 ** (level + 1))
+        rows.append((at, level, pos[left].sum(), neg[left].sum(), pos[right].sum(), neg[right].sum()))
+    return pd.DataFrame(rows, columns=[ev.RANGE, "level", "left_pos", "left_neg", "right_pos", "right_neg"])
+
+
+def test_paths_of_all_ranges_tell_one_draw(spark):
+    rng = np.random.default_rng(3)
+    pos, neg = rng.integers(0, 50, 11), rng.integers(0, 900, 11)
+    pos[4] = neg[4] = pos[7] = 0  # no rows at all, no positives
+    paths = [tree_sums(pos, neg, at, 4) for at in range(11)]
+    cells = spark.createDataFrame([(i, int(pos[i]), int(neg[i])) for i in range(11) if i != 4], f"{ev.RANGE} long, pos long, neg long")
+    got = ev._paths(cells, 4).toPandas().sort_values([ev.RANGE, "level"])[paths[0].columns]
+    want = pd.concat([p for at, p in enumerate(paths) if at != 4])
+    assert (got.to_numpy() == want.to_numpy()).all()
+    n, before = pos.sum() + neg.sum(), np.zeros((2, 4000), np.int64)
+    for at in range(11):
+        drawn, above, hits = ev._draw_path(at, paths[at], 4000, 5)
+        assert (above == before).all() and (drawn[:, 0] >= 0).all()
+        before = before + drawn
+        for side, have in enumerate((pos[at], neg[at])):
+            share = have / n
+            assert drawn[side].mean() == pytest.approx(n * share, abs=4 * np.sqrt(n * share * (1 - share) / 4000))
+            assert drawn[side].var() == pytest.approx(n * share * (1 - share), rel=0.15)
+    assert (before.sum(axis=0) == n).all() and (before[0] == hits).all()
+
+
+def test_bootstrap_over_many_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    y = (rng.random(300) < 0.3).astype(int)
+    score = np.round(np.clip(rng.normal(0.4 + 0.2 * y, 0.2), 0, 1), 2)
+    df = frame(spark, (score, y))
+    monkeypatch.setattr(ev, "RANGE_ROWS", 16)
+    got = ev.bootstrap_average_precision(df, 600, 42).toPandas().sort_values("iteration").pr_auc.to_numpy()
+    other = ev.bootstrap_average_precision(df.repartition(5), 600, 42).toPandas().sort_values("iteration")
+    assert len(got) == 600 and np.allclose(got, other.pr_auc.to_numpy(), atol=1e-12)
+    want = direct_bootstrap(score, y, 600, 1)
+    assert abs(got.mean() - want.mean()) < 4 * want.std() / np.sqrt(600) * 1.5
+    assert got.std() == pytest.approx(want.std(), rel=0.15)
+    with pytest.raises(ValueError, match="nothing to resample"):
+        ev.bootstrap_average_precision(df.limit(0), 10, 42)
+
+
 def test_bootstrap_band(spark, sample):
     row = ev.bootstrap_band(frame(spark, sample), 100, 42).first()
     assert row.p2_5 < row.p50 < row.p97_5

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from modelwatch.operators.ordering import exact_percentiles, order_blocks, running_totals
+from modelwatch.operators.ordering import cut_blocks, exact_percentiles, order_blocks, running_totals, sketch_cuts
 
 FRACTIONS = {"p0": 0.0, "p5": 0.05, "p45": 0.45, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
 
@@ -79,3 +79,31 @@ def test_running_totals_over_blocks(spark, descending):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert exact_percentiles(df, "v", {"p": 0.5}, ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_over_literal_cuts(spark, descending, capsys):
+    values = [None, float("nan"), float("inf"), -float("inf"), *[i / 7 for i in range(500)]]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "o double, m int").repartition(5)
+    cuts = sketch_cuts(df, "o", 8)
+    assert cuts == sorted(set(cuts)) and len(cuts) == 7
+    blocks = cut_blocks(df, "o", cuts, descending)
+    sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 80
+    totals = running_totals(blocks, [], "o", ["m"], descending)
+    totals.explain()
+    assert "checkpoint" not in capsys.readouterr().out.lower()
+    order = F.col("o").desc_nulls_last() if descending else F.col("o").asc_nulls_first()
+    want, total = [], 0
+    for r in df.orderBy(order).collect():
+        total += r.m
+        want.append((r.m, total))
+    assert [(r.m, r.cum_m) for r in totals.orderBy(order).collect()] == want
+
+
+def test_cuts_of_one_value_and_of_nothing(spark):
+    same = spark.range(100).select(F.lit(2.0).alias("o"), F.lit(1).alias("m"))
+    assert sketch_cuts(same, "o", 8) == [2.0]
+    assert {r["_block"] for r in cut_blocks(same, "o", [2.0]).collect()} == {0}
+    assert sketch_cuts(same.limit(0), "o", 8) == [] == sketch_cuts(same, "o", 1)
+    assert running_totals(cut_blocks(same.limit(0), "o", []), [], "o", ["m"]).count() == 0
