@@ -2,8 +2,12 @@
 
 A conversation is rendered once as a stream of turns, stored in chunks of bounded length. Every
 assistant turn is an example of its own: its context is the stream up to that turn, its target the
-reply, and only the reply is trainable. Examples are spans of the stream, so a conversation of n
-turns takes space in proportion to n, not to n^2; `example_texts` writes them out.
+reply, and only the reply is trainable. `examples` keeps them as spans of the stream, in space in
+proportion to the turns; `example_texts` writes each one out, context and all.
+
+Turns are shuffled once, by conversation: placing, chunks, whole streams and examples keep that
+partitioning. A conversation's turns are sorted by one task, which spills; no chunk is larger than
+CHUNK_CHARS and a turn.
 
 Template: <s>[INST] role [/INST] text</s>. The four control strings get a backslash after their
 first character inside roles and texts, after existing backslashes were doubled.
@@ -16,8 +20,8 @@ from pyspark.sql import functions as F
 
 OPEN, HEADER_END, CLOSE = "<s>[INST] ", " [/INST] ", "</s>"
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
-#: Turn numbers that share a chunk.
-CHUNK_TURNS = 64
+#: Turns that start within the same CHUNK_CHARS characters of a stream share a chunk.
+CHUNK_CHARS = 65_536
 
 
 def escape(text: Column) -> Column:
@@ -51,47 +55,56 @@ def format_conversations(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(HEADER_END))
-    turns = turns.select(
+    body = escape(F.col("text"))
+    turns = turns.withColumns({"piece": F.concat(head, body, F.lit(CLOSE)), "head": F.length(head), "body": F.length(body)})
+    so_far = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.withColumn("place", F.coalesce(F.sum(F.length("piece")).over(so_far), F.lit(0).cast("long")))
+    chunks = placed.groupBy("conv_id", F.floor(F.col("place") / CHUNK_CHARS).alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "piece", "head", "body", (F.col("role") == reply).alias("reply")))).alias("t")
+    )
+    first = F.col("t")[0]["place"]
+    span = F.transform(
+        F.filter("t", lambda t: t["reply"]),
+        lambda t: F.struct((t["place"] - first + t["head"]).cast("int").alias("start"), t["body"].alias("length")),
+    )
+    return chunks.select(
         "conv_id",
-        F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk"),
-        F.struct(
-            "turn",
-            "role",
-            "text",
-            head.alias("head"),
-            escape(F.col("text")).alias("body"),
-        ).alias("t"),
+        "chunk",
+        first.alias("first_char"),
+        F.array_join(F.transform("t", lambda t: t["piece"]), "").alias("stream"),
+        F.size("t").alias("turns"),
+        span.alias("spans"),
     )
-    chunks = turns.groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    piece = F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE)))
-    chunks = chunks.withColumn("pieces", piece).withColumn("lengths", F.transform("pieces", F.length))
-    starts = F.transform(
-        F.sequence(F.lit(1), F.size("t")),
-        lambda i: F.aggregate(F.slice("lengths", F.lit(1), i - 1), F.lit(0), lambda a, x: a + x),
+
+
+def whole_streams(formatted: DataFrame) -> DataFrame:
+    """The same columns with one chunk for each conversation, which starts at 0."""
+    parts = formatted.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("first_char", "stream", "turns", "spans"))).alias("c")
     )
-    span = F.transform(
-        F.filter(F.arrays_zip("t", starts.alias("start")), lambda z: z["t"]["role"] == reply),
-        lambda z: F.struct(
-            (z["start"] + F.length(z["t"]["head"])).alias("start"), F.length(z["t"]["body"]).alias("length")
+    shifted = F.transform(
+        "c",
+        lambda c: F.transform(
+            c["spans"], lambda s: F.struct((c["first_char"] + s["start"]).cast("int").alias("start"), s["length"].alias("length"))
         ),
     )
-    chunks = chunks.select(
-        "conv_id", "chunk", F.array_join("pieces", "").alias("stream"), F.size("t").alias("turns"), span.alias("spans")
+    return parts.select(
+        "conv_id",
+        F.lit(0).cast("long").alias("chunk"),
+        F.lit(0).cast("long").alias("first_char"),
+        F.array_join(F.transform("c", lambda c: c["stream"]), "").alias("stream"),
+        F.aggregate("c", F.lit(0), lambda a, c: a + c["turns"]).alias("turns"),
+        F.flatten(shifted).alias("spans"),
     )
-    so_far = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.coalesce(F.sum(F.length("stream")).over(so_far), F.lit(0))
-    return chunks.select("conv_id", "chunk", first.alias("first_char"), "stream", "turns", "spans")
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """(conv_id, chunk, target_start, target_chars, context_chars, loss_chars), one row for each reply.
+    """(conv_id, chunk, target_start, target_chars, context_chars, loss_chars, stream, last), one row for each reply.
 
     The context is the conversation's stream up to target_start, header included. loss_chars is the
-    reply's length as read back, without escapes.
+    reply's length as read back, without escapes. stream is the chunk's, last tells its last reply.
     """
-    loss = F.transform(read_replies(F.col("stream"), F.col("spans")), F.length)
-    rows = formatted.select("conv_id", "chunk", "first_char", F.explode(F.arrays_zip("spans", loss.alias("loss"))).alias("e"))
-    rows = rows.select("conv_id", "chunk", "first_char", F.col("e.spans").alias("s"), F.col("e.loss").alias("loss"))
+    rows = formatted.select("conv_id", "chunk", "first_char", "stream", F.size("spans").alias("n"), F.posexplode("spans").alias("at", "s"))
     start = F.col("first_char") + F.col("s.start")
     return rows.select(
         "conv_id",
@@ -99,27 +112,64 @@ def examples(formatted: DataFrame) -> DataFrame:
         start.alias("target_start"),
         F.col("s.length").alias("target_chars"),
         start.alias("context_chars"),
-        F.col("loss").alias("loss_chars"),
+        F.length(unescape(F.substr("stream", F.col("s.start") + 1, F.col("s.length")))).alias("loss_chars"),
+        "stream",
+        (F.col("at") + 1 == F.col("n")).alias("last"),
     )
 
 
 def example_texts(formatted: DataFrame) -> DataFrame:
-    """(conv_id, target_start, context, target): examples written out, for conversations of usual length.
+    """(conv_id, target_start, context, target, rest): examples written out, for conversations of usual length.
 
-    Takes space in proportion to the square of a conversation's turns.
+    rest: the turns after a conversation's last reply, on that reply's row (else null); they are in no
+    example. Takes space in proportion to the square of a conversation's turns.
     """
-    stream = formatted.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("chunk", "first_char", "stream", "spans"))).alias("c")
-    )
-    whole = F.array_join(F.transform("c", lambda c: c["stream"]), "")
-    rows = stream.select("conv_id", whole.alias("whole"), F.explode("c").alias("c"))
-    rows = rows.select("conv_id", "whole", F.col("c.first_char").alias("first_char"), F.explode("c.spans").alias("s"))
-    start = (F.col("first_char") + F.col("s.start")).cast("int")
+    rows = examples(whole_streams(formatted))
+    start, length = F.col("target_start").cast("int"), F.col("target_chars")
     return rows.select(
         "conv_id",
-        start.alias("target_start"),
-        F.substr("whole", F.lit(1), start).alias("context"),
-        F.substr("whole", start + 1, F.col("s.length")).alias("target"),
+        "target_start",
+        F.substr("stream", F.lit(1), start).alias("context"),
+        F.substr("stream", start + 1, length).alias("target"),
+        F.when(F.col("last"), F.substr("stream", start + length + len(CLOSE) + 1)).alias("rest"),
+    )
+
+
+def read_lines(turns: Column) -> Column:
+    """Role and text of each turn of `read_turns`, each followed by a line end."""
+    return F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+
+
+def read_examples(formatted: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, lines, loss, formatted_chars) of each conversation, read back from its written examples.
+
+    loss: all text under the loss mask, unescaped; lines: see `read_lines`, parsed from the last example,
+    whose context holds all turns before, and its rest; formatted_chars: of all examples. Without a
+    reply there is no example: lines come from the stream, the others are empty and 0.
+    """
+    written = example_texts(formatted)
+    turns = F.when(F.col("rest").isNotNull(), read_turns(F.concat("context", "target", F.lit(CLOSE), "rest")))
+    read = written.select(
+        "conv_id",
+        F.struct("target_start", unescape(F.col("target")).alias("loss")).alias("reply"),
+        (F.length("context") + F.length("target") + len(CLOSE)).cast("long").alias("chars"),
+        turns.alias("turns"),
+    )
+    answered = read.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turns").isNotNull(), F.size("turns"))).cast("long").alias("n_turns"),
+        F.max(read_lines(F.col("turns"))).alias("lines"),
+        F.array_join(F.transform(F.sort_array(F.collect_list("reply")), lambda r: r["loss"]), "").alias("loss"),
+        F.sum("chars").alias("formatted_chars"),
+    )
+    silent = whole_streams(formatted).filter(F.size("spans") == 0).select("conv_id", read_turns(F.col("stream")).alias("turns"))
+    return answered.unionByName(
+        silent.select(
+            "conv_id",
+            F.size("turns").cast("long").alias("n_turns"),
+            read_lines(F.col("turns")).alias("lines"),
+            F.lit("").alias("loss"),
+            F.lit(0).cast("long").alias("formatted_chars"),
+        )
     )
 
 

@@ -84,37 +84,19 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every conversation, read back from the formatted stream and its loss mask."""
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)],
-        "conv_id bigint, turn bigint, role string, text string",
-    )
+    """Digests of every conversation, read back from its written examples and their targets."""
+    extra = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user'), (-1L, 1L, 'assistant') AS t (conv_id, turn, role)"
+    ).withColumn("text", F.lit(CONTROL_TEXT))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    formatted = chat.format_conversations(turns)
-    read = formatted.select(
-        "conv_id",
-        "chunk",
-        chat.read_turns(F.col("stream")).alias("turns"),
-        F.array_join(chat.read_replies(F.col("stream"), F.col("spans")), "").alias("loss"),
-    )
-    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    whole = read.groupBy("conv_id").agg(
-        F.sum(F.size("turns")).alias("n_turns"),
-        F.sort_array(F.collect_list(F.struct("chunk", lines.alias("lines"), "loss"))).alias("c"),
-    )
-    dealt = chat.examples(formatted).groupBy(F.col("conv_id").alias("dealt_id")).agg(
-        F.sum("loss_chars").alias("loss_chars"),
-        F.sum(F.col("context_chars") + F.col("target_chars") + len(chat.CLOSE)).alias("formatted_chars"),
-    )
-    whole = whole.join(dealt, F.col("conv_id").eqNullSafe(F.col("dealt_id")), "left")
-    loss = F.array_join(F.transform("c", lambda c: c["loss"]), "")
-    return whole.select(
+    read = chat.read_examples(chat.format_conversations(turns))
+    return read.select(
         "conv_id",
         "n_turns",
-        sha256(F.array_join(F.transform("c", lambda c: c["lines"]), "")).alias("turns_sha256"),
-        F.coalesce("loss_chars", F.lit(0).cast("long")).alias("loss_chars"),
-        sha256(loss).alias("loss_sha256"),
-        F.coalesce("formatted_chars", F.lit(0).cast("long")).alias("formatted_chars"),
+        sha256(F.col("lines")).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        sha256(F.col("loss")).alias("loss_sha256"),
+        "formatted_chars",
     )
 
 
