@@ -7,8 +7,10 @@ so that the words taken stay at the target and each document keeps its own proba
 
 Documents of a source are dealt into chunks of bounded size. A chunk is rounded from its longest
 document to its shortest and leaves at most one fractional document; these residuals are the
-documents of the next level, until each source has one left, which goes to the nearer side. Draws
-are hashes of document and level, so reruns agree.
+documents of the next level, until each source has one left. What rounding that one leaves over or short
+is made up by other documents of the source's first chunk, the longest that fit first; of its two
+sides it goes to the one that ends nearer to the target. Draws are hashes of document and level, so
+reruns agree.
 """
 
 from __future__ import annotations
@@ -114,6 +116,35 @@ def _rounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from chunks(kept)
 
 
+def settle_miss(sizes: list[int], parts: list[float], miss: float) -> tuple[list[float], float]:
+    """(parts, words still missed): rounded parts after documents changed sides to take `miss` words more.
+
+    The longest that fits goes first; in the end one more may, which takes a little too much. Equal
+    documents change in the given order.
+    """
+    parts, side, left = list(parts), 0.0 if miss > 0 else 1.0, abs(miss)
+    for i, size in sorted(enumerate(sizes), key=lambda x: -x[1]):
+        if parts[i] == side and size <= left:
+            parts[i], left = 1.0 - side, left - size
+    last = min((abs(left - s) for s, p in zip(sizes, parts, strict=True) if p == side), default=left)
+    if last < left:
+        i = next(i for i, s in enumerate(sizes) if parts[i] == side and abs(left - s) == last)
+        parts[i], left = 1.0 - side, left - sizes[i]
+    return parts, left if miss > 0 else -left
+
+
+def _settled(frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one source's first chunk and its last open document, if there is one."""
+    frame = frame.sort_values(["is_open", "size", "doc_id"], ascending=[True, False, True], kind="stable")
+    sizes, parts = frame["size"].tolist(), frame["part"].tolist()
+    if not frame["is_open"].iloc[-1]:
+        return frame
+    open_size, part = sizes.pop(), parts.pop()
+    sides = [(*settle_miss(sizes, parts, (part - side) * open_size), side) for side in sorted((0.0, 1.0), key=lambda x: abs(x - part))]
+    parts, _, side = min(sides, key=lambda x: abs(x[1]))
+    return frame.assign(part=[*parts, side])
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -181,7 +212,9 @@ def mix(
             break
         depth, chunks = depth + 1, -(-chunks // FAN_IN)
         level = rest.select("doc_id", "source", "own", "size", "part", F.expr(f"chunk div {FAN_IN}").alias("chunk"))
-    settled.append(rest.withColumn("part", (F.col("part") >= 0.5).cast("double")))
+    # One chunk of bounded size and one open document of each source.
+    near = settled[0].filter("chunk = 0").unionByName(rest).groupBy("source").applyInPandas(_settled, schema)
+    settled = [settled[0].filter("chunk <> 0"), *settled[1:], near]
     added = settled[0]
     for more in settled[1:]:
         added = added.unionByName(more)
