@@ -8,12 +8,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from modelwatch.operators.contract import Contract
 from modelwatch.operators.drift import DriftReference, bin_generator
 from modelwatch.operators.scoring import score_requests
 from modelwatch.sinks.tables import append_predictions
+from modelwatch.streaming.segments import read_segments, store_segment
 from modelwatch.streaming.telemetry import with_event_time
 
 PARTITIONS = "spark.sql.shuffle.partitions"
@@ -115,26 +116,23 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, partition_by: str |
     return writer.partitionBy(partition_by) if partition_by else writer
 
 
-def upsert_to(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+def upsert_to(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ()) -> DataStreamWriter:
     """Running results of a windowed aggregation: each micro-batch stores the rows that it changed.
 
-    A window is there from its first row on, not only once the watermark has passed it. Every
-    micro-batch has a folder of its own, so one that is repeated after a failure replaces what it
-    wrote before. `read_upserts` gives the newest state.
+    A window is there from its first row on, not only once the watermark has passed it. Micro-batches
+    are kept as segments that are merged as they grow in number (see `segments`), by `keys` where given.
+    `read_upserts` gives the newest state.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+        store_segment(batch, batch_id, path, keys)
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store)
 
 
 def read_upserts(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
     """The newest row of each key of a table written by `upsert_to`."""
-    values = [c for c in schema.names if c not in keys]
-    rows = spark.read.schema(StructType([*schema.fields, StructField(BATCH, LongType())])).parquet(path)
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), BATCH).alias("_newest"))
-    return newest.select(*keys, "_newest.*").select(*schema.names)
+    return read_segments(spark, path, schema, keys)
 
 
 def append_unseen(

@@ -52,7 +52,7 @@ def _written(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 def _current(spark: SparkSession, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     out = shared_path(spark, name)
-    writer = upsert_to(stream, f"{out}/data", f"{out}/checkpoint")
+    writer = upsert_to(stream, f"{out}/data", f"{out}/checkpoint", keys)
     run_available(writer, state_partitions=spark.sparkContext.defaultParallelism)
     return read_upserts(spark, f"{out}/data", stream.schema, keys)
 
