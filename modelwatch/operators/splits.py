@@ -3,17 +3,20 @@
 Rows are ordered by a digest of (id, seed). A digest spreads evenly, so its first four
 hex digits cut each class into 65,536 equal slices; the slice counts say in which slice
 each quota ends, and only those few slices are sorted. The rest of the data is compared
-with the resulting cut points in a narrow pass: nothing but counts is shuffled.
+with the resulting cut points in a narrow pass: nothing but counts is shuffled. Quotas of
+few classes are shared out on the driver, of more than `driver_classes` in a table.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modelwatch.operators.ordering import order_blocks, running_totals
 from modelwatch.session import materialise
 
 SLICE_DIGITS = 4
@@ -55,6 +58,49 @@ def quotas(
     return result
 
 
+def end_ranks(sizes: Mapping[str, int], steps: Sequence[tuple[str, float]]) -> list[tuple[str, int, int]]:
+    """(class, step, running end rank of that split in the class); the remainder has no end."""
+    plan = quotas(sizes, steps, "")
+    ends = []
+    for k in sizes:
+        end = 0
+        for i, (name, _) in enumerate(steps):
+            end += plan[name][k]
+            ends.append((k, i, end))
+    return ends
+
+
+def end_rank_table(sizes: DataFrame, steps: Sequence[tuple[str, float]]) -> DataFrame:
+    """`end_ranks` as a table (_class, step, end_rank), for any number of rows (_class, n).
+
+    The classes are ranked by remainder in ranges, so no task sees them all; the driver gets two
+    sums a step.
+    """
+    rows = sizes.agg(F.sum("n")).first()[0] or 0
+    left = sizes.select("_class", F.col("n").alias("_left"), F.lit(0).cast("bigint").alias("_end"))
+    ends = []
+    for i, (_, fraction) in enumerate(steps):
+        total = math.ceil(fraction * rows)
+        exact = F.lit(float(total)) * F.col("_left").cast("double") / F.lit(float(rows or 1))
+        parts = left.withColumn("_exact", exact).withColumn("_whole", F.floor("_exact"))
+        keyed = parts.select(
+            "_class", "_left", "_end", "_whole", F.lit(1).alias("_one"),
+            F.struct((F.col("_whole") - F.col("_exact")).alias("rest"), "_class").alias("_key"),
+        )
+        blocks = order_blocks(keyed, [], "_key")
+        spare = total - (blocks.agg(F.sum("_whole")).first()[0] or 0)
+        ranked = running_totals(blocks, [], "_key", ["_one"])
+        take = F.col("_whole") + (F.col("cum__one") <= spare).cast("bigint")
+        left = ranked.select("_class", (F.col("_left") - take).alias("_left"), (F.col("_end") + take).alias("_end"))
+        ends.append(left.select("_class", F.lit(i).alias("step"), F.col("_end").alias("end_rank")))
+        rows -= total
+    return reduce(DataFrame.unionAll, ends)
+
+
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
 def stratified_split(
     df: DataFrame,
     id_column: str,
@@ -63,9 +109,13 @@ def stratified_split(
     steps: Sequence[tuple[str, float]] = DEFAULT_STEPS,
     remainder: str = "train",
     seed: int = 42,
-    max_classes: int = 10_000,
+    driver_classes: int = 10_000,
 ) -> DataFrame:
-    """Manifest (id, split); rows meeting `excluded` get the split 'excluded'."""
+    """Manifest (id, split); rows meeting `excluded` get the split 'excluded'.
+
+    Up to `driver_classes` classes are shared out on the driver and broadcast; more stay in tables, with
+    the same result, and are joined as adaptive execution sees fit.
+    """
     digest = order_digest(id_column, seed)
     is_out = F.coalesce(excluded, F.lit(False)) if excluded is not None else F.lit(False)
     keyed = df.select(
@@ -77,38 +127,32 @@ def stratified_split(
     )
     population = keyed.filter(~F.col("_out"))
 
-    # classes x 65,536 rows at most; the classes are counted before anything is fetched.
+    # A class has 65,536 slices at most.
     slices = materialise(population.groupBy("_class", "_slice").agg(F.count("*").alias("cnt")))
     per_class = slices.groupBy("_class").agg(F.sum("cnt").alias("n"))
-    sizes = {r["_class"]: r["n"] for r in per_class.limit(max_classes + 1).collect()}
-    if len(sizes) > max_classes:
-        raise ValueError(f"{target} has more than {max_classes} classes; it is not a class column")
-    if any(k is None for k in sizes):
+    first = {r["_class"]: r["n"] for r in per_class.limit(driver_classes + 1).collect()}
+    few = len(first) <= driver_classes
+    if None in first or (not few and not slices.filter("_class IS NULL").isEmpty()):
         raise ValueError(f"{target} must not be null")
-    plan = quotas(sizes, steps, remainder)
-
-    # Running end rank of every split in a class, in step order; the remainder has no end.
-    ends = []
-    for k in sizes:
-        end = 0
-        for i, (name, _) in enumerate(steps):
-            end += plan[name][k]
-            ends.append((k, i, end))
-    spark = df.sparkSession
-    cuts = spark.createDataFrame(ends, "_class string, step int, end_rank bigint")
+    if few:
+        small = F.broadcast
+        cuts = df.sparkSession.createDataFrame(end_ranks(first, steps), "_class string, step int, end_rank bigint")
+    else:
+        small = _as_is
+        cuts = end_rank_table(materialise(per_class), steps)
     before = Window.partitionBy("_class").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
     located = (
         slices.withColumn("_upto", F.sum("cnt").over(before))
-        .join(F.broadcast(cuts), "_class")
+        .join(small(cuts), "_class")
         .filter((F.col("_upto") >= F.col("end_rank")) & (F.col("_upto") - F.col("cnt") < F.col("end_rank")))
         .select("_class", "_slice", "step", (F.col("end_rank") - F.col("_upto") + F.col("cnt")).alias("_rank"))
     )
     # Sort only the slices that hold a cut.
     in_slice = Window.partitionBy("_class", "_slice").orderBy("_h", id_column)
     edge = (
-        population.join(F.broadcast(located.select("_class", "_slice").distinct()), ["_class", "_slice"])
+        population.join(small(located.select("_class", "_slice").distinct()), ["_class", "_slice"])
         .withColumn("_rn", F.row_number().over(in_slice))
-        .join(F.broadcast(located), ["_class", "_slice"])
+        .join(small(located), ["_class", "_slice"])
         .filter(F.col("_rn") == F.col("_rank"))
         .select("_class", "step", F.struct("_h", id_column).alias("cut"))
     )
@@ -120,8 +164,7 @@ def stratified_split(
     for i, (name, _) in enumerate(steps):
         # A split without rows in a class has no cut row; nothing is at or below it.
         split = split.when(here <= F.col(f"_cut{i}"), F.lit(name))
-    # One row per class, counted above.
-    return keyed.join(F.broadcast(per_class_cuts), "_class", "left").select(
+    return keyed.join(small(per_class_cuts), "_class", "left").select(
         id_column, split.otherwise(F.lit(remainder)).alias("split")
     )
 

@@ -86,3 +86,25 @@ def test_non_null_counts(spark):
     got = {r.g: (r.v, r.w) for r in profile.grouped_non_null_counts(df, "g").collect()}
     assert got == {"a": (1, 0), "b": (1, 1)}
     assert profile.rate_of(df, F.col("g") == "a").first().rate_pct == pytest.approx(200 / 3)
+
+
+def test_many_classes_are_shared_out_in_a_table(spark, people):
+    """50,000 classes and a hot one: quotas exact, and the table gives what the driver's way gives."""
+    many = spark.range(150_000).selectExpr(
+        "CAST(id AS STRING) AS id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 49999 AS STRING) END AS y"
+    )
+    table = stratified_split(many, "id", "y", driver_classes=100)
+    assert table.exceptAll(stratified_split(many, "id", "y", driver_classes=100_000)).isEmpty()
+    sizes = {r.y: r.n for r in many.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert len(sizes) == 50_000
+    got = {(r.split, r.y): r.n for r in table.join(many, "id").groupBy("split", "y").agg(F.count("*").alias("n")).collect()}
+    want = {(s, y): n for s, part in quotas(sizes, DEFAULT_STEPS, "train").items() for y, n in part.items() if n}
+    assert got == want
+    few = stratified_split(people, "id", "y", F.col("tenure") >= 60)
+    assert stratified_split(people, "id", "y", F.col("tenure") >= 60, driver_classes=1).exceptAll(few).isEmpty()
+
+
+def test_null_among_many_classes_is_an_error(spark):
+    df = spark.range(50).selectExpr("id", "CASE WHEN id > 0 THEN CAST(id AS STRING) END AS y")
+    with pytest.raises(ValueError):
+        stratified_split(df, "id", "y", driver_classes=3)
