@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modelwatch.operators.checks import CheckFailed, require_no_nulls
+from modelwatch.operators.parity import parity_offenders
 
 
 def key_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -93,16 +94,9 @@ def row_parity(
 ) -> DataFrame:
     """Rows whose values differ by more than the absolute tolerance, or lack a partner.
 
-    `columns` maps actual to expected column names.
+    `columns` maps actual to expected column names. Digests are compared first, see `operators.parity`.
     """
-    a = actual.select(key, *[F.col(c).alias(f"actual_{c}") for c in columns])
-    e = expected.select(key, *[F.col(x).alias(f"expected_{c}") for c, x in columns.items()])
-    joined = a.withColumn("_a", F.lit(1)).join(e.withColumn("_e", F.lit(1)), key, "full")
-    off = F.col("_a").isNull() | F.col("_e").isNull()
-    for c in columns:
-        x, y = F.col(f"actual_{c}"), F.col(f"expected_{c}")
-        off = off | F.coalesce(F.abs(x - y) > tolerance, x.isNull() != y.isNull())
-    return joined.filter(off).drop("_a", "_e")
+    return parity_offenders(actual, expected, key, columns, tolerance)
 
 
 def require_parity(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelwatch.operators.checks import CheckFailed
+from modelwatch.operators.parity import require_same_rows
 from modelwatch.operators.profile import sample_first
 from modelwatch.operators.scoring import identify
 from modelwatch.operators.service import predictions_daily
@@ -29,21 +30,13 @@ CUSTOMER_CSV = T.StructType(
 )
 
 
-def _require_same_rows(stored, written, what):
-    """Raise if any row was lost, doubled or changed."""
-    written = written.select(*stored.columns)
-    lost, odd = written.exceptAll(stored), stored.exceptAll(written)
-    if not lost.isEmpty() or not odd.isEmpty():
-        raise CheckFailed(f"{what}: {lost.count()} rows are not stored, {odd.count()} are not as written")
-
-
 def _stored_predictions(spark, sf_dir):
     """Appended facts, all read back from their date folders and compared; the SQL twin's week is returned."""
     path = shared_path(spark, "facts")
     facts = predictions(spark, sf_dir)
     sinks.append_predictions(facts, path)
     stored = spark.read.parquet(path)
-    _require_same_rows(stored.drop("event_date"), facts, "facts")
+    require_same_rows(stored.drop("event_date"), facts, "facts")
     week = stored.filter(
         (F.col("event_date") >= F.lit("2024-01-08").cast("date"))
         & (F.col("event_date") < F.lit("2024-01-15").cast("date"))
@@ -132,7 +125,7 @@ def _dataset_csv(spark, sf_dir):
     customers = files.table(spark, sf_dir, "customer").select(*CUSTOMER_CSV.names)
     customers.write.option("header", True).csv(path)
     stored = files.read_csv(spark, path, CUSTOMER_CSV)
-    _require_same_rows(stored, customers, "customers")
+    require_same_rows(stored, customers, "customers")
     return rounded(stored.drop("c_nationkey"))  # the SQL twin has the other columns
 
 
