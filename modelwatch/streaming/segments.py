@@ -86,10 +86,13 @@ def store_segment(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str
         size *= fan_in
 
 
+def read_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of all segments, with the micro-batch that wrote them; an empty table before the first one."""
+    written = StructType([*schema.fields, StructField(WRITTEN, LongType())])
+    paths = [f"{path}/{first}-{last}" for first, last in current_segments(spark, path)]
+    return spark.read.schema(written).parquet(*paths) if paths else spark.createDataFrame([], written)
+
+
 def read_segments(spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
     """The newest row of each key; an empty table before the first micro-batch."""
-    paths = [f"{path}/{first}-{last}" for first, last in current_segments(spark, path)]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(StructType([*schema.fields, StructField(WRITTEN, LongType())])).parquet(*paths)
-    return newest(rows, keys).select(*schema.names)
+    return newest(read_rows(spark, path, schema), keys).select(*schema.names)
