@@ -1,4 +1,4 @@
-"""The storage queries compare all days and columns, also those that their SQL twins leave out."""
+"""The storage queries compare and return all days and columns."""
 
 import pytest
 from pyspark.sql import functions as F
