@@ -3,7 +3,8 @@
 Facts lie in one folder per event date, which says nothing about where an id was stored before: a
 request without an event time that is sent again after midnight has another date. The ledger has one
 row per stored id with a digest of its record, in buckets by id, sorted inside each file. A batch is
-matched against it by a merge join in which the ledger is not shuffled.
+staged in the same buckets, which is its only shuffle by id; it is checked, matched against the ledger by
+merge joins and added to it bucket by bucket.
 
 Order of an append: a pending mark with the batch's days, the facts, their ledger rows, removal of the
 mark. A mark that is still there was left by an append that died; the next one first adds the ids of
@@ -27,6 +28,8 @@ ANSWER_COLUMNS = (
     "event_time", "event_date", "created_at", "prediction", "probability", "threshold", "model_version",
 )
 BUCKETS = 16
+#: Ids and digests are mostly hexadecimal text, which this codec stores in half its length.
+CODEC = "zstd"
 
 
 def record_digest(columns: Sequence[str], key: str) -> Column:
@@ -44,8 +47,10 @@ class KeyLedger:
         self.buckets, self.folder = buckets, f"{self.path}/_ledger/keys"
         self.marks = f"{self.path}/_ledger/pending"
         self.name = "ledger_" + hashlib.sha256(self.path.encode()).hexdigest()[:32]
+        self.batch, self.batch_folder = f"{self.name}_batch", f"{self.path}/_ledger/batch"
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (`{key}` {key_type}, record STRING) USING parquet "
+            f"OPTIONS (compression '{CODEC}') "
             f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{self.folder}'"
         )
         spark.catalog.refreshTable(self.name)
@@ -53,6 +58,25 @@ class KeyLedger:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def stage(self, batch: DataFrame) -> DataFrame:
+        """Write a batch once, in the ledger's buckets; what is read from there is not shuffled by id again."""
+        self.unstage()
+        (
+            batch.repartition(self.buckets, self.key)
+            .write.format("parquet")
+            .bucketBy(self.buckets, self.key)
+            .option("path", self.batch_folder)
+            .option("compression", CODEC)
+            .saveAsTable(self.batch)
+        )
+        return self.spark.table(self.batch)
+
+    def unstage(self) -> None:
+        """Drop the staged batch, also one that an append which died has left."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.batch}")
+        fs, path = file_system(self.spark, self.batch_folder)
+        fs.delete(path, True)
+
     def split(self, batch: DataFrame) -> DataFrame:
         """The rows of (key, record, ...) that are not stored; raises where an id has two records."""
         known = self.rows().withColumnsRenamed({self.key: "_key", "record": "_record"}).hint("merge")
@@ -63,10 +87,9 @@ class KeyLedger:
         return batch.join(known, F.col(self.key) == F.col("_key"), "left_anti")
 
     def add(self, keys: DataFrame) -> None:
-        """Append (key, record); each writing task holds whole buckets."""
+        """Append (key, record). Rows matched against the ledger are in its buckets, so a bucket gets one file."""
         (
             keys.select(self.key, "record")
-            .repartition(self.buckets, self.key)
             .write.bucketBy(self.buckets, self.key)
             .sortBy(self.key)
             .option("path", self.folder)
@@ -107,7 +130,7 @@ class KeyLedger:
         name = f"{self.name}_{uuid.uuid4().hex[:8]}"
         rows.repartition(self.buckets, self.key).write.bucketBy(self.buckets, self.key).sortBy(self.key).option(
             "path", fresh
-        ).saveAsTable(name)
+        ).option("compression", CODEC).saveAsTable(name)
         n = self.spark.table(name).count()
         fs, old = file_system(self.spark, self.folder)
         _, new = file_system(self.spark, fresh)
@@ -118,12 +141,13 @@ class KeyLedger:
         return n
 
     def close(self) -> None:
-        """Forget the catalog entry; the files stay and are found again by the next `KeyLedger` of this path."""
+        """Drop the staged batch and forget the ledger's catalog entry; its files are found again by the next one."""
+        self.unstage()
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def unseen(batch: DataFrame, ledger: KeyLedger) -> DataFrame:
-    """Of a materialised batch with `record`: one row for each id that is not stored yet.
+    """Of a staged batch with `record`: one row for each id that is not stored yet.
 
     Rows that repeat an id and what was asked are one request; two requests with one id raise.
     """

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from modelwatch.operators.checks import CheckFailed, outside_domain, require_empty
 from modelwatch.operators.joins import key_match
-from modelwatch.session import materialise
 from modelwatch.sinks.ledger import BUCKETS, KeyLedger, record_digest, unseen
 from modelwatch.sources.files import POINTERS, current_versions, file_system
 
@@ -29,8 +28,8 @@ def append_predictions(
     part, adds nothing. Two different requests with one id raise before anything is written, and so do
     facts without an id.
 
-    A failed write raises: an answer that was not recorded is not given. The batch is written to the
-    shared folder once, so it is scored once. The rebalance gathers a date into few files but splits a
+    A failed write raises: an answer that was not recorded is not given. The batch is staged beside the
+    ledger once, so it is scored once. The rebalance gathers a date into few files but splits a
     date too large for one task. One append at a time.
     """
     spark = facts.sparkSession
@@ -38,11 +37,11 @@ def append_predictions(
     try:
         ledger.recover(facts.withColumn("event_date", F.current_date()).schema)
         dated = facts.withColumn("event_date", F.to_date(time_column))
-        batch = materialise(dated.withColumn("record", record_digest(facts.columns, key)))
-        fresh = materialise(unseen(batch, ledger))
+        batch = ledger.stage(dated).withColumn("record", record_digest(facts.columns, key))
+        fresh = unseen(batch, ledger)
         n = fresh.count()
         if n or is_missing(spark, path):
-            mark = ledger.open_mark(fresh)
+            mark = ledger.open_mark(batch)
             rows = fresh.drop("record").hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", key)
             rows.write.mode("append").partitionBy("event_date").parquet(path)
             ledger.add(fresh)

@@ -85,8 +85,10 @@ def with_position(requests: DataFrame, name: str = "position") -> DataFrame:
         return requests.withColumn(name, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
     if known("file_path"):
         content = F.col("_raw") if "_raw" in requests.columns else F.to_json(F.struct(*requests.columns))
-        placed = requests.withColumn(name, F.col("_metadata.file_path"))
-        equal = Window.partitionBy(name, F.sha2(content, 256)).orderBy(F.lit(0))
+        digest = F.unhex(F.sha2(content, 256))
+        # Dealt by the digest before the window asks for it as a column, so the shuffle does not carry it.
+        placed = requests.withColumn(name, F.col("_metadata.file_path")).repartition(name, digest)
+        equal = Window.partitionBy(name, digest).orderBy(F.lit(0))
         return placed.withColumn(name, F.concat_ws("#", name, F.row_number().over(equal)))
     return requests.withColumn(name, F.concat_ws("#", F.lit(uuid.uuid4().hex), F.monotonically_increasing_id()))
 

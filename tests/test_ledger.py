@@ -100,3 +100,54 @@ def test_records_from_no_file_are_told_apart_by_call(spark):
     first, second = ([r.request_id for r in identify(files.with_position(records)).collect()] for _ in range(2))
     assert len(set(first + second)) == 5 and first[2] == second[2] == "given"
     assert identify(files.with_position(records)).columns == records.columns
+
+
+def shuffles(spark, work):
+    context = spark.sparkContext._jsc.sc()
+    first = context.newShuffleId()
+    work()
+    return context.newShuffleId() - first - 1
+
+
+def test_an_append_shuffles_its_rows_by_id_once(spark, tmp_path, capsys):
+    path = str(tmp_path / "f")
+    batch = facts(spark, [(f"R{i}", "a", 0.5, i % 3) for i in range(60)])
+    # By id, the facts by date; two counts and the days of the mark, a few rows each.
+    assert shuffles(spark, lambda: sinks.append_predictions(batch, path)) <= 5
+    assert shuffles(spark, lambda: sinks.append_predictions(batch, path)) <= 3
+    book = ledger.KeyLedger(spark, path, "request_id", "string")
+    again = facts(spark, [("R1", "a", 0.5, 7), ("new", "a", 0.5, 7), ("new", "a", 0.5, 8)])
+    staged = book.stage(again).withColumn("record", ledger.record_digest(again.columns, "request_id"))
+    fresh = ledger.unseen(staged, book)
+    fresh.explain("formatted")
+    text = capsys.readouterr().out
+    assert "SortMergeJoin" in text and ") Exchange\n" not in text
+    assert [r.request_id for r in fresh.collect()] == ["new"]
+    book.close()
+    keys = [f.name for f in (tmp_path / "f" / "_ledger" / "keys").iterdir() if f.name.endswith(".parquet")]
+    assert len(keys) <= ledger.BUCKETS and len(stored(spark, path)) == 60
+
+
+def test_a_staged_batch_is_dropped_with_its_append(spark, tmp_path, monkeypatch):
+    path, folder = str(tmp_path / "f"), tmp_path / "f" / "_ledger" / "batch"
+    with pytest.raises(CheckFailed):
+        sinks.append_predictions(facts(spark, [("R1", "a", 0.5, 0), ("R1", "b", 0.5, 0)]), path)
+    assert not folder.exists()
+    monkeypatch.setattr(ledger.KeyLedger, "close", lambda self: None)  # died
+    assert sinks.append_predictions(facts(spark, [("R1", "a", 0.5, 0)]), path) == 1
+    assert folder.exists()
+    monkeypatch.undo()
+    assert sinks.append_predictions(facts(spark, [("R1", "a", 0.5, 0), ("R2", "b", 0.5, 0)]), path) == 1
+    assert not folder.exists() and stored(spark, path) == [("R1", "a"), ("R2", "b")]
+
+
+def test_the_shuffle_of_positions_carries_no_digest(spark, tmp_path, capsys):
+    spark.createDataFrame([("a", 1)] * 3 + [("b", None)], "name string, v int").coalesce(1).write.json(str(tmp_path / "r"))
+    placed = files.with_position(spark.read.schema("name string, v int").json(str(tmp_path / "r")))
+    placed.explain("formatted")
+    text = capsys.readouterr().out
+    assert text.count(") Exchange\n") == 1
+    assert "_w" not in text[text.index(") Exchange\n") :].split("\n\n")[0]
+    (file,) = (f for f in (tmp_path / "r").iterdir() if f.name.endswith(".json"))
+    wanted = {("a", f"file:{file}#{n}") for n in (1, 2, 3)} | {("b", f"file:{file}#1")}
+    assert {(r.name, r.position) for r in placed.collect()} == wanted
